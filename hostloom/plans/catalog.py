@@ -2,6 +2,7 @@
 
 from hostloom.plans import (  # noqa: F401  (importing registers the queries)
     catalog_logs,
+    catalog_pages,
     catalog_report,
 )
 from hostloom.plans.registry import ORACLES, QUERIES

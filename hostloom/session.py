@@ -32,6 +32,7 @@ def local_session(app: str = "hostloom", cores: int | str = 8, shuffle: int = 8)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
