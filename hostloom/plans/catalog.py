@@ -4,6 +4,7 @@ from hostloom.plans import (  # noqa: F401  (importing registers the queries)
     catalog_logs,
     catalog_pages,
     catalog_report,
+    catalog_sites,
 )
 from hostloom.plans.registry import ORACLES, QUERIES
 
