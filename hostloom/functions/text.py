@@ -201,24 +201,25 @@ def strip_reader_markup(column: Column) -> Column:
 
 # --- boilerplate ----------------------------------------------------------------------------
 
-#: Sentences that are page chrome. Word edges are added by ``words``.
+#: Sentences that are page chrome, as (texts one of which the sentence must hold,
+#: pattern); without such texts the sentence must be short. Word edges are added by ``words``.
 NOISY_SENTENCES = [
-    words(r"(?:use|using|uses|set|sets|store|stores|place|places)(?: of)? cookies"),
-    r"^[A-Za-z]{2,12}[.!]?$",
-    f"{ANY_CASE}{WORD_START}cookies?{WORD_END}.*{WORD_START}(?:use|accept|consent|settings|preferences|policy|partners|improve|experience|personali[sz]e|analytics|advertis)",
-    words("(?:accept|reject|decline|allow) (?:all|cookies|necessary|essential)"),
-    words("(?:manage|customi[sz]e) (?:your )?(?:cookie|privacy|consent) (?:settings|preferences|choices)"),
-    words("we (?:and our partners )?(?:use|store|process) (?:cookies|personal data|data)"),
-    words("your privacy (?:choices|is important)"),
-    r"(?i)^(?:no,? thanks|yes,? that'?s fine|ok(?:ay)?,? got it|got it|accept|dismiss|close)\.?$",
-    words("skip to (?:main )?content"),
-    words("(?:toggle|open|close) (?:navigation|menu)"),
-    words("subscribe to our newsletter", "sign up for our newsletter"),
-    rf"(?i)^(?:©|copyright){BLANK}?\d{{4}}|all rights reserved",
-    words("this site is protected by recaptcha"),
-    words("you (?:need to|must) enable javascript", "please enable javascript"),
-    f"{ANY_CASE}{WORD_START}your browser (?:is|does not){WORD_END}.*{WORD_START}(?:support|outdated)",
-]
+    (("cookies",), words(r"(?:use|using|uses|set|sets|store|stores|place|places)(?: of)? cookies")),
+    ((), r"^[A-Za-z]{2,12}[.!]?$"),
+    (("cookie",), f"{ANY_CASE}{WORD_START}cookies?{WORD_END}.*{WORD_START}(?:use|accept|consent|settings|preferences|policy|partners|improve|experience|personali[sz]e|analytics|advertis)"),
+    (("accept ", "reject ", "decline ", "allow "), words("(?:accept|reject|decline|allow) (?:all|cookies|necessary|essential)")),
+    (("manage ", "customi"), words("(?:manage|customi[sz]e) (?:your )?(?:cookie|privacy|consent) (?:settings|preferences|choices)")),
+    (("cookies", "data"), words("we (?:and our partners )?(?:use|store|process) (?:cookies|personal data|data)")),
+    (("your privacy ",), words("your privacy (?:choices|is important)")),
+    ((), r"(?i)^(?:no,? thanks|yes,? that'?s fine|ok(?:ay)?,? got it|got it|accept|dismiss|close)\.?$"),
+    (("skip to ",), words("skip to (?:main )?content")),
+    (("navigation", "menu"), words("(?:toggle|open|close) (?:navigation|menu)")),
+    (("newsletter",), words("subscribe to our newsletter", "sign up for our newsletter")),
+    (("©", "copyright", "rights reserved"), rf"(?i)^(?:©|copyright){BLANK}?\d{{4}}|all rights reserved"),
+    (("recaptcha",), words("this site is protected by recaptcha")),
+    (("javascript",), words("you (?:need to|must) enable javascript", "please enable javascript")),
+    (("your browser ",), f"{ANY_CASE}{WORD_START}your browser (?:is|does not){WORD_END}.*{WORD_START}(?:support|outdated)"),
+]
 #: Accessibility and navigation labels glued into running text.
 INLINE_CHROME = (
     words(
@@ -265,16 +266,37 @@ def drop_menu_runs(column: Column) -> Column:
 
 
 def sentences(column: Column) -> Column:
-    """Split after ``.``, ``!`` or ``?`` when a capital, digit or opening mark follows."""
-    return F.split(column, rf'(?<=[.!?]){BLANK}+(?=[A-Z0-9"“(©])')
+    """Split collapsed text after ``.``, ``!`` or ``?`` before a capital, digit or opening mark."""
+    return F.split(column, r' (?<=[.!?] )(?=[A-Z0-9"“(©])')
+
+
+def _holds_any(lowered: Column, plain: tuple[str, ...]) -> Column:
+    test = lowered.contains(plain[0])
+    for item in plain[1:]:
+        test = test | lowered.contains(item)
+    return test
 
 
 def is_noise(sentence: Column) -> Column:
     """The sentence is page chrome rather than content."""
-    verdict = F.lit(False)
-    for pattern in NOISY_SENTENCES:
-        verdict = verdict | sentence.rlike(pattern)
-    return verdict
+
+    def judge(lowered: Column) -> Column:
+        verdict = F.lit(False)
+        for plain, pattern in NOISY_SENTENCES:
+            likely = _holds_any(lowered, plain) if plain else F.length(sentence) <= 24
+            verdict = verdict | (likely & sentence.rlike(pattern))
+        return verdict
+
+    return let(F.lower(sentence), judge)
+
+
+def _replace_if(column: Column, test: Column, pattern: str, by: str = " ") -> Column:
+    """Run a replacement only on texts that pass a cheap test."""
+    return F.when(test, F.regexp_replace(column, pattern, by)).otherwise(column)
+
+
+#: Plain texts one of which every inline label holds.
+_CHROME_HINTS = ("skip to ", "accessibility", "navigation", "menu", "back to top")
 
 
 def clean_page_text(column: Column) -> Column:
@@ -284,9 +306,13 @@ def clean_page_text(column: Column) -> Column:
     """
 
     def without_chrome(original: Column) -> Column:
-        text = F.when(original.rlike("(?i)cookie|consent"), F.regexp_replace(original, BANNER_BUTTONS, " ")).otherwise(original)
-        text = collapse(drop_menu_runs(F.regexp_replace(text, INLINE_CHROME, " ")))
-        return collapse(F.array_join(F.filter(sentences(text), lambda s: ~is_noise(strip_blank(s))), " "))
+        def cleaned(lowered: Column) -> Column:
+            text = _replace_if(original, lowered.contains("cookie") | lowered.contains("consent"), BANNER_BUTTONS)
+            text = _replace_if(text, _holds_any(lowered, _CHROME_HINTS), INLINE_CHROME)
+            text = collapse(drop_menu_runs(text))
+            return F.array_join(F.filter(sentences(text), lambda s: ~is_noise(s)), " ")
+
+        return collapse(let(F.lower(original), cleaned))
 
     def choose(original: Column) -> Column:
         return let(

@@ -5,8 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostloom.functions.hours import canonical_hours
+
 
 def cohort_without(readers: DataFrame, paying: DataFrame) -> DataFrame:
     """Distinct readers who are not paying customers too, by lower-case address."""
     lowered = F.lower("email").alias("email")
     return readers.select(lowered).distinct().join(paying.select(lowered).distinct(), "email", "left_anti")
+
+
+def hours_outcomes(stored: DataFrame, read: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored hours against hours read again: same, differ, no hours or failed.
+
+    ``read`` lists the sites that answered, ``fresh`` what was found on them.
+    """
+    answered = read.select("domain", F.lit(True).alias("_read"))
+    joined = stored.join(answered, "domain", "left").join(fresh.select("domain", "fresh_hours"), "domain", "left")
+    outcome = (
+        F.when(F.col("_read").isNull(), "failed")
+        .when(F.coalesce(F.size("fresh_hours"), F.lit(0)) <= 0, "no hours")
+        .when(canonical_hours(F.col("fresh_hours")) == canonical_hours(F.col("opening_hours")), "same")
+        .otherwise("differ")
+    )
+    return joined.select("domain", outcome.alias("outcome"))

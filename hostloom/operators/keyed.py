@@ -22,6 +22,17 @@ def rule_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataF
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
+def settle(df: DataFrame, *new: Column, keep: Sequence[str] | None = None) -> DataFrame:
+    """Add columns that later steps use many times, computed exactly once per row.
+
+    Catalyst merges adjacent projections and pushes filters below them, which copies
+    an expensive expression to every place it is used. A generator of one row is a
+    boundary for both, stays inside the stage and costs next to nothing.
+    """
+    kept = list(df.columns if keep is None else keep)
+    return df.select(*kept, F.explode_outer(F.array(F.struct(*new))).alias("_settled")).select(*kept, "_settled.*")
+
+
 def nulls_last(column: Column) -> list[Column]:
     """Ascending order with NULLs at the end, usable inside a struct."""
     return [column.isNull(), column]

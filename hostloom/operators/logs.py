@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.functions.patterns import BLANK, collapse, percent, strip_blank, words
+from hostloom.functions.patterns import BLANK, BLANK_CHARS, collapse, percent, strip_blank, words
 from hostloom.operators.keyed import floor_index_percentiles, previous_row, rule_table, top_per_group
 
 # --- time ranges ----------------------------------------------------------------------------
@@ -121,7 +121,7 @@ GUESS_TLDS = ("com", "io", "ai", "co", "app", "dk", "net", "org")
 def site_guesses(queries: DataFrame, tlds: Sequence[str] = GUESS_TLDS) -> DataFrame:
     """Candidate domains for short name-like queries, in the order they are tried."""
     name = collapse(F.regexp_replace("query", GUESS_STOP_WORDS, " "))
-    label = F.regexp_replace(F.col("_name"), rf"[{BLANK[1:-1]}'&.]+", "")
+    label = F.regexp_replace(F.col("_name"), rf"[{BLANK_CHARS}'&.]+", "")
     return (
         queries.withColumn("_name", name)
         .where((F.col("_name") != "") & (F.size(F.split("_name", " ")) <= 3))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hostloom.functions.patterns import collapse, let, round_half_up, strip_blank
 from hostloom.functions.text import brand_of, clean_reader_text, content_hash
 from hostloom.functions.urls import without_www
-from hostloom.operators.keyed import join_to_unique, keep_first, top_per_group
+from hostloom.operators.keyed import join_to_unique, keep_first, settle, top_per_group
 
 # --- guards ---------------------------------------------------------------------------------
 
@@ -194,16 +194,15 @@ def categorise(sites: DataFrame, words: Sequence[tuple[str, Sequence[str]]], bro
     runs = F.array(*[F.lit(r) for r in sorted({r for *_, r in flat})])
     thick = F.array(*[F.lit(c in broad) for c, _ in words])
 
-    staged = sites.select(
-        *sites.columns,
+    lowered = settle(
+        sites,
         F.lower(F.coalesce("name", F.lit(""))).alias("_name"),
         F.lower(F.coalesce("page_text", F.lit(""))).alias("_pages"),
         F.lower(F.coalesce("action_text", F.lit(""))).alias("_actions"),
         without_www(F.col("domain")).alias("_bare"),
-    ).withColumn(
-        "_seen",
-        F.array_intersect(F.split(F.concat_ws(" ", "_pages", "_name", "_actions"), "[^a-z]+"), runs),
     )
+    seen = F.array_intersect(F.split(F.concat_ws(" ", "_pages", "_name", "_actions"), "[^a-z]+"), runs)
+    staged = settle(lowered, seen.alias("_seen"))
     in_domain = lambda w: F.col("_bare").contains(w["joined"]) & (F.length(w["word"]) >= 4)
     candidates = F.filter(dictionary, lambda w: F.array_contains("_seen", w["run"]) | in_domain(w))
     occurrences = lambda text, w: F.size(F.regexp_extract_all(text, w["pattern"], F.lit(0)))
@@ -258,7 +257,7 @@ def categorise(sites: DataFrame, words: Sequence[tuple[str, Sequence[str]]], bro
         category = category.when(F.col("_bare").rlike(pattern_), name)
     empty = (strip_blank(F.col("_pages")) == "") | strip_blank(F.col("_pages")).startswith("website at ")
     category = category.when(empty, by_label).otherwise(by_words)
-    return staged.withColumn("_hits", counted).select(*sites.columns, category.alias("found_category"))
+    return settle(staged, counted.alias("_hits")).select(*sites.columns, category.alias("found_category"))
 
 
 def fill_categories(sites: DataFrame, found: DataFrame) -> DataFrame:

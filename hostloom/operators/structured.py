@@ -17,10 +17,10 @@ from hostloom.functions.patterns import (
     strip_blank,
     words,
 )
-from hostloom.functions.text import decode_feed, drop_elements, drop_tags, html_to_text
+from hostloom.functions.text import decode_feed, drop_elements, drop_tags
 from hostloom.functions.times import event_zone, to_utc
 from hostloom.functions.urls import resolve
-from hostloom.operators.keyed import keep_first
+from hostloom.operators.keyed import keep_first, settle, top_per_group
 
 # --- JSON access ----------------------------------------------------------------------------
 
@@ -39,8 +39,7 @@ def text_at(node: Column, path: str) -> Column:
 
 def scalar_at(node: Column, path: str) -> Column:
     """String or number at a path, as text."""
-    kind = F.schema_of_variant(at(node, path))
-    return F.when(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID"), at(node, path, "string"))
+    return F.when(~F.schema_of_variant(at(node, path)).rlike("^(?:OBJECT|ARRAY|VOID)"), at(node, path, "string"))
 
 
 def number_at(node: Column, path: str) -> Column:
@@ -142,39 +141,46 @@ def collect_offers(roots: DataFrame, column: str, depth: int = 6, limit: int = 4
     start = F.transform(
         F.col(column), lambda n, i: F.struct(F.array(i).alias("path"), n.alias("node"), F.lit(None).cast("string").alias("category"))
     )
-    df = roots.select(*keep, start.cast(_FRONT).alias("_f"), F.array().cast("array<struct<path:array<int>,name:string,price:double,currency:string,category:string>>").alias("_done"))
+    none_yet = F.array().cast("array<struct<path:array<int>,name:string,price:double,currency:string,category:string>>")
+    df = roots.select(*keep, start.cast(_FRONT).alias("_f"), none_yet.alias("_done"))
     for _ in range(depth):
-        types = lambda f: types_of(f["node"])
-        is_offer = lambda f: types(f).rlike(r"Offer\b") & ~types(f).rlike("OfferCatalog")
-        is_item = lambda f: ~is_offer(f) & types(f).rlike("MenuItem|Service|Product") & text_at(f["node"], "name").isNotNull()
+        known = F.transform(
+            F.filter(_open_lists(F.col("_f")), lambda f: F.schema_of_variant(f["node"]).startswith("OBJECT")),
+            lambda f: F.struct(
+                f["path"].alias("path"), f["node"].alias("node"), f["category"].alias("category"),
+                types_of(f["node"]).alias("types"), text_at(f["node"], "name").alias("name"),
+            ),
+        )
+        opened = settle(df, known.alias("_g"), keep=[*keep, "_done"])
+        is_offer = lambda f: f["types"].rlike(r"Offer\b") & ~f["types"].rlike("OfferCatalog")
+        is_item = lambda f: f["types"].rlike("MenuItem|Service|Product") & f["name"].isNotNull()
 
         def leaf(f: Column) -> Column:
-            name = F.when(is_offer(f), F.coalesce(text_at(f["node"], "itemOffered.name"), text_at(f["node"], "name"))).otherwise(text_at(f["node"], "name"))
+            name = F.when(is_offer(f), F.coalesce(text_at(f["node"], "itemOffered.name"), f["name"])).otherwise(f["name"])
             source = F.when(is_offer(f), f["node"]).otherwise(first_at(f["node"], "offers"))
-            return let(
-                price_of(source),
-                lambda p: F.struct(
-                    f["path"].alias("path"), F.substring(strip_blank(name), 1, 120).alias("name"), p["price"].alias("price"),
-                    p["currency"].alias("currency"), f["category"].alias("category"),
-                ),
-            )
+            priced = F.transform(F.array(source), price_of)[0]
+            return F.struct(
+                f["path"].alias("path"), F.substring(strip_blank(name), 1, 120).alias("name"), priced.alias("price"), f["category"].alias("category")
+            )
 
         def children(f: Column) -> Column:
-            named = types(f).rlike("OfferCatalog|MenuSection") & text_at(f["node"], "name").isNotNull()
-            category = F.when(named, F.substring(text_at(f["node"], "name"), 1, 60)).otherwise(f["category"])
-            entries = [
-                F.when(
-                    at(f["node"], key).isNotNull(),
-                    F.struct(F.array_append(f["path"], F.lit(i)).alias("path"), at(f["node"], key).alias("node"), category.alias("category")),
-                )
-                for i, key in enumerate(CATALOGUE_KEYS)
-            ]
-            return F.array_compact(F.array(*entries))
-
-        opened = df.select(*keep, "_done", F.filter(_open_lists(F.col("_f")), lambda f: F.schema_of_variant(f["node"]).startswith("OBJECT")).alias("_f"))
-        found = F.filter(F.transform(F.filter("_f", lambda f: is_offer(f) | is_item(f)), leaf), lambda o: F.coalesce(o["name"], F.lit("")) != "")
-        below = F.flatten(F.transform(F.filter("_f", lambda f: ~is_offer(f) & ~is_item(f)), children))
-        df = opened.select(*keep, F.concat("_done", found).alias("_done"), below.alias("_f"))
+            named = f["types"].rlike("OfferCatalog|MenuSection") & f["name"].isNotNull()
+            category = F.when(named, F.substring(f["name"], 1, 60)).otherwise(f["category"])
+            keys = F.array(*[F.struct(F.lit(i).alias("i"), at(f["node"], key).alias("node")) for i, key in enumerate(CATALOGUE_KEYS)])
+            return F.transform(
+                F.filter(keys, lambda k: k["node"].isNotNull()),
+                lambda k: F.struct(F.array_append(f["path"], k["i"]).alias("path"), k["node"].alias("node"), category.alias("category")),
+            )
+
+        leaves = F.transform(F.filter("_g", lambda f: is_offer(f) | is_item(f)), leaf)
+        found = F.transform(
+            F.filter(leaves, lambda o: F.coalesce(o["name"], F.lit("")) != ""),
+            lambda o: F.struct(
+                o["path"].alias("path"), o["name"].alias("name"), o["price"]["price"].alias("price"), o["price"]["currency"].alias("currency"), o["category"].alias("category")
+            ),
+        )
+        below = F.flatten(F.transform(F.filter("_g", lambda f: ~is_offer(f) & ~is_item(f)), children))
+        df = settle(opened, F.concat("_done", found).alias("_done"), below.alias("_f"), keep=keep)
     ordered = F.slice(F.array_sort("_done"), 1, limit)
     firsts = let(ordered, lambda all_: F.filter(all_, lambda o, i: ~F.exists(F.slice(all_, 1, i), lambda e: e["name"] == o["name"])))
     return df.select(*keep, F.posexplode(firsts).alias("pos", "_o")).select(
@@ -186,13 +192,13 @@ def collect_offers(roots: DataFrame, column: str, depth: int = 6, limit: int = 4
 def page_offers(pages: DataFrame) -> DataFrame:
     """Offers of the business node and of separate menu, catalogue and service blocks."""
     keep = [c for c in pages.columns if c != "html"]
-    nodes = pages.select(*keep, json_nodes(F.col("html")).alias("_nodes"))
-    business = business_node(F.col("_nodes"))
+    nodes = settle(pages, json_nodes(F.col("html")).alias("_nodes"), keep=keep)
+    found = settle(nodes, business_node(F.col("_nodes")).alias("_b")).where(F.col("_b").isNotNull())
     roots = F.concat(
-        let(business, lambda b: F.array_compact(F.array(at(b, "makesOffer"), at(b, "hasOfferCatalog"), at(b, "hasMenu")))),
+        F.array_compact(F.array(*[at(F.col("_b"), key) for key in ("makesOffer", "hasOfferCatalog", "hasMenu")])),
         F.filter("_nodes", lambda n: types_of(n).rlike("^(?:Menu|OfferCatalog|Service)$")),
     )
-    return collect_offers(nodes.where(business.isNotNull()).select(*keep, roots.alias("_roots")), "_roots")
+    return collect_offers(settle(found, roots.alias("_roots"), keep=keep), "_roots")
 
 
 # --- business -------------------------------------------------------------------------------
@@ -358,7 +364,8 @@ def closure_notice(html: Column, as_of: Column) -> Column:
 def page_business(pages: DataFrame, as_of: Column) -> DataFrame:
     """Business details of every page that has any; pages with nothing useful drop out."""
     keep = [c for c in pages.columns if c != "html"]
-    nodes = pages.select(*keep, "html", business_node(json_nodes(F.col("html"))).alias("n")).where(F.col("n").isNotNull())
+    read = settle(pages, json_nodes(F.col("html")).alias("_nodes"))
+    nodes = settle(read, business_node(F.col("_nodes")).alias("n"), keep=[*keep, "html"]).where(F.col("n").isNotNull())
     n = F.col("n")
     value, best = number_at(n, "aggregateRating.ratingValue"), number_at(n, "aggregateRating.bestRating")
     count = F.coalesce(number_at(n, "aggregateRating.reviewCount"), number_at(n, "aggregateRating.ratingCount"))
@@ -370,8 +377,8 @@ def page_business(pages: DataFrame, as_of: Column) -> DataFrame:
         ),
     )
     lat, lon = number_at(n, "geo.latitude"), number_at(n, "geo.longitude")
-    out = nodes.select(
-        *keep,
+    out = settle(
+        nodes,
         blank_to_null(F.split(types_of(n), " ")[0]).alias("type"),
         F.substring(text_at(n, "name"), 1, 120).alias("name"),
         text_at(n, "telephone").alias("telephone"),
@@ -383,6 +390,7 @@ def page_business(pages: DataFrame, as_of: Column) -> DataFrame:
         let(_special_days(n, as_of), lambda s: F.when(F.size(s) > 0, s)).alias("special_hours"),
         closure_notice(F.col("html"), as_of).alias("closure_notice"),
         F.coalesce(rating, page_rating(F.col("html"))).alias("rating"),
+        keep=keep,
     )
     return out.where(
         F.coalesce(F.col("address").cast("string"), "telephone", F.col("opening_hours").cast("string"), F.col("geo").cast("string"), F.col("rating").cast("string")).isNotNull()
@@ -399,16 +407,20 @@ def page_events(pages: DataFrame, as_of: Column, url_column: str = "url", limit:
     keep = [c for c in pages.columns if c != "html"]
     nodes = json_nodes(F.col("html"))
     nested = lambda n: F.concat(*[_unfold_if(at(n, key)) for key in ("event", "events", "subEvent")])
-    staged = pages.select(*keep, nodes.alias("_nodes"))
-    every = staged.select(*keep, F.concat("_nodes", F.flatten(F.transform("_nodes", nested))).alias("_nodes"))
-    rows = every.select(*keep, F.posexplode(F.filter("_nodes", lambda n: types_of(n).rlike(EVENT_TYPES) & text_at(n, "name").isNotNull())).alias("pos", "n"))
+    staged = settle(pages, nodes.alias("_nodes"), keep=keep)
+    every = F.concat("_nodes", F.flatten(F.transform("_nodes", nested)))
+    is_event = lambda n: types_of(n).rlike(EVENT_TYPES) & text_at(n, "name").isNotNull()
+    rows = staged.select(*keep, F.posexplode(F.filter(every, is_event)).alias("pos", "n"))
     n = F.col("n")
-    staged = rows.select(*keep, "pos", "n", first_at(n, "location").alias("loc"), first_at(n, "offers").alias("offer"))
+    staged = settle(rows, first_at(n, "location").alias("loc"), first_at(n, "offers").alias("offer"))
     loc = F.col("loc")
     country = F.coalesce(text_at(loc, "address.addressCountry.name"), text_at(loc, "address.addressCountry"))
     zone = event_zone(country, text_at(loc, "address.addressRegion"), number_at(loc, "geo.longitude"), F.col(url_column))
-    timed = staged.withColumn("_zone", zone).select(
-        "*", to_utc(scalar_at(n, "startDate"), F.col("_zone")).alias("start_date"), to_utc(scalar_at(n, "endDate"), F.col("_zone")).alias("_end")
+    zoned = settle(staged, zone.alias("_zone"))
+    timed = settle(
+        zoned,
+        to_utc(scalar_at(n, "startDate"), F.col("_zone")).alias("start_date"),
+        to_utc(scalar_at(n, "endDate"), F.col("_zone")).alias("_end"),
     )
     soon = (F.col("start_date") >= as_of - F.make_dt_interval(days=F.lit(1))) & (F.col("start_date") <= as_of + F.make_dt_interval(days=F.lit(400)))
     price = price_of(F.col("offer"))
@@ -434,8 +446,6 @@ def page_events(pages: DataFrame, as_of: Column, url_column: str = "url", limit:
         price["currency"].alias("currency"),
         online.alias("online"),
     )
-    from hostloom.operators.keyed import top_per_group
-
     return top_per_group(found, keep, [F.col("pos")], limit) if limit else found
 
 
@@ -461,12 +471,12 @@ def page_products(pages: DataFrame, default_currency: str = "USD") -> DataFrame:
         )
 
     blocks = F.array_compact(F.transform(F.array_compact(json_blocks(F.col("html"))), of_block))
-    rows = pages.select(*keep, F.try_element_at(blocks, F.lit(1)).alias("_b")).where(F.col("_b").isNotNull()).select(*keep, "_b.p", "_b.g")
+    rows = settle(pages, F.try_element_at(blocks, F.lit(1)).alias("_b"), keep=keep).where(F.col("_b").isNotNull()).select(*keep, "_b.p", "_b.g")
     p, g = F.col("p"), F.col("g")
     own = lambda path: F.coalesce(text_at(g, path), text_at(p, path))
     brand = F.coalesce(text_at(g, "brand"), text_at(g, "brand.name"), text_at(p, "brand"), text_at(p, "brand.name"))
     offer = F.coalesce(first_at(p, "offers.offers"), first_at(p, "offers"))
-    staged = rows.select(*keep, "p", own("name").alias("_name"), brand.alias("_brand"), offer.alias("offer")).where(F.coalesce("_name", F.lit("")) != "")
+    staged = settle(rows, own("name").alias("_name"), brand.alias("_brand"), offer.alias("offer"), keep=[*keep, "p"]).where(F.coalesce("_name", F.lit("")) != "")
     offer = F.col("offer")
     price = F.coalesce(scalar_at(offer, "price"), scalar_at(offer, "lowPrice")).try_cast("double")
     codes = F.array(*[strip_blank(scalar_at(p, f)) for f in ("gtin13", "gtin12", "gtin14", "gtin8", "gtin")])
@@ -488,7 +498,3 @@ def without_repeats(events: DataFrame) -> DataFrame:
     """Events once per (url, start): the first in page order stays."""
     return keep_first(events, ["event_url", "start_date"], F.col("pos"), F.col("name"))
 
-
-def event_summary(html: Column) -> Column:
-    """Plain text used when an event page has no description."""
-    return html_to_text(html, "plain")
