@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from hostloom.plans import (  # noqa: F401  (importing registers the queries)
+    catalog_change,
     catalog_extract,
     catalog_logs,
     catalog_pages,
