@@ -20,6 +20,7 @@ _NOW = f"TIMESTAMP '{AS_OF}'"
 _TIE = "observed_at, observation_id, price_eur, available"
 #: The price log runs from 1995 to late 2001; the feed of the catalogue is what came after this day.
 FEED_START = "2001-06-01"
+STORED_FROM = "2000-12-01"
 #: Clock of the price catalogue.
 PRICE_NOW = "2001-11-05 00:00:00"
 
@@ -52,13 +53,13 @@ def back_in_stock(spark, sf):
     return back.select("url", F.date_format("observed_at", "yyyy-MM-dd").alias("day"), "observation_id")
 
 
-shared("stored_prices", f"SELECT DISTINCT ON (url) * FROM price_log WHERE observed_at < TIMESTAMP '{FEED_START}' AND item_id % 50 <> 7 ORDER BY url, observed_at DESC, observation_id DESC, price_eur DESC, available DESC")
+shared("stored_prices", f"SELECT DISTINCT ON (url) * FROM price_log WHERE observed_at >= TIMESTAMP '{STORED_FROM}' AND observed_at < TIMESTAMP '{FEED_START}' ORDER BY url, observed_at DESC, observation_id DESC, price_eur DESC, available DESC")
 shared("feed_prices", f"SELECT DISTINCT ON (url) * FROM price_log WHERE observed_at >= TIMESTAMP '{FEED_START}' ORDER BY url, observed_at DESC, observation_id DESC, price_eur DESC, available DESC")
 
 
 def _stored(spark, sf):
-    # A fiftieth of the items is not stored yet, so new items occur.
-    return shops.latest_offers(roles.price_log(spark, sf).where(F.col("item_id") % 50 != 7), _feed_edge())
+    # The store holds half a year, so items without a price in it are new to the feed.
+    return shops.latest_offers(roles.price_log(spark, sf).where(F.col("observed_at") >= F.lit(STORED_FROM).cast("timestamp")), _feed_edge())
 
 
 def _feed(spark, sf):
@@ -85,13 +86,13 @@ def price_history_rows(spark, sf):
 
 _WATCHES = """SELECT item_id AS id, url, CASE WHEN item_id % 4 = 0 THEN price_eur * 0.9 END AS target, price_eur AS last_price,
     CASE WHEN item_id % 9 <> 0 THEN available END AS last_available, item_id % 10 <> 0 AS notify_price,
-    CASE WHEN item_id % 3 <> 0 THEN item_id % 5 <> 0 END AS notify_stock FROM stored_prices WHERE item_id % 2 = 0"""
+    CASE WHEN item_id % 3 <> 0 THEN item_id % 5 <> 0 END AS notify_stock FROM stored_prices WHERE price_eur < 2500"""
 shared("watch_rows", _WATCHES)
 
 
 def _watches(spark, sf):
     k = F.regexp_extract("url", r"(\d+)$", 1).cast("bigint")
-    return _stored(spark, sf).where(k % 2 == 0).select(
+    return _stored(spark, sf).where(F.col("price_eur") < 2500).select(
         k.alias("id"), "url", F.when(k % 4 == 0, F.col("price_eur") * 0.9).alias("target_price_eur"), F.col("price_eur").alias("last_price_eur"),
         F.when(k % 9 != 0, F.col("available")).alias("last_available"), (k % 10 != 0).alias("notify_price"),
         F.when(k % 3 != 0, k % 5 != 0).alias("notify_stock"),
@@ -297,10 +298,10 @@ def saved_search_memory(spark, sf):
 @query(
     "site_change_alerts",
     """SELECT domain, changes FROM (SELECT 'c' || c_custkey || '.example' AS domain, concat_ws(' | ',
-         CASE WHEN c_custkey % 8 <> 0 AND c_custkey % 3 = 0 THEN 'Opening hours changed to: Mo, Tu 10:00–18:00' END,
-         CASE WHEN c_custkey % 5 = 0 AND NOT (c_custkey % 8 <> 0 AND c_custkey % 2 = 0) THEN 'Broken link: https://b.example' END,
-         CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 4 = 1 THEN '1 price changed' ELSE (c_custkey % 4) || ' prices changed' END END) AS changes
-       FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 4 > 0 OR c_custkey % 5 = 0 OR (c_custkey % 8 <> 0 AND c_custkey % 3 = 0)) WHERE changes <> ''""",
+         CASE WHEN c_acctbal >= 0 AND c_custkey % 3 = 0 THEN 'Opening hours changed to: Mo, Tu 10:00–18:00' END,
+         CASE WHEN c_custkey % 5 = 0 AND NOT (c_acctbal >= 0 AND c_custkey % 2 = 0) THEN 'Broken link: https://b.example' END,
+         CASE WHEN c_custkey % 7 = 0 AND c_custkey % 4 > 0 THEN CASE WHEN c_custkey % 4 = 1 THEN '1 price changed' ELSE (c_custkey % 4) || ' prices changed' END END) AS changes
+       FROM customer) WHERE changes <> ''""",
 )
 def site_change_alerts(spark, sf):
     k = F.col("c_custkey")
@@ -312,8 +313,8 @@ def site_change_alerts(spark, sf):
     now = customers.select(
         domain.alias("domain"), F.when(k % 3 == 0, hours("Mo,Tu 10:00-18:00")).when(k % 3 == 1, hours("Mo 09:00-17:00")).alias("hours"), none.alias("special"), links(k % 5 == 0).alias("broken")
     )
-    before = customers.where(k % 8 != 0).select(domain.alias("domain"), hours("Mo 09:00-17:00").alias("hours"), none.alias("special"), links(k % 2 == 0).alias("broken"))
-    counts = customers.where((k % 7 == 0) & (k % 4 > 0)).select(domain.alias("domain"), (k % 4).alias("changed_prices"))
+    before = customers.where(F.col("c_acctbal") >= 0).select(domain.alias("domain"), hours("Mo 09:00-17:00").alias("hours"), none.alias("special"), links(k % 2 == 0).alias("broken"))
+    counts = customers.select(domain.alias("domain"), F.when(k % 7 == 0, k % 4).otherwise(0).alias("changed_prices"))
     out = C.site_changes(now, before, counts)
     return out.select("domain", F.array_join("changes", " | ").alias("changes"))
 
@@ -349,7 +350,7 @@ def dead_links(spark, sf):
     act = lambda id_, url: F.struct(F.lit(id_).alias("id"), url.alias("url"))
     customers = table(spark, sf, "customer")
     sites = customers.select(domain.alias("domain"), F.array(act("book", link("/b")), act("call", F.when(k % 3 == 0, "not a url").otherwise(link("/c")))).alias("actions"))
-    status = customers.where(k % 2 == 0).select(link("/b").alias("url"), F.when(k % 4 == 0, F.when(k % 8 == 0, 404).otherwise(410)).otherwise(503).alias("status"))
+    status = customers.select(link("/b").alias("url"), F.when(k % 8 == 0, 404).when(k % 4 == 0, 410).when(k % 2 == 0, 503).otherwise(200).alias("status"))
     cleaned = C.drop_dead_links(sites, status)
     shown = F.transform("actions", lambda a: F.concat_ws("=", a["id"], a["url"]))
     return cleaned.select("domain", "removed", F.array_join(shown, " ").alias("actions"))
@@ -483,7 +484,7 @@ def _stored_customers(spark, sf):
 
 def _incoming(spark, sf):
     k = F.col("c_custkey")
-    fresh = _stored_customers(spark, sf).where(k % 3 == 0)
+    fresh = _stored_customers(spark, sf).where(F.col("c_mktsegment").isin("FURNITURE", "HOUSEHOLD"))
     changed = fresh.select((k + F.when(k % 9 == 0, 1_000_000).otherwise(0)).alias("c_custkey"), F.when(k % 2 == 0, F.concat("c_name", F.lit("!"))).otherwise(F.col("c_name")).alias("c_name"), F.when(k % 5 != 0, F.col("cents")).alias("cents"))
     return changed
 
@@ -491,7 +492,7 @@ def _incoming(spark, sf):
 shared(
     "batch",
     """SELECT c_custkey + CASE WHEN c_custkey % 9 = 0 THEN 1000000 ELSE 0 END AS c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '!' ELSE c_name END AS c_name,
-         CASE WHEN c_custkey % 5 <> 0 THEN CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) END AS cents FROM customer WHERE c_custkey % 3 = 0""",
+         CASE WHEN c_custkey % 5 <> 0 THEN CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) END AS cents FROM customer WHERE c_mktsegment IN ('FURNITURE', 'HOUSEHOLD')""",
 )
 shared("kept", "SELECT c_custkey, c_name, c_mktsegment, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS cents FROM customer")
 
@@ -515,23 +516,24 @@ def changed_rows(spark, sf):
 
 @query(
     "insert_ignore",
-    """WITH n AS (SELECT 'u' || (o_custkey % 400) AS url, strftime(o_orderdate, '%Y-%m') AS start, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL)
-       SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey % 2 = 1 AND 'u' || (o.o_custkey % 400) = n.url AND strftime(o.o_orderdate, '%Y-%m') = n.start)""",
+    """WITH n AS (SELECT 'u' || (o_custkey % 400) AS url, strftime(o_orderdate, '%Y-%m') AS start, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL)
+       SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderstatus = 'F' AND 'u' || (o.o_custkey % 400) = n.url AND strftime(o.o_orderdate, '%Y-%m') = n.start)""",
 )
 def insert_ignore(spark, sf):
-    rows = table(spark, sf, "orders").select(F.concat(F.lit("u"), (F.col("o_custkey") % 400).cast("string")).alias("url"), F.date_format("o_orderdate", "yyyy-MM").alias("start"), "o_orderkey")
-    stored = rows.where(F.col("o_orderkey") % 2 == 1)
-    return K.insert_ignore(stored, rows.where(F.col("o_orderkey") % 2 == 0), ["url", "start"], F.col("o_orderkey"))
+    rows = table(spark, sf, "orders").select(F.concat(F.lit("u"), (F.col("o_custkey") % 400).cast("string")).alias("url"), F.date_format("o_orderdate", "yyyy-MM").alias("start"), "o_orderkey", "o_orderstatus")
+    stored = rows.where(F.col("o_orderstatus") == "F")
+    new = rows.where(F.col("o_orderstatus") != "F").drop("o_orderstatus")
+    return K.insert_ignore(stored, new, ["url", "start"], F.col("o_orderkey"))
 
 
 @query(
     "guarded_patch",
-    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 <> 1 AND c_mktsegment <> 'FURNITURE' THEN 'patched ' || c_custkey ELSE c_name END AS c_name FROM customer""",
+    """SELECT c_custkey, CASE WHEN floor(c_acctbal * 100 + 0.5) > 300000 AND c_custkey % 4 <> 1 AND c_mktsegment <> 'FURNITURE' THEN 'patched ' || c_custkey ELSE c_name END AS c_name FROM customer""",
 )
 def guarded_patch(spark, sf):
     k = F.col("c_custkey")
     stored = _stored_customers(spark, sf).withColumn("updated_at", k % 4)
-    patches = stored.where(k % 3 == 0).select("c_custkey", F.concat(F.lit("patched "), k.cast("string")).alias("c_name"), F.when(k % 4 == 1, 99).otherwise(k % 4).alias("updated_at"))
+    patches = stored.where(F.col("cents") > 300_000).select("c_custkey", F.concat(F.lit("patched "), k.cast("string")).alias("c_name"), F.when(k % 4 == 1, 99).otherwise(k % 4).alias("updated_at"))
     guard = (F.col("updated_at") == F.col("patch_updated_at")) & (F.col("c_mktsegment") != "FURNITURE")
     return K.guarded_patch(stored, patches, "c_custkey", ["c_name"], guard).select("c_custkey", "c_name")
 
@@ -553,10 +555,10 @@ def score_history(spark, sf):
 
 @query(
     "page_hosts_read",
-    r"SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, count(*) AS pages FROM pages WHERE page_id >= 100 GROUP BY 1",
+    r"SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, count(*) AS pages FROM pages WHERE url LIKE 'https://%' GROUP BY 1",
 )
 def page_hosts_read(spark, sf):
     from hostloom.sources.tables import parquet
 
-    rows = parquet(spark, f"{sf}/pages.parquet", ["url"], F.col("page_id") >= 100)
+    rows = parquet(spark, f"{sf}/pages.parquet", ["url"], F.col("url").startswith("https://"))
     return rows.groupBy(host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))

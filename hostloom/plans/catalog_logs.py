@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hostloom.operators import logs, queues
+from hostloom.operators.change import cohort_without
+from hostloom.operators.matching import all_words, tokens
 from hostloom.plans import roles
 from hostloom.plans.registry import query, shared
 from hostloom.plans.roles import AS_OF, as_of, table
@@ -143,14 +145,14 @@ shared(
           SELECT d.domain, d.score, s.category,
             date_diff('day', greatest(s.updated_at, s.refreshed_at), {_NOW}) AS age,
             CASE WHEN d.score >= 30 THEN 2 WHEN d.score >= 10 THEN 7 WHEN d.score >= 3 THEN 21 END AS every
-          FROM demand d LEFT JOIN (SELECT * FROM sites WHERE site_id % 10 <> 3) s USING (domain)),
+          FROM demand d LEFT JOIN (SELECT * FROM sites WHERE status IS NULL) s USING (domain)),
         o AS (SELECT domain, score, coalesce(age / CASE WHEN category IN ('machinery') THEN 1.0 ELSE every END, 1e9) AS overdue
           FROM j WHERE every IS NOT NULL)
         SELECT domain, score, round(overdue, 6) AS overdue, round(overdue * score, 4) AS priority FROM o WHERE overdue >= 1""",
 )
 def refresh_queue(spark, sf):
-    # A tenth of the sites is left out of the index side, so unknown sites occur.
-    known = roles.sites(spark, sf).where(F.col("site_id") % 10 != 3)
+    # Hidden sites do not count as indexed, so unknown sites occur.
+    known = roles.sites(spark, sf).where(F.col("status").isNull())
     out = queues.refresh_queue(logs.weighted_demand(roles.searches(spark, sf), as_of()), known, as_of(), daily=("machinery",))
     return out.select("domain", "score", F.round("overdue", 6).alias("overdue"), F.round("priority", 4).alias("priority"))
 
@@ -241,19 +243,19 @@ def queue_outcomes(spark, sf):
 @query(
     "queue_completed",
     """SELECT coalesce(outcome, 'open') AS outcome, count(*) AS requests, count(done) AS finished FROM (
-         SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'full' WHEN o_orderstatus = 'F' THEN 'minimal' END AS outcome,
-           CASE WHEN o_orderkey % 4 = 0 OR o_orderstatus = 'F' THEN 1 END AS done FROM orders) GROUP BY 1""",
+         SELECT CASE WHEN o_orderstatus = 'P' THEN 'full' WHEN o_orderstatus = 'F' THEN 'minimal' END AS outcome,
+           CASE WHEN o_orderstatus = 'P' OR o_orderstatus = 'F' THEN 1 END AS done FROM orders) GROUP BY 1""",
 )
 def queue_completed(spark, sf):
     orders = table(spark, sf, "orders").select(
         F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("domain"),
-        F.col("o_orderkey").alias("k"),
+        F.col("o_orderstatus").alias("state"),
         F.col("o_orderdate").cast("timestamp").alias("requested_at"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("done_at"),
         F.when(F.col("o_orderstatus") == "F", "minimal").alias("outcome"),
     )
-    results = orders.where(F.col("k") % 4 == 0).select("domain", F.lit("full").alias("outcome"))
-    done = queues.complete_requests(orders.drop("k"), results, as_of())
+    results = orders.where(F.col("state") == "P").select("domain", F.lit("full").alias("outcome"))
+    done = queues.complete_requests(orders.drop("state"), results, as_of())
     return done.groupBy(F.coalesce("outcome", F.lit("open")).alias("outcome")).agg(
         F.count(F.lit(1)).alias("requests"), F.count("done_at").alias("finished")
     )
@@ -433,8 +435,6 @@ def referral_counts(spark, sf):
          AND 'u' || user_id || '@mail.example' NOT IN (SELECT email FROM paid)""",
 )
 def welcome_cohort(spark, sf):
-    from hostloom.operators.change import cohort_without
-
     events = table(spark, sf, "events").withColumn("joined_at", F.col("ts").cast("timestamp"))
     day = logs.exact_day(F.col("joined_at"), as_of(), 7)
     paid = events.where((F.col("event_type") == "purchase") & day).select(
@@ -490,12 +490,12 @@ def part_timings(spark, sf):
 @query(
     "fresh_missing",
     f"""SELECT DISTINCT query FROM text_queries WHERE query NOT IN (
-          SELECT query FROM text_queries WHERE conv_id % 3 = 0 AND conv_id * 7 % 60 <= 25)""",
+          SELECT query FROM text_queries WHERE turn > 0 AND conv_id * 7 % 60 <= 25)""",
 )
 def fresh_missing(spark, sf):
     asked = roles.text_queries(spark, sf)
     age = (F.col("conv_id") * 7 % 60).cast("int")
-    known = asked.where(F.col("conv_id") % 3 == 0).select("query", (as_of() - F.make_dt_interval(days=age)).alias("updated_at"))
+    known = asked.where(F.col("turn") > 0).select("query", (as_of() - F.make_dt_interval(days=age)).alias("updated_at"))
     return queues.fresh_missing(asked.select("query").distinct(), known, as_of())
 
 
@@ -513,40 +513,55 @@ def expansion_candidates(spark, sf):
     return queues.union_first([asked.where(F.col("turn") == 0), asked, local])
 
 
+shared(
+    "wanted_words",
+    """SELECT item_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(substring(text, 1, 40)), '[^a-z]+', ' ', 'g'), ' '),
+         lambda x: length(x) >= 4))) AS w FROM benchmark""",
+)
+shared(
+    "word_hits",
+    """SELECT item_id, doc_id FROM wanted_words JOIN (
+         SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM documents) USING (w)
+       GROUP BY item_id, doc_id HAVING count(*) = (SELECT count(*) FROM wanted_words n WHERE n.item_id = wanted_words.item_id)""",
+)
+
+
+def _word_matches(spark, sf, k):
+    wanted = table(spark, sf, "benchmark").select("item_id", tokens(F.substring("text", 1, 40), 4).alias("words"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id"), tokens(F.col("text"), 4).alias("words"), F.col("doc_id").alias("rank"))
+    return all_words(wanted, "item_id", docs, "doc_id", k=k)
+
+
+@query(
+    "all_words_match",
+    """SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS INTEGER) AS place FROM word_hits QUALIFY place <= 40""",
+)
+def all_words_match(spark, sf):
+    return _word_matches(spark, sf, 40)
+
+
 @query(
     "retrieval_metrics",
-    """WITH cases AS (SELECT item_id, string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] AS q,
-           CASE WHEN item_id % 4 = 0 THEN 'local' WHEN item_id % 4 = 1 THEN 'foreign' ELSE 'topic' END AS kind,
-           item_id < 20 AS is_original FROM benchmark),
-         shown AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank, right_one FROM (
-             SELECT b.item_id, d.doc_id, contains(d.text, b.text) AS right_one
-             FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)),
-         ranked AS (SELECT c.kind, c.is_original, (SELECT min(rank) FROM shown s
-             WHERE s.item_id = c.item_id AND s.rank <= 10 AND (s.right_one OR (c.item_id % 3 = 0 AND s.doc_id % 5 = 1))) AS rank
-           FROM cases c),
-         scoped AS (SELECT 'all' AS scope, rank FROM ranked UNION ALL SELECT kind, rank FROM ranked
-           UNION ALL SELECT 'original', rank FROM ranked WHERE is_original)
+    """WITH shown AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM word_hits QUALIFY rank <= 10),
+         judged AS (SELECT s.item_id, rank, contains(d.text, b.text) OR (b.item_id % 3 = 0 AND d.lang = 'fr') AS right_one
+           FROM shown s JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+         ranked AS (SELECT CASE WHEN item_id % 4 = 0 THEN 'local' WHEN item_id % 4 = 1 THEN 'foreign' ELSE 'topic' END AS kind, item_id < 20 AS is_original,
+             (SELECT min(rank) FROM judged j WHERE j.item_id = b.item_id AND right_one) AS rank FROM benchmark b),
+         scoped AS (SELECT 'all' AS scope, rank FROM ranked UNION ALL SELECT kind, rank FROM ranked UNION ALL SELECT 'original', rank FROM ranked WHERE is_original)
        SELECT scope, count(*) AS queries, floor(count(*) FILTER (rank = 1) * 1000.0 / count(*) + 0.5) / 10 AS hit_at_1,
          floor(count(*) FILTER (rank <= 5) * 1000.0 / count(*) + 0.5) / 10 AS hit_at_5,
          floor(sum(coalesce(1.0 / rank, 0)) / count(*) * 1000 + 0.5) / 1000 AS mrr
        FROM scoped GROUP BY scope""",
 )
 def retrieval_metrics(spark, sf):
-    from hostloom.operators.keyed import top_per_group
-
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("golden"))
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    pairs = items.join(docs, F.col("doc_id") % 40 == F.col("item_id") % 40)
-    shown = top_per_group(
-        pairs.select("item_id", "doc_id", F.col("text").contains(F.col("golden")).alias("right_one")),
-        ["item_id"], [F.col("doc_id")], 10, rank_as="rank",
-    )
-    host = F.when(F.col("right_one"), F.concat(F.lit("www.d"), F.col("item_id").cast("string"), F.lit(".example"))).when(
-        F.col("doc_id") % 5 == 1, F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(".test"))
-    )
+    shown = _word_matches(spark, sf, 10).join(table(spark, sf, "documents"), "doc_id").join(items, "item_id")
     q = F.concat(F.lit("q"), F.col("item_id").cast("string"))
+    host = F.when(F.col("text").contains(F.col("golden")), F.concat(F.lit("www.d"), F.col("item_id").cast("string"), F.lit(".example"))).when(
+        F.col("lang") == "fr", F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(".test"))
+    )
     results = shown.select(
-        q.alias("q"), "rank", F.coalesce(host, F.lit("other.invalid")).alias("domain"), F.lit(None).cast("string").alias("category")
+        q.alias("q"), F.col("place").alias("rank"), F.coalesce(host, F.lit("other.invalid")).alias("domain"), F.lit(None).cast("string").alias("category")
     )
     cases = items.select(
         q.alias("q"),
@@ -574,24 +589,3 @@ def query_kinds(spark, sf):
     none = F.lit(None).cast("string")
     kind = logs.query_kind(q, F.array(F.lit("a.example")), F.when(F.col("conv_id") % 7 == 0, ".dk"), none, none)
     return roles.text_queries(spark, sf).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("cases"))
-
-
-@query(
-    "all_words_match",
-    """WITH wanted AS (SELECT item_id, unnest(list_distinct(list_filter(
-             string_split(regexp_replace(lower(substring(text, 1, 40)), '[^a-z]+', ' ', 'g'), ' '), lambda x: length(x) >= 4))) AS w
-           FROM benchmark),
-         tokens AS (SELECT DISTINCT doc_id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM documents),
-         need AS (SELECT item_id, count(*) AS n FROM wanted GROUP BY item_id),
-         hits AS (SELECT item_id, doc_id FROM wanted JOIN tokens USING (w) GROUP BY item_id, doc_id
-           HAVING count(*) = (SELECT n FROM need WHERE need.item_id = wanted.item_id))
-       SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS INTEGER) AS place
-       FROM hits QUALIFY place <= 40""",
-)
-def all_words_match(spark, sf):
-    from hostloom.operators.matching import all_words, tokens
-
-    wanted = table(spark, sf, "benchmark").select("item_id", tokens(F.substring("text", 1, 40), 4).alias("words"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id"), tokens(F.col("text"), 4).alias("words"), F.col("doc_id").alias("rank"))
-    return all_words(wanted, "item_id", docs, "doc_id", k=40)
-

@@ -44,13 +44,13 @@ def site_scores(spark, sf):
 
 @query(
     "score_movers",
-    """WITH b AS (SELECT domain, score - (site_id * 31 % 40) + 10 AS before FROM scored WHERE site_id % 4 <> 0)
+    """WITH b AS (SELECT domain, score - (site_id * 31 % 40) + 10 AS before FROM scored WHERE conversion <> 'minimal')
        SELECT domain, CAST(score AS INTEGER) AS now, CAST(before AS INTEGER) AS before FROM scored JOIN b USING (domain)
        WHERE score > before ORDER BY score - before DESC, domain LIMIT 20""",
 )
 def score_movers(spark, sf):
     now = scored_sites(spark, sf)
-    before = now.where(F.col("site_id") % 4 != 0).select(
+    before = now.where(F.col("conversion") != "minimal").select(
         "domain", (F.col("score") - (F.col("site_id") * 31 % 40) + 10).cast("int").alias("score")
     )
     return S.score_movers(now, before)
@@ -257,14 +257,14 @@ def redirect_duplicates(spark, sf):
 
 @query(
     "rank_updates",
-    """WITH r AS (SELECT 'c' || c_custkey || '.example' AS domain, c_custkey * 17 % 5000 + 1 AS rank FROM customer WHERE c_custkey % 4 <> 0),
+    """WITH r AS (SELECT 'c' || c_custkey || '.example' AS domain, c_custkey * 17 % 5000 + 1 AS rank FROM customer WHERE c_mktsegment <> 'MACHINERY'),
          s AS (SELECT CASE WHEN site_id % 3 = 0 THEN 'www.' || domain ELSE domain END AS domain, popularity_rank FROM sites)
        SELECT s.domain, popularity_rank, r.rank AS new_rank FROM s LEFT JOIN r ON r.domain = regexp_replace(s.domain, '^www\\.', '')
        WHERE r.rank IS DISTINCT FROM popularity_rank""".replace("\\\\", "\\"),
 )
 def rank_updates(spark, sf):
     k = F.col("c_custkey")
-    ranks = table(spark, sf, "customer").where(k % 4 != 0).select(
+    ranks = table(spark, sf, "customer").where(F.col("c_mktsegment") != "MACHINERY").select(
         F.concat(F.lit("c"), k.cast("string"), F.lit(".example")).alias("domain"), (k * 17 % 5000 + 1).alias("rank")
     )
     stored = roles.sites(spark, sf).select(
@@ -276,12 +276,13 @@ def rank_updates(spark, sf):
 @query(
     "not_indexed",
     """SELECT DISTINCT 'c' || (o_custkey * 2) || '.example' AS domain FROM orders
-       WHERE 'c' || (o_custkey * 2) || '.example' NOT IN (SELECT domain FROM sites) AND o_custkey % 5 <> 0""",
+       WHERE 'c' || (o_custkey * 2) || '.example' NOT IN (SELECT domain FROM sites) AND 'c' || (o_custkey * 2) || '.example' NOT IN (SELECT 'c' || (c_custkey * 2) || '.example' FROM customer WHERE c_acctbal < 0)""",
 )
 def not_indexed(spark, sf):
     domain = F.concat(F.lit("c"), (F.col("o_custkey") * 2).cast("string"), F.lit(".example")).alias("domain")
     orders = table(spark, sf, "orders")
-    skipped = orders.where(F.col("o_custkey") % 5 == 0).select(domain)
+    poor = table(spark, sf, "customer").where(F.col("c_acctbal") < 0)
+    skipped = poor.select(F.concat(F.lit("c"), (F.col("c_custkey") * 2).cast("string"), F.lit(".example")).alias("domain"))
     return S.not_indexed(orders.select(domain).distinct(), roles.sites(spark, sf), skipped)
 
 
