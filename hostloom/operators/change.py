@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hostloom.functions.hours import canonical_hours, hours_line, special_line
 
 from hostloom.functions.text import content_hash, watch_text
-from hostloom.operators.keyed import previous_row, top_per_group
+from hostloom.operators.keyed import fence, previous_row, top_per_group
 
 # --- price and stock watches ----------------------------------------------------------------
 
@@ -177,7 +177,7 @@ def describe_changes(versions: DataFrame) -> DataFrame:
     to title, old_actions, new_actions as map from id to name). Page texts do not count.
     """
     keys = lambda c: F.array_sort(F.map_keys(c))
-    staged = versions.select(
+    staged = fence(versions).select(
         "*",
         F.array_except(keys("new_pages"), keys("old_pages")).alias("pages_added"),
         F.array_except(keys("old_pages"), keys("new_pages")).alias("pages_removed"),

@@ -33,6 +33,15 @@ def settle(df: DataFrame, *new: Column, keep: Sequence[str] | None = None) -> Da
     return df.select(*kept, F.explode_outer(F.array(F.struct(*new))).alias("_settled")).select(*kept, "_settled.*")
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """The same rows behind the boundary of :func:`settle`.
+
+    For operators that use their input columns inside lambdas: without it, the caller's
+    expressions would be copied into the lambda and run once per array element.
+    """
+    return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
+
+
 def nulls_last(column: Column) -> list[Column]:
     """Ascending order with NULLs at the end, usable inside a struct."""
     return [column.isNull(), column]

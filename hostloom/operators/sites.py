@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hostloom.functions.patterns import collapse, let, round_half_up, strip_blank
 from hostloom.functions.text import brand_of, clean_reader_text, content_hash
 from hostloom.functions.urls import without_www
-from hostloom.operators.keyed import join_to_unique, keep_first, settle, top_per_group
+from hostloom.operators.keyed import fence, join_to_unique, keep_first, settle, top_per_group
 
 # --- guards ---------------------------------------------------------------------------------
 
@@ -403,7 +403,7 @@ def slim_pages(pages: Column, domain: Column) -> Column:
 
 def slim_sites(sites: DataFrame, min_saved: int = 40) -> DataFrame:
     """Editable sites that get at least ``min_saved`` characters smaller."""
-    staged = sites.where(editable(F.col("owner_key"), F.col("native"))).select(
+    staged = fence(sites.where(editable(F.col("owner_key"), F.col("native")))).select(
         "domain", "pages", "actions", slim_pages(F.col("pages"), F.col("domain")).alias("slim_pages"),
         slim_actions(F.col("actions")).alias("slim_actions"),
     )

@@ -13,7 +13,7 @@ from hostloom.operators.pages import links_of, page_language
 from hostloom.functions.text import page_title
 from hostloom.plans import report, roles
 from hostloom.plans.registry import query, shared
-from hostloom.plans.roles import AS_OF, as_of, table
+from hostloom.plans.roles import AS_OF, as_of, table, wide
 from hostloom.sources import writers as K
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
@@ -185,7 +185,7 @@ def page_watch(spark, sf):
     from hostloom.functions.text import content_hash, watch_text
 
     doc = F.col("doc_id")
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), doc.cast("string")).alias("url"), "text")
+    docs = wide(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), doc.cast("string")).alias("url"), "text")
     seen = watch_text(F.col("text"))
     watches = docs.select(
         doc.alias("id"), "url", F.when(doc % 4 == 0, "appears").when(doc % 4 == 1, "disappears").otherwise("change").alias("watch_for"),
@@ -212,7 +212,7 @@ def page_watch(spark, sf):
 )
 def site_diffs(spark, sf):
     page = F.col("page_id")
-    pages = table(spark, sf, "pages").select(
+    pages = wide(spark, sf, "pages").select(
         "page_id", F.trim(page_title(F.col("html"))).alias("title"), page_language(F.col("html")).alias("lang"),
         F.transform(links_of(F.col("html")), lambda link: link["href"]).alias("h"),
     )

@@ -14,7 +14,7 @@ from hostloom.operators import feeds as X
 from hostloom.operators import shops
 from hostloom.operators import structured as J
 from hostloom.plans.registry import query, shared
-from hostloom.plans.roles import AS_OF, as_of, table
+from hostloom.plans.roles import AS_OF, as_of, table, wide
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -62,7 +62,7 @@ def _business_pages(spark, sf):
         .otherwise(F.concat(_script(F.lit("{broken")), _script(F.to_json(plain))))
     )
     return (
-        table(spark, sf, "customer")
+        wide(spark, sf, "customer")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(k.alias("site_id"), F.concat(F.lit("<html><head>"), html, F.lit("</head><body>x</body></html>")).alias("html"))
     )
@@ -126,7 +126,7 @@ def page_ratings(spark, sf):
         .when(k % 4 == 2, "<p>Trustpilot says <b>3,2</b> out of 5 for us</p>")
         .otherwise("<p>Version 4.8 is out</p>")
     )
-    rated = table(spark, sf, "customer").select(k.alias("site_id"), J.page_rating(html).alias("r")).where(F.col("r").isNotNull())
+    rated = wide(spark, sf, "customer").select(k.alias("site_id"), J.page_rating(html).alias("r")).where(F.col("r").isNotNull())
     return rated.select("site_id", "r.value", "r.count", "r.source")
 
 
@@ -149,7 +149,7 @@ def closure_notices(spark, sf):
         .otherwise("We reopened after we were temporarily closed in 2019."),
         F.lit(" </p><p>Bye then.</p>"),
     )
-    found = table(spark, sf, "customer").select(k.alias("site_id"), J.closure_notice(html, as_of()).alias("n")).where(F.col("n").isNotNull())
+    found = wide(spark, sf, "customer").select(k.alias("site_id"), J.closure_notice(html, as_of()).alias("n")).where(F.col("n").isNotNull())
     return found.select("site_id", F.col("n.text").alias("notice"), "n.closed")
 
 
@@ -173,7 +173,7 @@ def _event_pages(spark, sf):
     )
     holder = F.struct(F.lit("Organization").alias("@type"), F.array(event).alias("event"))
     html = F.when(k % 2 == 0, _script(F.to_json(event))).otherwise(_script(F.to_json(holder)))
-    return table(spark, sf, "orders").select(F.concat(F.lit("https://venue.example/p/"), key).alias("url"), html.alias("html"))
+    return wide(spark, sf, "orders").select(F.concat(F.lit("https://venue.example/p/"), key).alias("url"), html.alias("html"))
 
 
 _EVENT_START = f"""CAST(CAST({_NOW} AS DATE) + CAST(o_orderkey % 30 - 3 AS INTEGER) AS TIMESTAMP) + CASE o_orderkey % 3 WHEN 0 THEN
@@ -200,7 +200,7 @@ def jsonld_events(spark, sf):
 )
 def savable_events(spark, sf):
     k = F.col("o_orderkey")
-    events = table(spark, sf, "orders").select(
+    events = wide(spark, sf, "orders").select(
         k,
         F.when(k % 97 != 0, as_of() + F.make_dt_interval(days=(k % 300).cast("int"))).alias("start_date"),
         F.when(k % 4 == 0, "Library event").alias("description"),
@@ -228,7 +228,7 @@ def _product_pages(spark, sf):
         .when(k % 3 == 1, F.concat(_script(F.lit("[]")), _script(F.to_json(F.struct(F.array(group).alias("@graph"))))))
         .otherwise(F.concat(_script(F.lit("nope")), _script(F.to_json(F.array(product)))))
     )
-    return table(spark, sf, "part").select(k.alias("item_id"), html.alias("html"))
+    return wide(spark, sf, "part").select(k.alias("item_id"), html.alias("html"))
 
 
 @query(
@@ -270,7 +270,7 @@ def jsonld_offers(spark, sf):
         (k % 90 + 1).alias("price"), F.lit("EUR").alias("priceCurrency"),
     )
     business = F.struct(F.lit("HairSalon").alias("@type"), F.lit("Here").alias("address"), F.array(offer).alias("makesOffer"), menu.alias("hasMenu"))
-    pages = table(spark, sf, "part").select(k.alias("item_id"), _script(F.to_json(business)).alias("html"))
+    pages = wide(spark, sf, "part").select(k.alias("item_id"), _script(F.to_json(business)).alias("html"))
     return J.page_offers(pages)
 
 
@@ -293,7 +293,7 @@ def _shop_feeds(spark, sf):
         F.array(F.struct(F.lit("Color").alias("name"), F.array(F.struct(F.lit("Blue").alias("name"))).alias("terms"))).alias("attributes"),
     )
     body = F.when(k % 2 == 0, F.to_json(F.struct(F.array(first).alias("products")))).otherwise(F.to_json(F.array(second)))
-    return table(spark, sf, "part").select(_site("s", k).alias("domain"), F.lit("EUR").alias("currency"), body.alias("body"))
+    return wide(spark, sf, "part").select(_site("s", k).alias("domain"), F.lit("EUR").alias("currency"), body.alias("body"))
 
 
 @query(
@@ -325,7 +325,7 @@ def shipping_countries(spark, sf):
     k = F.col("c_custkey")
     policy = _pick(k, ["<p>Wir liefern nach Frankreich und Deutschland.</p>", "<p>We ship Worldwide, also to Spain</p>",
                        "<p>UK, Danmark and U.S. orders</p>".replace("U.S. ", "the USA "), "<script>spain</script><p>Ask us</p>"])
-    return table(spark, sf, "customer").select(k.alias("site_id"), F.array_join(shops.ships_to(policy), " ").alias("ships_to"))
+    return wide(spark, sf, "customer").select(k.alias("site_id"), F.array_join(shops.ships_to(policy), " ").alias("ships_to"))
 
 
 @query(
@@ -338,13 +338,13 @@ def seed_shops(spark, sf):
     value = F.concat(
         F.lit('{"_about":"text","'), F.when(F.col("s_suppkey") % 2 == 0, "dk").otherwise("us"), F.lit('":["WWW.s'), key, F.lit('a.example"," s'), key, F.lit('b.example "]}'),
     )
-    return shops.seed_domains(table(spark, sf, "supplier").select(value.alias("value")))
+    return shops.seed_domains(wide(spark, sf, "supplier").select(value.alias("value")))
 
 
 def _product_urls(spark, sf):
     k = F.col("p_partkey")
     slug = F.concat(_pick(k, ["mens-nike-", "asics-", "plain-", "womens-hoka-kids-"]), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")))
-    return table(spark, sf, "part").select(F.concat(F.lit("https://x.example/product/"), k.cast("string"), F.lit("/"), slug).alias("url"))
+    return wide(spark, sf, "part").select(F.concat(F.lit("https://x.example/product/"), k.cast("string"), F.lit("/"), slug).alias("url"))
 
 
 @query(
@@ -374,7 +374,7 @@ def _robots(spark, sf):
         .when(k % 5 == 3, "User-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\nUser-agent: *\nDisallow:")
         .otherwise("User-agent: loombot/1.0\nDisallow: /x.y?z")
     )
-    return table(spark, sf, "supplier").select(
+    return wide(spark, sf, "supplier").select(
         _site("s", k).alias("host"), F.when(k % 17 == 0, 503).when(k % 19 == 0, 404).otherwise(200).alias("status"), F.lit("text/plain").alias("content_type"), body.alias("body"), k
     )
 
@@ -389,7 +389,7 @@ def _robots(spark, sf):
 )
 def robots_access(spark, sf):
     paths = ["/", "/private/x", "/private/open", "/private/open2", "/a", "/doc/f.pdf", "/f.pdf?x", "/x.y?z=1", "/xay?z"]
-    requests = table(spark, sf, "supplier").select(
+    requests = wide(spark, sf, "supplier").select(
         _site("s", F.col("s_suppkey")).alias("host"), F.explode(F.array(*[F.lit(p) for p in paths])).alias("path")
     )
     return X.crawl_permissions(_robots(spark, sf), requests, "LoomBot")
@@ -431,7 +431,7 @@ def _guides(spark, sf):
         F.lit("- [Prices](https://www."), domain, F.lit("/pricing.md): What it costs\n* [Docs](/docs/index)\n- [Away](https://other.example/x): no\n- [Home](/): no\n- [Prices again](/pricing): twice\n- ["),
         F.col("s_name"), F.lit("](about)\n"),
     )
-    return table(spark, sf, "supplier").select(domain.alias("domain"), body.alias("body"))
+    return wide(spark, sf, "supplier").select(domain.alias("domain"), body.alias("body"))
 
 
 @query(
@@ -462,7 +462,7 @@ def merged_guides(spark, sf):
     extra = X.guide_pages(_guides(spark, sf)).groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("path", page))).alias("extra"))
     k = F.col("s_suppkey")
     text = lambda a, b: F.struct(F.lit(a).alias("title"), F.lit(b).alias("content"))
-    stored = table(spark, sf, "supplier").select(
+    stored = wide(spark, sf, "supplier").select(
         _site("s", k).alias("domain"),
         F.create_map(F.lit("/"), text("Home", "h"), F.lit("/pricing"), text("Own", "p")).alias("pages"),
         F.when(k % 4 == 0, "de").otherwise("en").alias("language"),
@@ -488,7 +488,7 @@ def _calendars(spark, sf):
         F.when(k % 3 == 0, F.concat(F.lit("\r\nURL:https://cal.example/"), key)).otherwise(""),
         F.lit("\r\nLOCATION:Room\\n"), key, F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"),
     )
-    return table(spark, sf, "orders").select(F.concat(F.lit("https://cal.example/f"), key, F.lit(".ics")).alias("feed_url"), body.alias("body"))
+    return wide(spark, sf, "orders").select(F.concat(F.lit("https://cal.example/f"), key, F.lit(".ics")).alias("feed_url"), body.alias("body"))
 
 
 _CAL = f"""CAST(CAST({_NOW} AS DATE) + CAST(o_orderkey % 160 - 10 AS INTEGER) AS TIMESTAMP) + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL 19 HOUR
@@ -516,7 +516,7 @@ def calendar_links(spark, sf):
         F.lit('<link rel="alternate" type="text/calendar" href="/c'), key, F.lit('.ics"><a href="/c'), key, F.lit('.ics">x</a><a href="webcal://cal.example/'), key, F.lit('">y</a>')
     )
     links = X.calendar_links(html, F.lit("https://s.example/events"))
-    return table(spark, sf, "supplier").select("s_suppkey", links.alias("l")).select("s_suppkey", F.get("l", F.lit(0)).alias("a"), F.get("l", F.lit(1)).alias("b"))
+    return wide(spark, sf, "supplier").select("s_suppkey", links.alias("l")).select("s_suppkey", F.get("l", F.lit(0)).alias("a"), F.get("l", F.lit(1)).alias("b"))
 
 
 # --- places ---------------------------------------------------------------------------------
@@ -545,7 +545,7 @@ def _elements(spark, sf):
         lambda _, v: v.isNotNull(),
     )
     centre = F.struct((k / 100.0).alias("lat"), (k / 50.0).alias("lon"))
-    return table(spark, sf, "customer").select(
+    return wide(spark, sf, "customer").select(
         k.alias("pos"), tags.alias("tags"), F.when(k % 2 == 0, k / 100.0).alias("lat"), F.when(k % 2 == 0, k / 50.0).alias("lon"), centre.alias("center"),
         F.lit("Aarhus").alias("city"), F.lit("dk").alias("country"),
     )
@@ -598,7 +598,7 @@ def place_records(spark, sf):
 )
 def preferred_fields(spark, sf):
     k = F.col("c_custkey")
-    rows = table(spark, sf, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("domain"), k)
+    rows = wide(spark, sf, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("domain"), k)
     own = rows.where(k % 2 == 0).withColumn("telephone", F.when(k % 3 == 0, "own")).withColumn("email", F.lit("own mail"))
     other = rows.where(k % 3 != 1).withColumn("telephone", F.lit("map")).withColumn("email", F.lit(None).cast("string"))
     return X.prefer_fields(own, other, "domain", ["telephone", "email"])
@@ -617,7 +617,7 @@ def hours_parse(spark, sf):
     k = F.col("c_custkey")
     plain = _pick(k, ["Mo-Fr 09:00-17:00, Sa 10:00-14:00", "Sa - Mo 8:30 - 12:00", "Mo,We 10:00-14:00"])
     mapped = _pick(k, ["24/7", "Mo-Fr 09:00-17:30; Mo 10:00-12:00; PH off", "08:00-12:00, 13:00-18:00; Su off", "by appointment"])
-    return table(spark, sf, "customer").select(
+    return wide(spark, sf, "customer").select(
         k.alias("site_id"), H.hours_line(H.parse_hours(plain)).alias("plain"), H.hours_line(H.parse_map_hours(mapped)).alias("map")
     )
 
@@ -637,7 +637,7 @@ def open_now(spark, sf):
         F.lit(None).cast("string").alias("opens"), F.lit(None).cast("string").alias("closes"))))
     at = as_of() + F.make_dt_interval(hours=(k % 24).cast("int"))
     country = _pick(k, ["Denmark", "us", "JP", "Atlantis"])
-    return table(spark, sf, "customer").select(k.alias("site_id"), H.is_open(hours, special, country, at).alias("open"))
+    return wide(spark, sf, "customer").select(k.alias("site_id"), H.is_open(hours, special, country, at).alias("open"))
 
 
 # --- listings and genres --------------------------------------------------------------------
@@ -652,7 +652,7 @@ def _listing_pages(spark, sf):
         F.lit('</i><i class="t">7:30 PM</i><b class="p">kr. '), (k % 300).cast("string"), F.lit("</b></div>"),
     )
     html = F.concat(F.lit("<html><h1>Shows</h1>"), card(1, "SOLD OUT | "), card(2, "Cancelled: "), F.lit("</html>"))
-    return table(spark, sf, "part").select(F.concat(F.lit("https://hall.example/list/"), key).alias("url"), html.alias("html"))
+    return wide(spark, sf, "part").select(F.concat(F.lit("https://hall.example/list/"), key).alias("url"), html.alias("html"))
 
 
 @query(
@@ -692,7 +692,7 @@ def listing_json(spark, sf):
         F.concat(F.lit("$"), (k % 50).cast("string"), F.lit(".00")).alias("low"),
         F.when(k % 7 == 0, "Cancelled").otherwise("open").alias("status"),
     )
-    feeds = table(spark, sf, "orders").select(F.lit("https://api.example/feed").alias("url"), F.to_json(F.struct(F.array(item).alias("events"))).alias("body"))
+    feeds = wide(spark, sf, "orders").select(F.lit("https://api.example/feed").alias("url"), F.to_json(F.struct(F.array(item).alias("events"))).alias("body"))
     fields = {"link": "slug", "title": "title.text|title", "start": "when", "venue": "hall.name|place", "price": "low", "state": "status"}
     events = X.json_events(X.listing_json(feeds, "api", "events", fields), as_of(), zone="America/New_York", venue="Default", currency="USD")
     return events.select("event_url", "name", F.date_format("start_date", "yyyy-MM-dd HH:mm").alias("starts"), "venue", "price")
@@ -721,7 +721,7 @@ def generic_listings(spark, sf):
 )
 def event_genres(spark, sf):
     k = F.col("p_partkey")
-    events = table(spark, sf, "part").select(
+    events = wide(spark, sf, "part").select(
         k.alias("item_id"),
         F.concat(F.lit("u"), k.cast("string")).alias("url"),
         _pick(k, ["SOLD OUT: The Band with Guest", "Big Band Blues Night", "Chess", "the band – 40 years", "Reading", "Pop"]).alias("name"),
@@ -738,7 +738,7 @@ def event_genres(spark, sf):
 )
 def music_events(spark, sf):
     k = F.col("p_partkey")
-    events = table(spark, sf, "part").select(
+    events = wide(spark, sf, "part").select(
         k.alias("item_id"), _pick(k, ["Foster with Goth", "Gnags – 40 års jubilæum", "Rock climbing"]).alias("name"),
         F.when(k % 3 < 2, "En koncert").alias("description"), F.lit("Hall").alias("venue"),
     )
@@ -751,7 +751,7 @@ def music_events(spark, sf):
 )
 def library_kinds(spark, sf):
     title = _pick(F.col("doc_id"), ["Koncert for BØRN", "Utställning", "Chess"])
-    return table(spark, sf, "documents").select("doc_id", F.array_join(X.library_kinds(title), ", ").alias("kinds"))
+    return wide(spark, sf, "documents").select("doc_id", F.array_join(X.library_kinds(title), ", ").alias("kinds"))
 
 
 @query(
@@ -760,9 +760,9 @@ def library_kinds(spark, sf):
 )
 def website_matches(spark, sf):
     k = F.col("c_custkey")
-    names = table(spark, sf, "customer").select(F.col("c_name").alias("name"), _site("c", k).alias("domain"))
+    names = wide(spark, sf, "customer").select(F.col("c_name").alias("name"), _site("c", k).alias("domain"))
     site = F.when(k % 3 == 0, F.concat(F.lit("https://www."), _site("c", k), F.lit("/x"))).when(k % 3 == 1, F.concat(F.lit("http://en."), _site("c", k))).otherwise("https://x.example")
-    entities = table(spark, sf, "customer").select(F.upper("c_name").alias("label"), F.concat(F.lit("q"), k.cast("string")).alias("entity"), site.alias("website"))
+    entities = wide(spark, sf, "customer").select(F.upper("c_name").alias("label"), F.concat(F.lit("q"), k.cast("string")).alias("entity"), site.alias("website"))
     return X.match_websites(names, entities)
 
 
@@ -779,7 +779,7 @@ def _own_documents(spark, sf):
         .when(k % 6 == 4, "{oops")
         .otherwise('["x"]')
     )
-    return table(spark, sf, "customer").select(_site("c", k).alias("domain"), F.when(k % 17 != 0, F.when(k % 13 == 0, 404).otherwise(200)).alias("status"), doc.alias("body"))
+    return wide(spark, sf, "customer").select(_site("c", k).alias("domain"), F.when(k % 17 != 0, F.when(k % 13 == 0, 404).otherwise(200)).alias("status"), doc.alias("body"))
 
 
 @query(
@@ -804,7 +804,7 @@ def salvaged_json(spark, sf):
     k = F.col("c_custkey")
     json = F.concat(F.lit('{"name":"'), "c_name", F.lit('"}'))
     text = F.when(k % 3 == 0, json).when(k % 3 == 1, F.concat(F.lit("Sure:\n"), json, F.lit("\nDone"))).otherwise("no json {")
-    return table(spark, sf, "customer").select(k.alias("site_id"), J.text_at(J.salvage_json(text), "name").alias("name"))
+    return wide(spark, sf, "customer").select(k.alias("site_id"), J.text_at(J.salvage_json(text), "name").alias("name"))
 
 
 @query(
@@ -818,4 +818,4 @@ def english_overlays(spark, sf):
     english = F.when(k % 3 < 2, F.create_map(F.lit("/"), text("Home"), F.lit("/c"), text("Three")))
     merged = X.english_overlay(own, english, F.when(k % 3 == 0, "en").otherwise("de"))
     shown = lambda m: F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda p: F.concat(p, F.lit("="), F.element_at(m, p)["title"])), " ")
-    return table(spark, sf, "customer").select(k.alias("site_id"), shown(merged).alias("pages"))
+    return wide(spark, sf, "customer").select(k.alias("site_id"), shown(merged).alias("pages"))

@@ -9,7 +9,7 @@ from hostloom.operators.change import cohort_without
 from hostloom.operators.matching import all_words, tokens
 from hostloom.plans import roles
 from hostloom.plans.registry import query, shared
-from hostloom.plans.roles import AS_OF, as_of, table
+from hostloom.plans.roles import AS_OF, as_of, table, wide
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 #: The log's queries have no host-name tail, so the pattern only has to be stated.
@@ -528,7 +528,7 @@ shared(
 
 def _word_matches(spark, sf, k):
     wanted = table(spark, sf, "benchmark").select("item_id", tokens(F.substring("text", 1, 40), 4).alias("words"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id"), tokens(F.col("text"), 4).alias("words"), F.col("doc_id").alias("rank"))
+    docs = wide(spark, sf, "documents").select(F.col("doc_id"), tokens(F.col("text"), 4).alias("words"), F.col("doc_id").alias("rank"))
     return all_words(wanted, "item_id", docs, "doc_id", k=k)
 
 

@@ -9,7 +9,7 @@ from hostloom.functions import urls as U
 from hostloom.operators import pages as P
 from hostloom.plans import roles
 from hostloom.plans.registry import query, shared
-from hostloom.plans.roles import table
+from hostloom.plans.roles import wide
 
 # SQL pieces (RE2): the same white-space class, no look-around.
 _B = r"\s\x{000b}\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -58,7 +58,7 @@ def _link_text(expr: str) -> str:
           AND NOT regexp_matches(domain || '.', '(^|\.)(spam-farm|ththin)\.') GROUP BY domain""",
 )
 def ranked_admissible_hosts(spark, sf):
-    ranks = table(spark, sf, "pages").select((F.col("page_id") + 1).alias("rank"), U.host_of(F.col("url")).alias("domain"))
+    ranks = wide(spark, sf, "pages").select((F.col("page_id") + 1).alias("rank"), U.host_of(F.col("url")).alias("domain"))
     # Host labels of this corpus stand in for the infrastructure list.
     return P.ranked_domains(ranks, 100_000, skipped_suffixes=(".net",), infrastructure=r"(?:^|\.)(?:spam-farm|ththin)\.")
 
@@ -74,7 +74,7 @@ def ranked_admissible_hosts(spark, sf):
     + "), 1, 32) AS text_hash FROM pages",
 )
 def page_text_hash(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.visible_text_hash(F.col("html")).alias("text_hash"))
+    return wide(spark, sf, "pages").select("page_id", T.visible_text_hash(F.col("html")).alias("text_hash"))
 
 
 @query(
@@ -84,7 +84,7 @@ def page_text_hash(spark, sf):
     + " AS t FROM pages)",
 )
 def page_text(spark, sf):
-    text = table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html"), "summary").alias("t"))
+    text = wide(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html"), "summary").alias("t"))
     return text.select("page_id", F.length("t").cast("bigint").alias("chars"), F.md5("t").alias("text_md5"))
 
 
@@ -96,7 +96,7 @@ def page_text(spark, sf):
     """lower(regexp_extract(html, '(?i)<html[^>]+lang=["'']([a-z]{2})', 1)) AS language FROM pages""",
 )
 def page_metadata(spark, sf):
-    return P.page_metadata(table(spark, sf, "pages").drop("url")).drop("site_name")
+    return P.page_metadata(wide(spark, sf, "pages").drop("url")).drop("site_name")
 
 
 _LINK_RE = """(?is)<a[^>]+href=["'']([^"''#]+)["''][^>]*>(.*?)</a>"""
@@ -170,7 +170,7 @@ def _provider_pages(spark, sf):
     a = pick(["calendly.com/c", "www.opentable.co.uk/r", "wolt.com/en/v", "cal.com/", "m.facebook.com/c"], 5)
     b = pick(["book.resy.com/x", "deliveroo.fr/menu", "calendly.com/c"], 3)
     key = k.cast("string")
-    return table(spark, sf, "customer").select(
+    return wide(spark, sf, "customer").select(
         F.concat(F.lit("c"), key, F.lit(".example")).alias("domain"),
         F.concat(
             F.lit('<body><a href="https://'), a, F.when(a.endswith("/"), "").otherwise(key), F.lit('">Go</a> <iframe src="https://'),
@@ -213,7 +213,7 @@ def _sitemaps(spark, sf):
     host = F.concat(F.lit("s"), (key % 50).cast("string"), F.lit(".example"))
     word = F.regexp_replace("p_name", " ", "-")
     entry = lambda path: F.concat(F.lit("<url><loc>https://www."), host, path, F.lit("</loc></url>"))
-    return table(spark, sf, "part").select(
+    return wide(spark, sf, "part").select(
         host.alias("domain"),
         key.alias("file_no"),
         F.concat(
@@ -265,7 +265,7 @@ def sitemap_children(spark, sf):
         F.lit("<sitemapindex>"),
         *[F.concat(F.lit("<loc> https://"), domain, F.lit(f"/{n}"), key, F.lit(".xml </loc>")) for n in ("posts", "page-a", "x", "main", "site")],
     )
-    maps = table(spark, sf, "supplier").select(domain.alias("domain"), body.alias("body"))
+    maps = wide(spark, sf, "supplier").select(domain.alias("domain"), body.alias("body"))
     return P.sitemap_children(maps, k=2)
 
 
@@ -280,7 +280,7 @@ def robots_sitemaps(spark, sf):
         F.lit("User-agent: *\n"),
         *[F.concat(F.lit("  Sitemap: https://s"), key, F.lit(f".example/{n}.xml\r\n")) for n in range(4)],
     )
-    return table(spark, sf, "supplier").select("s_suppkey", F.posexplode(P.robots_sitemaps(lines)).alias("pos", "url"))
+    return wide(spark, sf, "supplier").select("s_suppkey", F.posexplode(P.robots_sitemaps(lines)).alias("pos", "url"))
 
 
 # --- documents ------------------------------------------------------------------------------
@@ -323,7 +323,7 @@ shared(
 
 def _noisy_docs(spark, sf):
     doc = F.col("doc_id")
-    return table(spark, sf, "documents").select(
+    return wide(spark, sf, "documents").select(
         "doc_id",
         "lang",
         F.when(doc % 4 == 0, F.concat(F.lit("Skip to content Back to top. "), "text", F.lit(" We use cookies to improve the page. © 2024 Someone.")))
@@ -394,7 +394,7 @@ def summary_audit(spark, sf):
     )
     language = F.when(F.col("doc_id") % 2 == 0, "en").otherwise(F.col("lang"))
     reason = F.coalesce(P.bad_summary(summary, language), F.lit("fine"))
-    return table(spark, sf, "documents").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("summaries"))
+    return wide(spark, sf, "documents").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("summaries"))
 
 
 @query(
@@ -412,7 +412,7 @@ def parked_pages(spark, sf):
         .when(doc == 2, F.concat("text", F.lit(" Buy this domain")))
         .otherwise(F.col("text"))
     )
-    return table(spark, sf, "documents").where(P.is_parked_or_error(shown)).select("doc_id")
+    return wide(spark, sf, "documents").where(P.is_parked_or_error(shown)).select("doc_id")
 
 
 _PARTS = f"""SELECT {{id}}, i, p FROM (SELECT {{id}}, unnest(range(len(l))) AS i, unnest(l) AS p FROM (
@@ -440,7 +440,7 @@ _BUDGET = """, u AS (SELECT {id}, p, min(i) AS i FROM parts WHERE {keep} GROUP B
 def policy_paragraphs(spark, sf):
     pattern = r"(?i)(?<![A-Za-z0-9_])(?:refund|license|the|der|que)(?![A-Za-z0-9_])"
     text = P.relevant_paragraphs(F.col("text"), relevant=pattern, budget=600)
-    docs = table(spark, sf, "documents").select("doc_id", text.alias("t")).where(F.col("t") != "")
+    docs = wide(spark, sf, "documents").select("doc_id", text.alias("t")).where(F.col("t") != "")
     return docs.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.md5("t").alias("text_md5"))
 
 
@@ -473,7 +473,7 @@ def policy_pages(spark, sf):
         F.lit(" go back to the card and take five business days after the parcel has come in; customs are paid by us.</p></main></body></html>"),
     )
     domain = F.concat(F.lit("shop"), F.floor(doc / 6).cast("string"), F.lit(".example"))
-    shop_pages = table(spark, sf, "documents").select(
+    shop_pages = wide(spark, sf, "documents").select(
         domain.alias("domain"), F.concat(F.lit("https://www."), domain, path).alias("url"), html.alias("html")
     )
     return P.policy_pages(shop_pages)
@@ -486,7 +486,7 @@ def policy_pages(spark, sf):
     + " AS t FROM pages)",
 )
 def subpage_titles(spark, sf):
-    return P.subpage_records(table(spark, sf, "pages")).select("page_id", "title")
+    return P.subpage_records(wide(spark, sf, "pages")).select("page_id", "title")
 
 
 @query(
@@ -500,7 +500,7 @@ def subpage_titles(spark, sf):
 def manifest_pointers(spark, sf):
     k = F.col("c_custkey")
     domain = F.concat(F.lit("c"), k.cast("string"), F.lit(".example"))
-    docs = table(spark, sf, "customer").select(
+    docs = wide(spark, sf, "customer").select(
         domain.alias("domain"),
         F.when(k % 4 == 0, '<https://a.example/>; rel="preload", </h.json>; rel="manifest-x"').alias("link_header"),
         F.when(k % 4 <= 1, '<head><link rel="icon" href="i.png"><link rel="manifest-x" href="site.json"></head><body>')
@@ -527,7 +527,7 @@ def clean_names(spark, sf):
         .otherwise(F.concat("c_name", F.lit(" – home")))
     )
     title = F.when(k % 3 == 0, F.concat(F.lit("Home : About "), "c_name")).when(k % 3 == 1, F.concat("c_name", F.lit(" - Homepage"))).otherwise("Home")
-    return table(spark, sf, "customer").select(
+    return wide(spark, sf, "customer").select(
         "c_custkey",
         T.clean_name(raw, F.concat(F.lit("www.c"), k.cast("string"), F.lit(".example"))).alias("name"),
         T.clean_title(title).alias("title"),
@@ -544,7 +544,7 @@ def clean_names(spark, sf):
           CASE WHEN length(t) > 60 THEN regexp_replace(d, '\\s+\\S*$', '') || '…' ELSE t END AS clipped FROM e""",
 )
 def short_descriptions(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.shorten(F.col("text")).alias("short"), T.clip(F.col("text"), 60).alias("clipped"))
+    return wide(spark, sf, "documents").select("doc_id", T.shorten(F.col("text")).alias("short"), T.clip(F.col("text"), 60).alias("clipped"))
 
 
 @query(
@@ -553,4 +553,4 @@ def short_descriptions(spark, sf):
          'æ', 'ae'), 'å', 'a'), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""",
 )
 def slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
+    return wide(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))

@@ -12,7 +12,7 @@ from hostloom.operators.matching import closest_names, vocabulary
 from hostloom.plans import roles
 from hostloom.plans.catalog_pages import _squeeze
 from hostloom.plans.registry import query, shared
-from hostloom.plans.roles import table
+from hostloom.plans.roles import table, wide
 
 
 def scored_sites(spark, sf):
@@ -133,7 +133,7 @@ def categorise_documents(spark, sf):
 def _categorised(spark, sf):
     doc = F.col("doc_id")
     ending = F.when(doc % 23 == 0, ".gov").when(doc % 23 == 1, ".news").otherwise(".example")
-    records = table(spark, sf, "documents").select(
+    records = wide(spark, sf, "documents").select(
         "doc_id",
         F.concat(F.lit("www."), "source", F.lit("lely"), (doc % 7).cast("string"), ending).alias("domain"),
         F.substring("text", 1, 30).alias("name"),
@@ -166,7 +166,7 @@ def category_fill(spark, sf):
 )
 def label_overlay(spark, sf):
     key = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("domain")
-    docs = table(spark, sf, "documents").select(key, F.col("lang").alias("category"))
+    docs = wide(spark, sf, "documents").select(key, F.col("lang").alias("category"))
     label = F.when(F.col("quality") == 1, "en").when(F.col("toxic") == 1, "bad").otherwise("de")
     return S.accept_labels(docs, table(spark, sf, "labels").select(key, label.alias("label")), ("en", "de", "fr"))
 
@@ -179,13 +179,13 @@ def label_overlay(spark, sf):
 )
 def duplicate_documents(spark, sf):
     text = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    docs = table(spark, sf, "documents").select("doc_id", "n_chars", content_hash(text).alias("text_hash"))
+    docs = wide(spark, sf, "documents").select("doc_id", "n_chars", content_hash(text).alias("text_hash"))
     return S.duplicate_copies(docs, "doc_id", "text_hash", -F.col("n_chars"))
 
 
 def _twin_hosts(spark, sf):
     """Hosts of the corpus, and a ``www.`` or bare twin of those with an even page id."""
-    pages = table(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("domain"))
+    pages = wide(spark, sf, "pages").select("page_id", host_of(F.col("url")).alias("domain"))
     flags = [
         F.when(F.col("page_id") % 3 == 0, "k1").alias("owner_key"),
         (F.col("page_id") % 5 == 0).alias("native"),
@@ -407,7 +407,7 @@ def recrawl_outcomes(spark, sf):
         F.when(i % 3 == 0, content_hash(F.concat("html", F.lit("x")))).otherwise("old"),
         F.when(i % 4 == 0, 0).otherwise(2),
     )
-    return S.outcome_tally(table(spark, sf, "pages").select(label.alias("outcome")))
+    return S.outcome_tally(wide(spark, sf, "pages").select(label.alias("outcome")))
 
 
 @query(
@@ -427,7 +427,7 @@ def search_vocabulary(spark, sf):
        SELECT query, arg_min(name, name) AS name, 1 AS distance FROM m GROUP BY query""",
 )
 def closest_name_queries(spark, sf):
-    names = table(spark, sf, "documents").select(F.lower(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 9)).alias("name")).distinct()
+    names = wide(spark, sf, "documents").select(F.lower(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 9)).alias("name")).distinct()
     typos = names.where(F.length("name") == 9).select(
         F.concat(F.substring("name", 1, 4), F.expr("substring(name, 6)")).alias("query")
     ).distinct()

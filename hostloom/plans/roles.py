@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from hostloom.functions.patterns import first_group
 from hostloom.functions.urls import bare_host
 from hostloom.plans.registry import shared
+from hostloom.sources.tables import spread
 
 #: The clock of the catalogue: the log covers 2024-01-01 to 2024-01-30.
 AS_OF = "2024-01-31 00:00:00"
@@ -28,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for row-by-row text work, on all cores even when it is one small file."""
+    df = table(spark, sf_dir, name)
+    return spread(df, df.columns[0])
+
+
 # --- logs -----------------------------------------------------------------------------------
 
 
@@ -181,7 +188,7 @@ shared(
 
 def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` as a crawled corpus."""
-    return table(spark, sf_dir, "pages").select("page_id", "url", "html", bare_host(F.col("url")).alias("domain"))
+    return wide(spark, sf_dir, "pages").select("page_id", "url", "html", bare_host(F.col("url")).alias("domain"))
 
 
 shared(
