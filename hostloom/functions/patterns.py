@@ -40,8 +40,7 @@ def let(value: Column, body) -> Column:
 
 def collapse(column: Column) -> Column:
     """Runs of white space become one space; both ends are trimmed."""
-    squeezed = F.regexp_replace(column, f"{BLANK}+", " ")
-    return F.regexp_replace(squeezed, "^ | $", "")
+    return F.trim(F.regexp_replace(column, f"{BLANK}+", " "))
 
 
 def strip_blank(column: Column) -> Column:

@@ -182,21 +182,40 @@ def clean_subpage_text(column: Column) -> Column:
     return collapse(F.regexp_replace(replace_all(text, BASIC_ENTITIES), r"[#*_>`|]+", " "))
 
 
+def _holds_any(text: Column, plain: tuple[str, ...]) -> Column:
+    test = text.contains(plain[0])
+    for item in plain[1:]:
+        test = test | text.contains(item)
+    return test
+
+
+def _replace_if(text: Column, hints: tuple[str, ...], pattern: str, by: str = " ") -> Column:
+    """Run a replacement only on texts that hold one of the plain hints."""
+    return let(text, lambda t: F.when(_holds_any(t, hints), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
 def strip_reader_markup(column: Column) -> Column:
     """Undo reader output kept as page text, including a header block on one line."""
     marker = F.instr(column, "Markdown Content:")
-    body = F.when(
-        column.rlike(f"^{BLANK}*Title:") & (marker > 0), F.substring(column, marker + 17, F.length(column))
+    text = F.when(
+        (marker > 0) & column.rlike(f"^{BLANK}*Title:"), F.substring(column, marker + 17, F.length(column))
     ).otherwise(column)
-    text = F.regexp_replace(body, READER_HEADER, " ")
-    text = F.regexp_replace(text, MD_IMAGE, " ")
-    text = F.regexp_replace(text, MD_LINK, "$1")
-    text = F.regexp_replace(text, f"https?://{NOT_BLANK}+", " ")
-    text = F.regexp_replace(text, f"(?m)^{BLANK}*[-*+]{BLANK}+", " ")
-    text = F.regexp_replace(
-        text, rf"(?:^|{BLANK})(?:#{{1,6}}|\*{{1,3}}|>|`{{1,3}}|={{2,}}|-{{3,}}|_{{2,}})(?={BLANK}|$)", " "
-    )
-    return F.regexp_replace(text, r"(\*\*|__)(.+?)\1", "$2")
+    steps = [
+        (("Title:", "URL Source:", "Published Time:", "Warning:", "Markdown Content:"), READER_HEADER, " "),
+        (("](",), MD_IMAGE, " "),
+        (("](",), MD_LINK, "$1"),
+        (("://",), f"https?://{NOT_BLANK}+", " "),
+        (("-", "*", "+"), f"(?m)^{BLANK}*[-*+]{BLANK}+", " "),
+        (
+            ("#", "*", ">", "`", "==", "---", "__"),
+            rf"(?:^|{BLANK})(?:#{{1,6}}|\*{{1,3}}|>|`{{1,3}}|={{2,}}|-{{3,}}|_{{2,}})(?={BLANK}|$)",
+            " ",
+        ),
+        (("**", "__"), r"(\*\*|__)(.+?)\1", "$2"),
+    ]
+    for hints, pattern, by in steps:
+        text = _replace_if(text, hints, pattern, by)
+    return text
 
 
 # --- boilerplate ----------------------------------------------------------------------------
@@ -270,13 +289,6 @@ def sentences(column: Column) -> Column:
     return F.split(column, r' (?<=[.!?] )(?=[A-Z0-9"“(©])')
 
 
-def _holds_any(lowered: Column, plain: tuple[str, ...]) -> Column:
-    test = lowered.contains(plain[0])
-    for item in plain[1:]:
-        test = test | lowered.contains(item)
-    return test
-
-
 def is_noise(sentence: Column) -> Column:
     """The sentence is page chrome rather than content."""
 
@@ -290,11 +302,6 @@ def is_noise(sentence: Column) -> Column:
     return let(F.lower(sentence), judge)
 
 
-def _replace_if(column: Column, test: Column, pattern: str, by: str = " ") -> Column:
-    """Run a replacement only on texts that pass a cheap test."""
-    return F.when(test, F.regexp_replace(column, pattern, by)).otherwise(column)
-
-
 #: Plain texts one of which every inline label holds.
 _CHROME_HINTS = ("skip to ", "accessibility", "navigation", "menu", "back to top")
 
@@ -307,12 +314,12 @@ def clean_page_text(column: Column) -> Column:
 
     def without_chrome(original: Column) -> Column:
         def cleaned(lowered: Column) -> Column:
-            text = _replace_if(original, lowered.contains("cookie") | lowered.contains("consent"), BANNER_BUTTONS)
-            text = _replace_if(text, _holds_any(lowered, _CHROME_HINTS), INLINE_CHROME)
-            text = collapse(drop_menu_runs(text))
-            return F.array_join(F.filter(sentences(text), lambda s: ~is_noise(s)), " ")
+            banner = F.when(_holds_any(lowered, ("cookie", "consent")), F.regexp_replace(original, BANNER_BUTTONS, " ")).otherwise(original)
+            chrome = F.when(_holds_any(lowered, _CHROME_HINTS), F.regexp_replace(banner, INLINE_CHROME, " ")).otherwise(banner)
+            squeezed = let(drop_menu_runs(chrome), lambda t: F.when(t == original, original).otherwise(collapse(t)))
+            return F.trim(F.array_join(F.filter(sentences(squeezed), lambda s: ~is_noise(s)), " "))
 
-        return collapse(let(F.lower(original), cleaned))
+        return let(F.lower(original), cleaned)
 
     def choose(original: Column) -> Column:
         return let(

@@ -12,7 +12,7 @@ from hostloom.functions.patterns import all_matches, blank_to_null, collapse, fi
 from hostloom.functions.text import decode_feed, drop_tags
 from hostloom.functions.times import clock_24, lookup, month_number, next_date, to_utc, wall_time
 from hostloom.functions.urls import host_of, path_of, resolve, same_site, trimmed_path, without_www
-from hostloom.operators.keyed import keep_first, keep_last, settle, top_per_group
+from hostloom.operators.keyed import fence, keep_first, keep_last, settle, top_per_group
 from hostloom.operators.pages import is_own_website
 from hostloom.operators.shops import labels_of
 from hostloom.operators.structured import at, list_at, scalar_at, text_at
@@ -395,9 +395,8 @@ def card_events(cards: DataFrame, zone: str, as_of: Column, default_clock: str =
     fixed = wall_time(optional("year").try_cast("int"), month, day, clock, F.lit(zone))
     start = F.coalesce(fixed, next_date(month, day, clock, F.lit(zone), as_of))
     price = F.regexp_replace(optional("price"), "[^0-9.]", "").try_cast("double")
-    staged = cards.where(F.col("link").isNotNull() & F.col("title").isNotNull() & month.isNotNull()).select(
-        "source",
-        "pos",
+    staged = settle(
+        fence(cards).where(F.col("link").isNotNull() & F.col("title").isNotNull() & month.isNotNull()),
         resolve(F.col("link"), F.col("url")).alias("event_url"),
         clean_listing_title(F.col("title")).alias("name"),
         start.alias("start_date"),
@@ -406,6 +405,7 @@ def card_events(cards: DataFrame, zone: str, as_of: Column, default_clock: str =
         F.lit(country).alias("country"),
         F.when(price > 0, price).alias("price"),
         F.when(price > 0, F.lit(currency)).alias("currency"),
+        keep=["source", "pos"],
     )
     upcoming = F.col("start_date") > as_of - F.make_dt_interval(hours=F.lit(6))
     return keep_first(staged.where(upcoming & ~is_cancelled(F.col("name"))), ["event_url", "start_date"], F.col("pos"))
@@ -443,9 +443,8 @@ def json_events(rows: DataFrame, as_of: Column, zone: str = "UTC", venue: str |
     start = F.coalesce(epoch, to_utc(F.col("start"), F.lit(zone)))
     price = F.regexp_replace(optional("price", None), "[^0-9.]", "").try_cast("double")
     off = F.coalesce(optional("state", None).rlike("(?i)cancel|postpone|aflyst|occurred"), F.lit(False))
-    staged = rows.where(F.col("link").isNotNull() & F.col("title").isNotNull() & ~off).select(
-        "source",
-        "pos",
+    staged = settle(
+        fence(rows).where(F.col("link").isNotNull() & F.col("title").isNotNull() & ~off),
         resolve(F.col("link"), F.col("url")).alias("event_url"),
         clean_listing_title(collapse(decode_feed(drop_tags(F.col("title"))))).alias("name"),
         start.alias("start_date"),
@@ -454,6 +453,7 @@ def json_events(rows: DataFrame, as_of: Column, zone: str = "UTC", venue: str |
         optional("country", country).alias("country"),
         F.when(price > 0, price).alias("price"),
         F.when(price > 0, optional("currency", currency)).alias("currency"),
+        keep=["source", "pos"],
     )
     upcoming = F.col("start_date") > as_of - F.make_dt_interval(hours=F.lit(6))
     return keep_first(staged.where(upcoming), ["event_url", "start_date"], F.col("pos"))

@@ -183,7 +183,8 @@ def categorise(sites: DataFrame, words: Sequence[tuple[str, Sequence[str]]], bro
     import re
 
     def pattern(word: str) -> str:
-        return "(^|[^a-z])" + re.sub(specials, lambda m: "\\" + m.group(0), word) + "([^a-z]|$)"
+        # The texts are padded with blanks, so both ends may ask for a sign that is no letter.
+        return "[^a-z]" + re.sub(specials, lambda m: "\\" + m.group(0), word) + "[^a-z]"
 
     entry = lambda i, w, run: F.struct(
         F.lit(i).alias("ord"), F.lit(pattern(w)).alias("pattern"), F.lit(run).alias("run"),
@@ -202,7 +203,10 @@ def categorise(sites: DataFrame, words: Sequence[tuple[str, Sequence[str]]], bro
         without_www(F.col("domain")).alias("_bare"),
     )
     seen = F.array_intersect(F.split(F.concat_ws(" ", "_pages", "_name", "_actions"), "[^a-z]+"), runs)
-    staged = settle(lowered, seen.alias("_seen"))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    staged = settle(
+        lowered, seen.alias("_seen"), padded("_pages").alias("_p"), padded("_name").alias("_n"), padded("_actions").alias("_a")
+    )
     in_domain = lambda w: F.col("_bare").contains(w["joined"]) & (F.length(w["word"]) >= 4)
     candidates = F.filter(dictionary, lambda w: F.array_contains("_seen", w["run"]) | in_domain(w))
     occurrences = lambda text, w: F.size(F.regexp_extract_all(text, w["pattern"], F.lit(0)))
@@ -211,9 +215,9 @@ def categorise(sites: DataFrame, words: Sequence[tuple[str, Sequence[str]]], bro
         lambda w: F.struct(
             w["ord"].alias("ord"),
             (
-                occurrences(F.col("_pages"), w)
-                + occurrences(F.col("_name"), w) * 2
-                + occurrences(F.col("_actions"), w) * 0.5
+                occurrences(F.col("_p"), w)
+                + occurrences(F.col("_n"), w) * 2
+                + occurrences(F.col("_a"), w) * 0.5
                 + F.when(in_domain(w), 1).otherwise(0)
             ).alias("score"),
         ),

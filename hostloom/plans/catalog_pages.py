@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hostloom.functions import text as T
 from hostloom.functions import urls as U
 from hostloom.operators import pages as P
+from hostloom.operators.keyed import settle
 from hostloom.plans import roles
 from hostloom.plans.registry import query, shared
 from hostloom.plans.roles import wide
@@ -440,7 +441,7 @@ _BUDGET = """, u AS (SELECT {id}, p, min(i) AS i FROM parts WHERE {keep} GROUP B
 def policy_paragraphs(spark, sf):
     pattern = r"(?i)(?<![A-Za-z0-9_])(?:refund|license|the|der|que)(?![A-Za-z0-9_])"
     text = P.relevant_paragraphs(F.col("text"), relevant=pattern, budget=600)
-    docs = wide(spark, sf, "documents").select("doc_id", text.alias("t")).where(F.col("t") != "")
+    docs = settle(wide(spark, sf, "documents"), text.alias("t"), keep=["doc_id"]).where(F.col("t") != "")
     return docs.select("doc_id", F.length("t").cast("bigint").alias("chars"), F.md5("t").alias("text_md5"))
 
 
