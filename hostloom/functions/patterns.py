@@ -43,9 +43,13 @@ def collapse(column: Column) -> Column:
     return F.trim(F.regexp_replace(column, f"{BLANK}+", " "))
 
 
+#: Every sign of :data:`BLANK_CHARS`, for functions that take a set of characters.
+BLANK_SET = " \t\n\r\f\u000b\u00a0\ufeff\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_blank(column: Column) -> Column:
-    """Trim both ends, Unicode blanks included."""
-    return F.regexp_replace(column, f"^{BLANK}+|{BLANK}+$", "")
+    """Trim both ends, Unicode blanks included; looks at the ends only."""
+    return F.btrim(column, F.lit(BLANK_SET))
 
 
 def first_group(column: Column, pattern: str, group: int = 1) -> Column:
