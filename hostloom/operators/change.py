@@ -390,3 +390,14 @@ def platform_limits(hits: DataFrame, as_of: Column, limits: dict[str, int]) -> D
     return sums.withColumn("limit", rule).where(F.col("hits") >= F.col("limit"))
 
 
+
+
+def recipients(rows: DataFrame, accounts: DataFrame, key: str = "owner_key") -> DataFrame:
+    """Rows with the address of the account that owns them; rows without an account drop out."""
+    return rows.join(accounts.select(F.col("key_hash").alias(key), "email"), key)
+
+
+def audience(readers: DataFrame, per_run: int) -> DataFrame:
+    """Confirmed readers who have not left, as many as one run may write to."""
+    active = readers.where(F.col("confirmed_at").isNotNull() & F.col("unsubscribed_at").isNull())
+    return active.select("email").orderBy("email").limit(per_run)

@@ -3,6 +3,7 @@
 from hostloom.plans import (  # noqa: F401  (importing registers the queries)
     catalog_change,
     catalog_extract,
+    catalog_jobs,
     catalog_logs,
     catalog_pages,
     catalog_report,
