@@ -1,5 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -7,6 +9,7 @@ import __spark_entry__ as entry
 from check import TABLES, rows_of
 from hostloom.session import configure
 
+PYTHON_STAGE = re.compile("ArrowEvalPython|MapInPandas|MapInArrow|BatchEvalPython|FlatMapGroupsInPandas")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -21,6 +24,8 @@ def duck(small):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(name, spark, small, duck):
     frame = QUERIES[name](configure(spark), small)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert not PYTHON_STAGE.search(plan) and "CartesianProduct" not in plan
     got = rows_of(frame.columns, frame.collect())
     if name not in ORACLES:
         assert frame.columns
