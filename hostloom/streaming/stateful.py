@@ -1,8 +1,7 @@
 """Keyed state: price, stock, page and once-per-hour alerts.
 
-Each processor keeps a few values per key. The state lives in RocksDB, is dropped after a
-year without rows (the retention of the histories) and comes back from the checkpoint
-after a failure.
+Each processor keeps a few values per key. The state lives in RocksDB and comes back from
+the checkpoint after a failure. It has no time to live: a key keeps its last values.
 Rows of one key are taken in event-time order within a batch. The rules repeat the batch
 operators of :mod:`hostloom.operators.change`; the tests compare both on the same rows.
 """
@@ -15,8 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-YEAR_MS = 365 * 86_400_000
-
 
 def use_state_store(spark: SparkSession) -> None:
     """Stateful processors need the RocksDB state store."""
@@ -30,7 +27,7 @@ class PriceWatch(StatefulProcessor):
     """Price drops and restocks of one item, against the observation before."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "price_eur double, available boolean", ttlDurationMs=YEAR_MS)
+        self.last = handle.getValueState("last", "price_eur double, available boolean", ttlDurationMs=None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen = pd.concat(list(rows)).sort_values(["observed_at", "observation_id", "price_eur", "available"], kind="stable")
@@ -63,7 +60,7 @@ def price_alerts(observations: DataFrame) -> DataFrame:
         statefulProcessor=PriceWatch(),
         outputStructType="url string, kind string, observation_id bigint, previous_price_eur double, price_eur double",
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode="None",
     )
 
 
@@ -71,7 +68,7 @@ class PageWatch(StatefulProcessor):
     """Change, appearance or disappearance on one watched page."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "text_hash string, seen boolean, alerted boolean", ttlDurationMs=YEAR_MS)
+        self.last = handle.getValueState("last", "text_hash string, seen boolean, alerted boolean", ttlDurationMs=None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         reads = pd.concat(list(rows)).sort_values("checked_at", kind="stable")
@@ -101,7 +98,7 @@ def page_alerts(reads: DataFrame) -> DataFrame:
     Hash and phrase test are Spark columns of the reads, see ``change.check_pages``.
     """
     return reads.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=PageWatch(), outputStructType="id bigint, watch_for string, checked_at timestamp", outputMode="Update", timeMode="ProcessingTime"
+        statefulProcessor=PageWatch(), outputStructType="id bigint, watch_for string, checked_at timestamp", outputMode="Update", timeMode="None"
     )
 
 
@@ -109,7 +106,7 @@ class HourlyAlert(StatefulProcessor):
     """First occurrence of a problem in each clock hour, told at once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.told = handle.getValueState("told", "hour timestamp", ttlDurationMs=YEAR_MS)
+        self.told = handle.getValueState("told", "hour timestamp", ttlDurationMs=None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         seen = pd.concat(list(rows)).sort_values("at", kind="stable")
@@ -128,5 +125,5 @@ class HourlyAlert(StatefulProcessor):
 def immediate_alerts(problems: DataFrame) -> DataFrame:
     """Stream of (key, at) problems to one alert per key and clock hour."""
     return problems.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=HourlyAlert(), outputStructType="key string, hour timestamp, first_at timestamp", outputMode="Update", timeMode="ProcessingTime"
+        statefulProcessor=HourlyAlert(), outputStructType="key string, hour timestamp, first_at timestamp", outputMode="Update", timeMode="None"
     )
