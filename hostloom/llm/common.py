@@ -5,13 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch. Texts may be long, so both stay small.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
@@ -57,6 +58,33 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dense(table: DataFrame, key: str, value: str, bits: int) -> Column:
+    """A table of at most ``2 ** bits`` rows as one array, 0 where a key is missing."""
+    every = table.sparkSession.range(1 << bits).join(table, F.col("id") == F.col(key), "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce(value, F.lit(0).cast("bigint")).alias("v")))), lambda x: x.v)).scalar()
+
+
+def top_bits(h: Column, bits: int) -> Column:
+    """The highest bits of a 64-bit hash."""
+    return F.shiftrightunsigned(h, 64 - bits)
+
+
+def bit_of(h: Column) -> Column:
+    """A 64-bit cell with the bit that the lowest six bits of a hash name."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+
+
+def perhaps_among(keys: DataFrame, columns: Sequence[str], bits: int = 17) -> Column:
+    """A test for rows whose ``columns`` may occur in ``keys``: never false for one that does.
+
+    The keys' hashes set bits in a table of ``2 ** bits`` 64-bit cells, whatever their
+    number. It keeps most other rows out of the shuffle of an exact join that follows.
+    """
+    place = F.xxhash64(*columns)
+    cells = keys.groupBy(top_bits(place, bits).alias("cell")).agg(F.bit_or(bit_of(place)).alias("bits"))
+    return F.element_at(dense(cells, "cell", "bits", bits), (top_bits(place, bits) + 1).cast("int")).bitwiseAND(bit_of(place)) != 0
+
+
 class Block(NamedTuple):
     """Consecutive texts of a batch: rows [first, last), their bytes and where each begins."""
 

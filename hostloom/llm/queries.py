@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostloom.llm import bpe, decontaminate, passages, pii, quality, token_files, toxicity, url_rules
+from hostloom.llm import bpe, decontaminate, jaccard_join, line_dedup, passages, pii, quality, token_files, toxicity, url_rules
 from hostloom.llm.common import batched
 
 QUERIES = {}
@@ -47,6 +47,33 @@ def op4(spark, sf_dir):
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+LINES_SQL = r"""
+WITH every AS (
+  SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), (x, i) -> {'no': i - 1, 'line': x})) AS l FROM documents WHERE doc_id IS NOT NULL
+), sets AS (
+  SELECT doc_id, l.no AS line_no, list_sort(list_distinct(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+'))) AS words FROM every
+), filled AS (SELECT * FROM sets WHERE len(words) > 0
+), first AS (
+  SELECT words, len(words) AS n, min((doc_id, line_no)) AS place FROM filled GROUP BY words
+), near AS (
+  SELECT DISTINCT b.place FROM first a JOIN first b ON a.place < b.place AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  WHERE 5 * len(list_intersect(a.words, b.words)) >= 4 * (a.n + b.n - len(list_intersect(a.words, b.words)))
+)
+SELECT DISTINCT f.doc_id, CAST(f.line_no AS INTEGER) AS line_no FROM filled f JOIN first USING (words)
+WHERE (f.doc_id, f.line_no) > first.place OR first.place IN (SELECT place FROM near)
+"""
+
+
+@query("op5_line_set_join", LINES_SQL)
+def op5(spark, sf_dir):
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op9_lsh_forest_join")
+def op9(spark, sf_dir):
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 @query("op6_suffix_automaton_dedup")
 def op6(spark, sf_dir):
     return passages.without_repeats(table(spark, sf_dir, "documents"))
