@@ -49,7 +49,7 @@ def op4(spark, sf_dir):
 
 LINES_SQL = r"""
 WITH every AS (
-  SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), (x, i) -> {'no': i - 1, 'line': x})) AS l FROM documents WHERE doc_id IS NOT NULL
+  SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'no': i - 1, 'line': x})) AS l FROM documents WHERE doc_id IS NOT NULL
 ), sets AS (
   SELECT doc_id, l.no AS line_no, list_sort(list_distinct(regexp_extract_all(l.line, '[^\x20\x09-\x0D]+'))) AS words FROM every
 ), filled AS (SELECT * FROM sets WHERE len(words) > 0
