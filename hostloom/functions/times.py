@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,25 @@ def event_zone(country: Column, region: Column, longitude: Column, page_url: Col
     return F.when(code.isin("us", "ca"), america).otherwise(F.coalesce(lookup(EVENT_ZONES, code), F.lit("UTC")))
 
 
+#: Zone names that office calendars write, and their zone ids.
+OFFICE_ZONES = {
+    "Romance Standard Time": "Europe/Paris", "W. Europe Standard Time": "Europe/Berlin", "Central Europe Standard Time": "Europe/Budapest",
+    "Central European Standard Time": "Europe/Warsaw", "GMT Standard Time": "Europe/London", "E. Europe Standard Time": "Europe/Chisinau",
+    "FLE Standard Time": "Europe/Kiev", "GTB Standard Time": "Europe/Bucharest", "Russian Standard Time": "Europe/Moscow",
+    "Turkey Standard Time": "Europe/Istanbul", "Eastern Standard Time": "America/New_York", "Central Standard Time": "America/Chicago",
+    "Mountain Standard Time": "America/Denver", "Pacific Standard Time": "America/Los_Angeles", "Atlantic Standard Time": "America/Halifax",
+    "Tokyo Standard Time": "Asia/Tokyo", "China Standard Time": "Asia/Shanghai", "India Standard Time": "Asia/Kolkata",
+    "AUS Eastern Standard Time": "Australia/Sydney", "New Zealand Standard Time": "Pacific/Auckland",
+}
+
+
+def known_zone(name: Column) -> Column:
+    """A zone id for a calendar's zone name: quotes go, office names are mapped, unknown names are UTC."""
+    plain = F.trim(F.regexp_replace(name, '"', ""))
+    mapped = F.coalesce(lookup(OFFICE_ZONES, plain), plain)
+    return F.when(mapped.isin(*sorted(available_timezones())), mapped).otherwise("UTC")
+
+
 def to_utc(value: Column, zone: Column) -> Column:
     """ISO text to an instant; wall time without an offset is local to ``zone``."""
     text = strip_blank(F.coalesce(value, F.lit("")))
@@ -93,8 +114,10 @@ def clock_24(text: Column) -> Column:
 
 
 def wall_time(year: Column, month: Column, day: Column, clock: Column, zone: Column) -> Column:
-    """Instant of a local date and ``HH:MM`` clock."""
-    text = F.concat(F.date_format(F.make_date(year, month, day), "yyyy-MM-dd"), F.lit(" "), F.lpad(F.replace(clock, F.lit("."), F.lit(":")), 5, "0"))
+    """Instant of a local date and ``HH:MM`` clock; NULL for dates that don't exist, such as 31 February."""
+    padded = lambda part, n: F.lpad(part.cast("string"), n, "0")
+    date = F.concat(padded(year, 4), F.lit("-"), padded(month, 2), F.lit("-"), padded(day, 2))
+    text = F.concat(date, F.lit(" "), F.lpad(F.replace(clock, F.lit("."), F.lit(":")), 5, "0"))
     return F.to_utc_timestamp(F.try_to_timestamp(text), zone)
 
 

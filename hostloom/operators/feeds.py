@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hostloom.functions import hours as H
 from hostloom.functions.patterns import all_matches, blank_to_null, collapse, first_group, let, strip_blank, words
 from hostloom.functions.text import decode_feed, drop_tags
-from hostloom.functions.times import clock_24, lookup, month_number, next_date, to_utc, wall_time
+from hostloom.functions.times import clock_24, known_zone, lookup, month_number, next_date, to_utc, wall_time
 from hostloom.functions.urls import host_of, path_of, resolve, same_site, trimmed_path, without_www
 from hostloom.operators.keyed import fence, keep_first, keep_last, settle, top_per_group
 from hostloom.operators.pages import is_own_website
@@ -220,7 +220,7 @@ def calendar_time(params: Column, value: Column, zone: Column) -> Column:
     part = lambda g: F.regexp_extract(value, pattern, g)
     clock = F.when(part(4) != "", F.concat(part(4), F.lit(":"), part(5))).otherwise("00:00")
     text = F.concat_ws(" ", F.concat_ws("-", part(1), part(2), part(3)), clock)
-    named = F.coalesce(first_group(params, "(?i)TZID=([^;:]+)"), zone, F.lit("UTC"))
+    named = known_zone(F.coalesce(first_group(params, "(?i)TZID=([^;:]+)"), zone))
     wall = F.try_to_timestamp(text)
     return F.when(value.rlike(pattern), F.when(part(6) == "Z", wall).otherwise(F.to_utc_timestamp(wall, named)))
 

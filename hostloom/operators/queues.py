@@ -117,8 +117,8 @@ def queue_outcome(domain: Column, exists: Column, public: Column, claimed: Colum
 
 
 def complete_requests(queue: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Write outcomes back to the queue; requests without an outcome stay open."""
-    done = outcomes.select("domain", F.col("outcome").alias("_outcome"))
+    """Write outcomes back to the queue; requests without an outcome stay open. Of several outcomes the greatest counts."""
+    done = outcomes.groupBy("domain").agg(F.max("outcome").alias("_outcome"))
     return queue.join(done, "domain", "left").select(
         "domain",
         "requested_at",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Runtime settings that matter for correctness (time zone) and scale (AQE).
@@ -39,27 +37,3 @@ def local_session(app: str = "hostloom", cores: int | str = 8, shuffle: int = 8)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names, or a fresh local one.
-
-    ``spark.checkpoint.dir`` is the cluster's choice and always wins. Only a
-    local master may fall back to a temporary folder, because executors on other
-    machines could not read it.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="hostloom-ckpt-")
-
-
-def cut_lineage(df):
-    """Reliable checkpoint: the result survives the loss of any executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)

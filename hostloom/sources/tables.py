@@ -17,17 +17,6 @@ def parquet(spark: SparkSession, path: str, columns: list[str] | None = None, wh
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Let all cores work on a table stored in fewer splits than there are cores.
-
-    For row-by-row text work on small or badly split files. A large table has more
-    splits than cores and is returned as it is, so nothing big is ever shuffled for
-    this. The split count comes from the scan plan; no job runs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def by_day(spark: SparkSession, path: str, start: str, end: str, day: str = "day") -> DataFrame:
     """Days ``[start, end)`` of a day-partitioned log; other partitions are not read."""
     return spark.read.parquet(path).where((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) < F.lit(end).cast("date")))
