@@ -7,7 +7,7 @@
    a passage in a third of all documents is no hot group). Stretches of these windows are the
    reference: each repeated window is in it once, whatever the number of copies.
 3. Shards: the reference is cut into shards of about ``SHARD`` words. Documents go, stretch by
-   stretch, only to shards that have their anchors; each task builds the shard's suffix
+   stretch, only to the shard of the first document with these windows; each task builds the shard's suffix
    automaton and streams its stretches for matching statistics. A shard that very many
    stretches need is given to several tasks.
 4. Words under a match of ``size`` or more words from a smaller document id are removed.
@@ -20,15 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostloom.llm.common import _ITEMS, Words, batched, blocks, mixed, settled, span_hashes, text_array, windows_of, words_of
 
 #: Words of a window, and of an anchor inside it.
 SIZE, GRAM = 50, 10
-#: Reference words of a shard, and anchors of documents that one task takes with it.
-SHARD, LOAD = 100_000, 50_000
+#: Reference words of a shard, and windows of documents that one task takes with it.
+SHARD, LOAD = 100_000, 1_000_000
 
 
 def _least_before(values: np.ndarray, width: int) -> np.ndarray:
@@ -55,6 +55,11 @@ def anchors(words: Words, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarra
     return hashes, at, grams[place], place
 
 
+def _changes(places: np.ndarray) -> np.ndarray:
+    """Where another anchor begins: neighbouring windows mostly have the same one."""
+    return np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else np.zeros(0, np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -73,16 +78,18 @@ def anchor_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
             ids, at = batch.column("doc_id"), 0
             for block in blocks(text_array(batch.column("text"))):
                 words = words_of(block)
-                _, window, hashes, _ = anchors(words, size, gram)
+                _, window, hashes, places = anchors(words, size, gram)
                 text = np.searchsorted(words.first, window, "right") - 1
-                pairs = np.unique(np.rec.fromarrays([text, hashes]))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(pairs.f0 + at)), pa.array(_signed(np.ascontiguousarray(pairs.f1)))], names=["doc_id", "anchor"])
+                new = _changes(places)
+                _, once = np.unique(mixed(hashes[new] + text[new].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                new = new[once]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new] + at)), pa.array(_signed(hashes[new]))], names=["doc_id", "anchor"])
                 at += block.last - block.first
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, anchor bigint")
 
 
-CANDIDATES = "doc_id bigint, key bigint, n_words bigint, kept_sha256 string, text string, windows array<bigint>, at array<int>, anchors array<bigint>, places array<int>"
+CANDIDATES = "doc_id bigint, key bigint, n_words bigint, kept_sha256 string, text string, windows array<bigint>, at array<int>"
 
 
 def candidates(docs: DataFrame, size: int, gram: int) -> DataFrame:
@@ -103,18 +110,20 @@ def candidates(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 for k in range(block.last - block.first):
                     a, b = bounds[k], bounds[k + 1]
                     known = shared[at + k].values
-                    keep = a + np.flatnonzero(np.isin(_signed(hashes[a:b]), known.to_numpy())) if known is not None and len(known) else np.zeros(0, np.int64)
+                    keep = np.zeros(0, np.int64)
+                    if known is not None and len(known):
+                        new = _changes(places[a:b])
+                        hit = np.isin(_signed(hashes[a:b][new]), known.to_numpy())
+                        keep = a + np.flatnonzero(np.repeat(hit, np.diff(np.append(new, b - a))))
                     n = int(words.first[k + 1] - words.first[k])
                     raw = block.data[block.offsets[k] : block.offsets[k + 1]].tobytes()
-                    if not len(keep):
-                        out.append((_key(words, k), n, _digest(raw, None), None, None, None, None, None))
-                        continue
-                    start = words.first[k]
-                    place, which = np.unique(places[keep], return_index=True)
-                    out.append((_key(words, k), n, None, raw.decode(), _signed(windows[keep]), (first[keep] - start).astype(np.int32), _signed(hashes[keep[which]]), (place - start).astype(np.int32)))
+                    if len(keep):
+                        out.append((_key(words, k), n, None, raw.decode(), _signed(windows[keep]), (first[keep] - words.first[k]).astype(np.int32)))
+                    else:
+                        out.append((_key(words, k), n, _digest(raw, None), None, None, None))
                 columns = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(out)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "key", "n_words", "kept_sha256", "text", "windows", "at", "anchors", "places"])
+                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(out)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "key", "n_words", "kept_sha256", "text", "windows", "at"])
                 at += block.last - block.first
 
     return docs.select("doc_id", "text").join(mine, "doc_id", "left").mapInArrow(run, CANDIDATES)
@@ -205,9 +214,8 @@ class Automaton:
                     yield place + 1
 
 
-def reference(rows: DataFrame, size: int, gram: int, shards: int) -> DataFrame:
-    """``shard, owner, words, anchors``: stretches of windows at the first document that has them."""
-    first = rows.select("doc_id", F.explode("windows").alias("window")).groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
+def reference(rows: DataFrame, first: DataFrame, size: int, shards: int) -> DataFrame:
+    """``shard, owner, words``: stretches of windows at the first document that has them."""
     owned = first.groupBy("owner").agg(F.collect_list("window").alias("own"))  # at most a document's own windows
 
     def run(batches):
@@ -215,28 +223,30 @@ def reference(rows: DataFrame, size: int, gram: int, shards: int) -> DataFrame:
             out = []
             for owner, text, own, at, windows in zip(batch.column("owner").to_pylist(), batch.column("text").to_pylist(), batch.column("own"), batch.column("at"), batch.column("windows"), strict=True):
                 hit = at.values.to_numpy()[np.isin(windows.values.to_numpy(), own.values.to_numpy())]
-                words = next(blocks(text_array(pa.array([text]))))
-                words = words_of(words)
-                _, window, hashes, _ = anchors(words, size, gram)
-                for a, b in _spans(hit, size):
-                    out.append((int(owner), _signed(words.hashes[a:b]).tobytes(), np.unique(_signed(hashes[a : b - size + 1]))))
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64()))], names=["owner", "words", "anchors"])
+                words = words_of(next(blocks(text_array(pa.array([text])))))
+                out += [(int(owner), _signed(words.hashes[a:b]).tobytes()) for a, b in _spans(hit, size)]
+            columns = list(zip(*out, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["owner", "words"])
 
     texts = rows.where("text is not null").select(F.col("doc_id").alias("owner"), "text", "at", "windows")
-    found = texts.join(owned, "owner").mapInArrow(run, "owner bigint, words binary, anchors array<bigint>")
-    return found.select(F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard"), "owner", "words", "anchors")
+    return texts.join(owned, "owner").mapInArrow(run, "owner bigint, words binary").select(_shard("owner", shards).alias("shard"), "owner", "words")
+
+
+def _shard(owner: str, shards: int) -> Column:
+    return F.pmod(F.xxhash64(owner), F.lit(shards))
 
 
-def repeated(rows: DataFrame, size: int, gram: int) -> DataFrame:
+def repeated(rows: DataFrame, size: int) -> DataFrame:
     """``doc_id, key, gone``: starts and ends of removed stretches of every row that has some."""
     # Reference words are at most the candidate windows and ``size`` more per stretch.
     n = rows.agg(F.sum(F.size("windows").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-n // (2 * SHARD)))
-    stretches = settled(reference(rows, size, gram, shards))
-    homes = stretches.select("shard", F.explode("anchors").alias("anchor")).distinct()
-    mine = rows.where("text is not null").select("doc_id", "key", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select("doc_id", "key", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place"))
-    routes = settled(mine.join(homes, "anchor").groupBy("doc_id", "key", "shard").agg(F.collect_list("place").alias("places")))
+    here = rows.where("text is not null").select("doc_id", "key", F.explode(F.arrays_zip("windows", "at")).alias("w")).select("doc_id", "key", F.col("w.windows").alias("window"), F.col("w.at").alias("at"))
+    first = settled(here.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("window", "owner"))
+    stretches = settled(reference(rows, first, size, shards))
+    # A stretch goes to the shard of the document that has its windows first, and to no other.
+    routed = here.join(first, "window").where("owner < doc_id").groupBy("doc_id", "key", _shard("owner", shards).alias("shard"))
+    routes = settled(routed.agg(F.collect_list("at").alias("places")))
     # A shard that many stretches need goes to several tasks.
     tasks = routes.groupBy("shard").agg(F.ceil(F.sum(F.size("places")) / LOAD).cast("int").alias("tasks"))
 
@@ -245,13 +255,7 @@ def repeated(rows: DataFrame, size: int, gram: int) -> DataFrame:
             out = []
             for doc, key, text, shard, task, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "shard", "task")), batch.column("places"), strict=True):
                 words = words_of(next(blocks(text_array(pa.array([text])))))
-                place = np.unique(places.values.to_numpy())
-                # All windows that have an anchor at `place`: begin up to size - gram before it.
-                lows, highs = np.maximum(place - (size - gram), 0), np.minimum(place + size, len(words.hashes))
-                breaks = np.flatnonzero(lows[1:] > highs[:-1]) + 1
-                for part in np.split(np.arange(len(place)), breaks):
-                    a, b = int(lows[part[0]]), int(highs[part[-1]])
-                    out.append((shard, task, doc, key, a, _signed(words.hashes[a:b]).tobytes()))
+                out += [(shard, task, doc, key, a, _signed(words.hashes[a:b]).tobytes()) for a, b in _spans(np.unique(places.values.to_numpy()), size)]
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["shard", "task", "doc_id", "key", "start", "words"])
 
@@ -289,7 +293,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
         raise ValueError("an anchor is a part of a window")
     batched(docs.sparkSession)
     rows = settled(candidates(docs, size, gram))
-    gone = repeated(rows, size, gram)
+    gone = repeated(rows, size)
 
     def digest(batches):
         for batch in batches:
