@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostloom.llm.common import perhaps_among, settled, top_bits
+from hostloom.operators.keyed import settle
 
 #: Least Jaccard similarity of alike lines, as a fraction, so that every bound is exact.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -24,13 +25,20 @@ NUMERATOR, DENOMINATOR = 4, 5
 BUCKET_BITS = 14
 #: Rarest words by which lines meet the earliest class first.
 FIRST = 2
+#: Lines of more words have a longer bitmap.
+LONG = 100
 
-_BLANKS = "[\\x20\\x09-\\x0D]+"
+
+def split_words(text: Column) -> Column:
+    """Words ``[^\\x20\\x09-\\x0D]+``, and empty strings where blanks meet."""
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(text, " ")
 
 
 def words(line: Column) -> Column:
     """64-bit hashes of the different words ``[^\\x20\\x09-\\x0D]+`` of a line."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, _BLANKS), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -45,83 +53,95 @@ def _ceil(n: Column, a: int, b: int) -> Column:
 
 def frequencies(docs: DataFrame) -> DataFrame:
     """``bucket, n``: words by bucket of their hash, counted over all lines."""
-    word = docs.where("doc_id is not null").select(F.explode(F.split("text", _BLANKS)).alias("word"))
+    word = docs.where("doc_id is not null").select(F.explode(split_words(F.col("text"))).alias("word"))
     return word.groupBy(top_bits(F.xxhash64("word"), BUCKET_BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _word_bit(w: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(w, 40).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+
+
 def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``doc_id, line_no, class, n, sketch, prefix`` of every line with a word.
+    """``doc_id, line_no, class, n, sketch, more, prefix`` of every line with a word.
 
     ``class`` hashes the set. ``prefix`` has the rarest words, enough for every alike line to
     share one; sets of up to three words are alike only if equal, so theirs is empty.
     ``sketch`` has a parity bit per word: sets differ in at least as many words as their
-    sketches in bits.
+    sketches in bits. Long lines have eight more sketches, since 64 bits tell them apart no more.
     """
     # At most 2 ** BUCKET_BITS rows; eight steps to each doubling are fine enough for an order.
     found = {r.bucket: r.step for r in counts.select("bucket", (F.log2("n") * 8).cast("int").alias("step")).collect()}
     table = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(1 << BUCKET_BITS))), ",").cast("array<bigint>")
     # Rarity first, then the word: one number, so that sorting is cheap.
     rank = lambda w: F.element_at(table, (top_bits(w, BUCKET_BITS) + 1).cast("int")) * (1 << 32) + w.bitwiseAND(F.lit((1 << 32) - 1))
-    sets = lines(docs).select("doc_id", "line_no", F.sort_array(words(F.col("line"))).alias("words")).where("size(words) > 0")
-    sketch = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(w, 40).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))))
+    # `settle` keeps the filter below from computing the words a second time.
+    sets = settle(lines(docs), F.sort_array(words(F.col("line"))).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
+    sketch = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
     n = F.size("words")
+    part = lambda k: F.aggregate(F.filter("words", lambda w: F.shiftrightunsigned(w, 48).bitwiseAND(F.lit(7).cast("bigint")) == k), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
+    more = F.when(n > LONG, F.transform(F.sequence(F.lit(0), F.lit(7)), part))
     few = F.slice(F.sort_array(F.transform("words", rank)), F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
     prefix = F.transform(few, lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)))
-    return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), prefix.alias("prefix"))
+    return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), prefix.alias("prefix"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """One row per different set: ``class, n, sketch, prefix, copies`` and its first place."""
-    first = sets.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
-    return first.select("class", "n", "sketch", "prefix", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
+    """One row per different set: ``class, n, sketch, more, prefix, copies`` and its first place."""
+    first = sets.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("more").alias("more"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
+    return first.select("class", "n", "sketch", "more", "prefix", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
 
 
-def _could_be(n: Column, m: Column, at: Column, by: Column, sketch: Column, other: Column) -> Column:
+def _could_be(n: Column, m: Column, at: Column, by: Column, sketch: Column, other: Column, more: Column, others: Column) -> Column:
     """Length, place and bitmap filters on sets of ``n`` and ``m`` words that share a word at ``at`` and ``by``."""
     both = _ceil(n + m, NUMERATOR, NUMERATOR + DENOMINATOR)  # least overlap of alike sets
-    return (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & (F.least(n - at, m - by) >= both) & (F.bit_count(sketch.bitwiseXOR(other)) <= n + m - both * 2)
+    differ = F.aggregate(F.zip_with(more, others, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    longer = F.coalesce(differ <= n + m - both * 2, F.lit(True))
+    return (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & (F.least(n - at, m - by) >= both) & (F.bit_count(sketch.bitwiseXOR(other)) <= n + m - both * 2) & longer
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """The different pairs of classes, with the places of both."""
-    return settled(rows.select("late", "late_doc", "late_line", "early", "early_doc", "early_line").distinct())
+    """The different pairs of places, later and earlier."""
+    return settled(rows.select("late_doc", "late_line", "early_doc", "early_line").distinct())
 
 
 def first_pairs(known: DataFrame) -> DataFrame:
     """Each class with the earliest one that shares one of its :data:`FIRST` rarest words, if they could be alike."""
-    rows = known.select("class", "n", "sketch", "doc_id", "line_no", F.posexplode(F.slice("prefix", 1, FIRST)).alias("at", "word"))
+    rows = known.select("n", "sketch", "more", "doc_id", "line_no", F.posexplode(F.slice("prefix", 1, FIRST)).alias("at", "word"))
     band = F.floor(F.log(F.col("n").cast("double")) * 4)
-    head = F.first(F.struct("class", "n", "sketch", "at", "doc_id", "line_no")).over(Window.partitionBy("word", band).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = rows.withColumn("h", head).where(F.col("h.class") != F.col("class"))
-    both = both.where(_could_be(F.col("n"), F.col("h.n"), F.col("at"), F.col("h.at"), F.col("sketch"), F.col("h.sketch")))
-    return _pairs(both.select(F.col("class").alias("late"), F.col("doc_id").alias("late_doc"), F.col("line_no").alias("late_line"), F.col("h.class").alias("early"), F.col("h.doc_id").alias("early_doc"), F.col("h.line_no").alias("early_line")))
+    head = F.first(F.struct("n", "sketch", "more", "at", "doc_id", "line_no")).over(Window.partitionBy("word", band).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = rows.withColumn("h", head).where(F.struct("h.doc_id", "h.line_no") < F.struct("doc_id", "line_no"))
+    both = both.where(_could_be(F.col("n"), F.col("h.n"), F.col("at"), F.col("h.at"), F.col("sketch"), F.col("h.sketch"), F.col("more"), F.col("h.more")))
+    return _pairs(both.select(F.col("doc_id").alias("late_doc"), F.col("line_no").alias("late_line"), F.col("h.doc_id").alias("early_doc"), F.col("h.line_no").alias("early_line")))
 
 
 def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
-    """All pairs that could be alike whose later class isn't among ``done``."""
-    flagged = known.join(done.withColumn("done", F.lit(True)), known["class"] == done["late"], "left").select("class", "n", "sketch", "doc_id", "line_no", "prefix", F.col("done").isNotNull().alias("done"))
-    rows = flagged.select("class", "n", "sketch", "doc_id", "line_no", "done", F.posexplode("prefix").alias("at", "word"))
-    a, b = rows.where("not done").alias("a"), rows.alias("b")
+    """All pairs that could be alike whose later place isn't among ``done``."""
+    settled_before = done.select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no"), F.lit(1).alias("done"))
+    flagged = known.join(settled_before, ["doc_id", "line_no"], "left")
+    rows = flagged.select("n", "sketch", "more", "doc_id", "line_no", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word"))
+    a, b = rows.alias("a"), rows.alias("b")
     earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
-    fits = _could_be(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at"), F.col("a.sketch"), F.col("b.sketch"))
-    both = a.join(b, (F.col("a.word") == F.col("b.word")) & earlier & fits)
-    return _pairs(both.select(F.col("a.class").alias("late"), F.col("a.doc_id").alias("late_doc"), F.col("a.line_no").alias("late_line"), F.col("b.class").alias("early"), F.col("b.doc_id").alias("early_doc"), F.col("b.line_no").alias("early_line")))
+    fits = _could_be(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at"), F.col("a.sketch"), F.col("b.sketch"), F.col("a.more"), F.col("b.more"))
+    # The flag stands in a condition on both sides, so that they stay one shuffle of the same rows.
+    open_ = F.col("a.done") + F.col("b.done") * 0 < 1
+    both = a.join(b, (F.col("a.word") == F.col("b.word")) & open_ & earlier & fits)
+    return _pairs(both.select(F.col("a.doc_id").alias("late_doc"), F.col("a.line_no").alias("late_line"), F.col("b.doc_id").alias("early_doc"), F.col("b.line_no").alias("early_line")))
 
 
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``late, late_doc, late_line`` of pairs whose full sets are alike.
+    """``late_doc, late_line`` of pairs whose full sets are alike.
 
     A bounded bitmap of the places that pairs name keeps all other lines out of the shuffle;
     it lets a few too many through, which the join drops.
     """
-    places = pairs.select(F.col("late").alias("class"), F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no")).union(pairs.select("early", "early_doc", "early_line")).distinct()
+    places = pairs.select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no")).union(pairs.select("early_doc", "early_line")).distinct()
     wanted = lines(docs).where(perhaps_among(places, ["doc_id", "line_no"]))
-    sets = wanted.select("doc_id", "line_no", words(F.col("line")).alias("words")).where("size(words) > 0")
-    # Rows that share a doc_id may have several lines at a place: the class tells them apart.
-    sets = sets.withColumn("class", F.xxhash64(F.sort_array("words"), F.size("words"))).join(places, ["doc_id", "line_no", "class"]).groupBy("class").agg(F.first("words").alias("words"))
-    both = pairs.join(sets.select(F.col("class").alias("late"), F.col("words").alias("a")), "late").join(sets.select(F.col("class").alias("early"), F.col("words").alias("b")), "early")
+    sets = wanted.select("doc_id", "line_no", words(F.col("line")).alias("words")).join(places, ["doc_id", "line_no"])
+    late = sets.select(F.col("doc_id").alias("late_doc"), F.col("line_no").alias("late_line"), F.col("words").alias("a"))
+    early = sets.select(F.col("doc_id").alias("early_doc"), F.col("line_no").alias("early_line"), F.col("words").alias("b"))
+    both = pairs.join(late, ["late_doc", "late_line"]).join(early, ["early_doc", "early_line"])
     common = F.size(F.array_intersect("a", "b"))
-    return settled(both.where(common * DENOMINATOR >= (F.size("a") + F.size("b") - common) * NUMERATOR).select("late", "late_doc", "late_line").distinct())
+    return settled(both.where(common * DENOMINATOR >= (F.size("a") + F.size("b") - common) * NUMERATOR).select("late_doc", "late_line").distinct())
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -139,7 +159,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     many = known.where("copies > 1").select("class", F.struct("doc_id", "line_no").alias("first"))
     copies = sets.select("class", "doc_id", "line_no").alias("s").join(many, "class").where(place > F.col("first")).select("doc_id", "line_no")
     done = alike(docs, first_pairs(known))
-    rest = alike(docs, other_pairs(known, done.select("late").distinct()))
+    rest = alike(docs, other_pairs(known, done))
     near = done.unionByName(rest).select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no"))
     return copies.unionByName(near).distinct()
 
