@@ -22,11 +22,14 @@ from hostloom.operators.keyed import settle
 #: Least Jaccard similarity of alike lines, as a fraction, so that every bound is exact.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets of hashed words whose frequencies give the order of rarity (a bounded table).
-BUCKET_BITS = 14
+BUCKET_BITS = 18
 #: Rarest words by which lines meet the earliest class first.
 FIRST = 2
-#: Lines of more words have a longer bitmap.
-LONG = 100
+#: Lines of more than LONG words have FEW more sketches, those of more than VERY_LONG have MANY (powers of two).
+LONG, VERY_LONG = 100, 400
+FEW, MANY = 2, 16
+#: Word counts and places in packed rows end here; longer sets pass every filter.
+MOST = (1 << 16) - 1
 
 
 def split_words(text: Column) -> Column:
@@ -67,10 +70,10 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     ``class`` hashes the set. ``prefix`` has the rarest words, enough for every alike line to
     share one; sets of up to three words are alike only if equal, so theirs is empty.
     ``sketch`` has a parity bit per word: sets differ in at least as many words as their
-    sketches in bits. Long lines have eight more sketches, since 64 bits tell them apart no more.
+    sketches in bits. Long lines have ``more`` of them, since 64 bits tell them apart no more.
     """
-    # At most 2 ** BUCKET_BITS rows; eight steps to each doubling are fine enough for an order.
-    found = {r.bucket: r.step for r in counts.select("bucket", (F.log2("n") * 8).cast("int").alias("step")).collect()}
+    # At most 2 ** BUCKET_BITS rows; four steps to each doubling are fine enough for an order.
+    found = {r.bucket: r.step for r in counts.select("bucket", (F.log2("n") * 4).cast("int").alias("step")).collect()}
     table = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(1 << BUCKET_BITS))), ",").cast("array<bigint>")
     # Rarity first, then the word: one number, so that sorting is cheap.
     rank = lambda w: F.element_at(table, (top_bits(w, BUCKET_BITS) + 1).cast("int")) * (1 << 32) + w.bitwiseAND(F.lit((1 << 32) - 1))
@@ -78,8 +81,9 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     sets = settle(lines(docs), F.sort_array(words(F.col("line"))).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
     sketch = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
     n = F.size("words")
-    part = lambda k: F.aggregate(F.filter("words", lambda w: F.shiftrightunsigned(w, 48).bitwiseAND(F.lit(7).cast("bigint")) == k), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
-    more = F.when(n > LONG, F.transform(F.sequence(F.lit(0), F.lit(7)), part))
+    last = F.when(n > VERY_LONG, MANY - 1).otherwise(FEW - 1).cast("bigint")
+    part = lambda k: F.aggregate(F.filter("words", lambda w: F.shiftrightunsigned(w, 48).bitwiseAND(last) == k), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
+    more = F.when(n > LONG, F.transform(F.sequence(F.lit(0).cast("bigint"), last), part))
     few = F.slice(F.sort_array(F.transform("words", rank)), F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
     prefix = F.transform(few, lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)))
     return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), prefix.alias("prefix"))
@@ -94,38 +98,80 @@ def classes(sets: DataFrame) -> DataFrame:
 def _could_be(n: Column, m: Column, at: Column, by: Column, sketch: Column, other: Column, more: Column, others: Column) -> Column:
     """Length, place and bitmap filters on sets of ``n`` and ``m`` words that share a word at ``at`` and ``by``."""
     both = _ceil(n + m, NUMERATOR, NUMERATOR + DENOMINATOR)  # least overlap of alike sets
-    differ = F.aggregate(F.zip_with(more, others, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    longer = F.coalesce(differ <= n + m - both * 2, F.lit(True))
+    # Written out and not a lambda, which would take the join out of code generation.
+    differ = lambda parts: sum((F.bit_count(F.get(more, F.lit(k)).bitwiseXOR(F.get(others, F.lit(k)))) for k in range(1, parts)), F.bit_count(F.get(more, F.lit(0)).bitwiseXOR(F.get(others, F.lit(0)))))
+    same = lambda parts: (F.size(more) == parts) & (F.size(others) == parts)
+    most = n + m - both * 2
+    longer = F.coalesce(F.when(same(FEW), differ(FEW) <= most).when(same(MANY), differ(MANY) <= most), F.lit(True))
     return (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & (F.least(n - at, m - by) >= both) & (F.bit_count(sketch.bitwiseXOR(other)) <= n + m - both * 2) & longer
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
+def packed(known: DataFrame, prefix: Column, done: Column) -> DataFrame:
+    """``key, doc_id, line_no, sketch, more``: a row for each word of ``prefix``.
+
+    ``key`` holds the word, the size of the set, the word's place and whether the line is
+    ``done``: most rows of the join are these, and one number is half of what four take.
+    """
+    n = F.least("n", F.lit(MOST)).cast("bigint")
+    at = F.when(F.col("n") < MOST, F.col("at")).otherwise(0)
+    key = F.shiftleft(F.col("word"), 32).bitwiseOR(F.shiftleft(n, 16)).bitwiseOR((at * 2 + done).cast("bigint"))
+    return known.select("*", F.posexplode(prefix).alias("at", "word")).select(key.alias("key"), "doc_id", "line_no", "sketch", "more")
+
+
+def _word(key: Column) -> Column:
+    return F.shiftright(key, 32).cast("int")
+
+
+def _n(key: Column) -> Column:
+    return F.shiftright(key, 16).bitwiseAND(F.lit(MOST).cast("bigint")).cast("int")
+
+
+def _at(key: Column) -> Column:
+    return F.shiftright(key, 1).bitwiseAND(F.lit(MOST >> 1).cast("bigint")).cast("int")
+
+
+def _rows_could_be(a: str, b: str) -> Column:
+    """:func:`_could_be` of the packed rows named ``a`` and ``b``."""
+    x, y = F.col(f"{a}.key"), F.col(f"{b}.key")
+    return _could_be(_n(x), _n(y), _at(x), _at(y), F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), F.col(f"{a}.more"), F.col(f"{b}.more"))
+
+
+def _pairs(rows: DataFrame, late: str, early: str) -> DataFrame:
     """The different pairs of places, later and earlier."""
-    return settled(rows.select("late_doc", "late_line", "early_doc", "early_line").distinct())
+    places = [F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"))]
+    return settled(rows.select(*places).distinct())
 
 
 def first_pairs(known: DataFrame) -> DataFrame:
     """Each class with the earliest one that shares one of its :data:`FIRST` rarest words, if they could be alike."""
-    rows = known.select("n", "sketch", "more", "doc_id", "line_no", F.posexplode(F.slice("prefix", 1, FIRST)).alias("at", "word"))
-    band = F.floor(F.log(F.col("n").cast("double")) * 4)
-    head = F.first(F.struct("n", "sketch", "more", "at", "doc_id", "line_no")).over(Window.partitionBy("word", band).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = rows.withColumn("h", head).where(F.struct("h.doc_id", "h.line_no") < F.struct("doc_id", "line_no"))
-    both = both.where(_could_be(F.col("n"), F.col("h.n"), F.col("at"), F.col("h.at"), F.col("sketch"), F.col("h.sketch"), F.col("more"), F.col("h.more")))
-    return _pairs(both.select(F.col("doc_id").alias("late_doc"), F.col("line_no").alias("late_line"), F.col("h.doc_id").alias("early_doc"), F.col("h.line_no").alias("early_line")))
+    rows = packed(known, F.slice("prefix", 1, FIRST), F.lit(0))
+    band = F.floor(F.log(_n(F.col("key")).cast("double")) * 4)
+    row = F.struct("key", "doc_id", "line_no", "sketch", "more")
+    head = F.first(row).over(Window.partitionBy(_word(F.col("key")), band).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = rows.select(row.alias("r"), head.alias("h")).where(F.struct("h.doc_id", "h.line_no") < F.struct("r.doc_id", "r.line_no"))
+    return _pairs(both.where(_rows_could_be("r", "h")), "r", "h")
+
+
+def flagged(known: DataFrame, done: DataFrame) -> DataFrame:
+    """``known`` with ``done``: 1 for places among the later ones of ``done``, else 0.
+
+    A bounded bitmap tells most lines from those that may be done; only the latter are joined.
+    """
+    places = done.select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no"))
+    maybe = perhaps_among(places, ["doc_id", "line_no"])
+    checked = known.where(maybe).join(places.withColumn("done", F.lit(1)), ["doc_id", "line_no"], "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    return known.where(~maybe).withColumn("done", F.lit(0)).unionByName(checked)
 
 
 def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
     """All pairs that could be alike whose later place isn't among ``done``."""
-    settled_before = done.select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no"), F.lit(1).alias("done"))
-    flagged = known.join(settled_before, ["doc_id", "line_no"], "left")
-    rows = flagged.select("n", "sketch", "more", "doc_id", "line_no", F.coalesce("done", F.lit(0)).alias("done"), F.posexplode("prefix").alias("at", "word"))
+    rows = packed(flagged(known, done), F.col("prefix"), F.col("done"))
     a, b = rows.alias("a"), rows.alias("b")
     earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
-    fits = _could_be(F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at"), F.col("a.sketch"), F.col("b.sketch"), F.col("a.more"), F.col("b.more"))
     # The flag stands in a condition on both sides, so that they stay one shuffle of the same rows.
-    open_ = F.col("a.done") + F.col("b.done") * 0 < 1
-    both = a.join(b, (F.col("a.word") == F.col("b.word")) & open_ & earlier & fits)
-    return _pairs(both.select(F.col("a.doc_id").alias("late_doc"), F.col("a.line_no").alias("late_line"), F.col("b.doc_id").alias("early_doc"), F.col("b.line_no").alias("early_line")))
+    open_ = F.col("a.key").bitwiseAND(F.lit(1).cast("bigint")) + F.col("b.key") * 0 < 1
+    both = a.join(b, (_word(F.col("a.key")) == _word(F.col("b.key"))) & open_ & earlier & _rows_could_be("a", "b"))
+    return _pairs(both, "a", "b")
 
 
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -154,10 +200,15 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     sets = settled(line_sets(docs, frequencies(docs)))
-    known = settled(classes(sets))
+    many = settled(sets.groupBy("class").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class"))
+    # Most sets occur once. A bounded bitmap tells them from those that may have copies, so that only the latter are grouped.
+    maybe = perhaps_among(many, ["class"])
+    grouped = settled(classes(sets.where(maybe)))
+    columns = ["n", "sketch", "more", "prefix", "doc_id", "line_no"]
+    known = sets.where(~maybe).select(columns).unionByName(grouped.select(columns))
     place = F.struct(F.col("s.doc_id").alias("doc_id"), F.col("s.line_no").alias("line_no"))
-    many = known.where("copies > 1").select("class", F.struct("doc_id", "line_no").alias("first"))
-    copies = sets.select("class", "doc_id", "line_no").alias("s").join(many, "class").where(place > F.col("first")).select("doc_id", "line_no")
+    firsts = grouped.where("copies > 1").select("class", F.struct("doc_id", "line_no").alias("first"))
+    copies = sets.where(maybe).select("class", "doc_id", "line_no").alias("s").join(firsts, "class").where(place > F.col("first")).select("doc_id", "line_no")
     done = alike(docs, first_pairs(known))
     rest = alike(docs, other_pairs(known, done))
     near = done.unionByName(rest).select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no"))
