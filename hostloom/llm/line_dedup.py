@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostloom.llm.common import perhaps_among, settled, top_bits
-from hostloom.operators.keyed import settle
+from hostloom.operators.keyed import fence, settle
 
 #: Least Jaccard similarity of alike lines, as a fraction, so that every bound is exact.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -61,7 +61,8 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
 
 def _word_bit(w: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(w, 40).bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    # A shift of 64 bits takes its count modulo 64.
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(w, 40).cast("int"))
 
 
 def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -72,19 +73,20 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     ``sketch`` has a parity bit per word: sets differ in at least as many words as their
     sketches in bits. Long lines have ``more`` of them, since 64 bits tell them apart no more.
     """
-    # At most 2 ** BUCKET_BITS rows; four steps to each doubling are fine enough for an order.
-    found = {r.bucket: r.step for r in counts.select("bucket", (F.log2("n") * 4).cast("int").alias("step")).collect()}
+    # At most 2 ** BUCKET_BITS rows; three steps to each doubling are fine enough for an order and fit seven bits.
+    found = {r.bucket: r.step for r in counts.select("bucket", (F.log2("n") * 3).cast("int").alias("step")).collect()}
     table = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(1 << BUCKET_BITS))), ",").cast("array<bigint>")
-    # Rarity first, then the word: one number, so that sorting is cheap.
-    rank = lambda w: F.element_at(table, (top_bits(w, BUCKET_BITS) + 1).cast("int")) * (1 << 32) + w.bitwiseAND(F.lit((1 << 32) - 1))
+    # Rarity first, then 56 bits of the word: one number, so that one sort gives the order and the set.
+    rank = lambda w: F.shiftleft(F.element_at(table, (top_bits(w, BUCKET_BITS) + 1).cast("int")), 56).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
+    ranks = F.array_distinct(F.transform(split_words(F.col("line")), lambda w: rank(F.xxhash64(w))))
     # `settle` keeps the filter below from computing the words a second time.
-    sets = settle(lines(docs), F.sort_array(words(F.col("line"))).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
+    sets = settle(lines(docs), F.sort_array(F.array_remove(ranks, rank(F.xxhash64(F.lit(""))))).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
     sketch = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
     n = F.size("words")
     last = F.when(n > VERY_LONG, MANY - 1).otherwise(FEW - 1).cast("bigint")
     part = lambda k: F.aggregate(F.filter("words", lambda w: F.shiftrightunsigned(w, 48).bitwiseAND(last) == k), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
     more = F.when(n > LONG, F.transform(F.sequence(F.lit(0).cast("bigint"), last), part))
-    few = F.slice(F.sort_array(F.transform("words", rank)), F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
+    few = F.slice("words", F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
     prefix = F.transform(few, lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)))
     return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), prefix.alias("prefix"))
 
@@ -95,15 +97,25 @@ def classes(sets: DataFrame) -> DataFrame:
     return first.select("class", "n", "sketch", "more", "prefix", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
 
 
-def _could_be(n: Column, m: Column, at: Column, by: Column, sketch: Column, other: Column, more: Column, others: Column) -> Column:
-    """Length, place and bitmap filters on sets of ``n`` and ``m`` words that share a word at ``at`` and ``by``."""
-    both = _ceil(n + m, NUMERATOR, NUMERATOR + DENOMINATOR)  # least overlap of alike sets
-    # Written out and not a lambda, which would take the join out of code generation.
-    differ = lambda parts: sum((F.bit_count(F.get(more, F.lit(k)).bitwiseXOR(F.get(others, F.lit(k)))) for k in range(1, parts)), F.bit_count(F.get(more, F.lit(0)).bitwiseXOR(F.get(others, F.lit(0)))))
-    same = lambda parts: (F.size(more) == parts) & (F.size(others) == parts)
-    most = n + m - both * 2
-    longer = F.coalesce(F.when(same(FEW), differ(FEW) <= most).when(same(MANY), differ(MANY) <= most), F.lit(True))
-    return (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & (F.least(n - at, m - by) >= both) & (F.bit_count(sketch.bitwiseXOR(other)) <= n + m - both * 2) & longer
+def _few_bits(x: Column, y: Column, n: Column) -> Column:
+    """Whether bitmaps of alike sets with ``n`` words in sum may differ in so many bits."""
+    return F.bit_count(x.bitwiseXOR(y)) * (NUMERATOR + DENOMINATOR) <= n * (DENOMINATOR - NUMERATOR)
+
+
+def _could_be(n: Column, m: Column, at: Column, by: Column, sketch: Column, other: Column) -> Column:
+    """Bitmap, length and place filters on sets of ``n`` and ``m`` words that share a word at ``at`` and ``by``.
+
+    The overlap of alike sets is at least ``(n + m) * 4 / 9``. Only short arithmetic stands
+    here, the most selective first: a long condition is not compiled and far slower.
+    """
+    place = F.least(n - at, m - by) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
+    return _few_bits(sketch, other, n + m) & (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & place
+
+
+def _long_could_be(n: Column, m: Column, more: Column, others: Column) -> Column:
+    """The longer bitmaps' filter; true if either line has none or they differ in length."""
+    bits = F.aggregate(F.zip_with(more, others, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    return F.coalesce(bits * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR), F.lit(True))
 
 
 def packed(known: DataFrame, prefix: Column, done: Column) -> DataFrame:
@@ -133,13 +145,16 @@ def _at(key: Column) -> Column:
 def _rows_could_be(a: str, b: str) -> Column:
     """:func:`_could_be` of the packed rows named ``a`` and ``b``."""
     x, y = F.col(f"{a}.key"), F.col(f"{b}.key")
-    return _could_be(_n(x), _n(y), _at(x), _at(y), F.col(f"{a}.sketch"), F.col(f"{b}.sketch"), F.col(f"{a}.more"), F.col(f"{b}.more"))
+    return _could_be(_n(x), _n(y), _at(x), _at(y), F.col(f"{a}.sketch"), F.col(f"{b}.sketch"))
 
 
 def _pairs(rows: DataFrame, late: str, early: str) -> DataFrame:
-    """The different pairs of places, later and earlier."""
-    places = [F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"))]
-    return settled(rows.select(*places).distinct())
+    """The different pairs of places, later and earlier, that the longer bitmaps let through."""
+    both = [F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"), ("more", "more"))]
+    sizes = [_n(F.col(f"{side}.key")).alias(name) for side, name in ((late, "n"), (early, "m"))]
+    # `fence` keeps the lambda out of the join, whose code it would stop from being compiled.
+    left = fence(rows.select(*both, *sizes)).where(_long_could_be(F.col("n"), F.col("m"), F.col("late_more"), F.col("early_more")))
+    return settled(left.select("late_doc", "late_line", "early_doc", "early_line").distinct())
 
 
 def first_pairs(known: DataFrame) -> DataFrame:
