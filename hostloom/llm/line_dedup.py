@@ -25,18 +25,20 @@ NUMERATOR, DENOMINATOR = 4, 5
 BUCKET_BITS = 18
 #: Rarest words by which lines meet the earliest class first.
 FIRST = 2
-#: Lines of more than LONG words have FEW more sketches, those of more than VERY_LONG have MANY (powers of two).
+#: Lines of more than LONG words have FEW longer sketches, those of more than VERY_LONG have MANY (powers of two, FEW is 2).
 LONG, VERY_LONG = 100, 400
-FEW, MANY = 2, 16
+FEW, MANY = 2, 8
 #: Word counts and places in packed rows end here; longer sets pass every filter.
 MOST = (1 << 16) - 1
 
 
 def split_words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``, and empty strings where blanks meet."""
+    plain = text
     for blank in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return F.split(text, " ")
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    # Few lines have a blank besides the space; one search is cheaper than five.
+    return F.split(F.when(F.rlike(text, F.lit("[\t\n\x0b\x0c\r]")), plain).otherwise(text), " ")
 
 
 def words(line: Column) -> Column:
@@ -56,7 +58,7 @@ def _ceil(n: Column, a: int, b: int) -> Column:
 
 def frequencies(docs: DataFrame) -> DataFrame:
     """``bucket, n``: words by bucket of their hash, counted over all lines."""
-    word = docs.where("doc_id is not null").select(F.explode(split_words(F.col("text"))).alias("word"))
+    word = lines(docs).select(F.explode(split_words(F.col("line"))).alias("word"))
     return word.groupBy(top_bits(F.xxhash64("word"), BUCKET_BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -83,9 +85,10 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     sets = settle(lines(docs), F.sort_array(F.array_remove(ranks, rank(F.xxhash64(F.lit(""))))).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
     sketch = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
     n = F.size("words")
-    last = F.when(n > VERY_LONG, MANY - 1).otherwise(FEW - 1).cast("bigint")
-    part = lambda k: F.aggregate(F.filter("words", lambda w: F.shiftrightunsigned(w, 48).bitwiseAND(last) == k), F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
-    more = F.when(n > LONG, F.transform(F.sequence(F.lit(0).cast("bigint"), last), part))
+    zero = F.lit(0).cast("bigint")
+    part = lambda k, of: F.aggregate(F.filter("words", lambda w: F.shiftrightunsigned(w, 48).bitwiseAND(F.lit(of - 1).cast("bigint")) == k), zero, lambda a, w: a.bitwiseXOR(_word_bit(w)))
+    # The last one isn't kept, since the others and the sketch give it.
+    more = F.when(n > VERY_LONG, F.transform(F.sequence(zero, F.lit(MANY - 2).cast("bigint")), lambda k: part(k, MANY))).when(n > LONG, F.array(part(zero, FEW)))
     few = F.slice("words", F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
     prefix = F.transform(few, lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)))
     return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), prefix.alias("prefix"))
@@ -112,10 +115,11 @@ def _could_be(n: Column, m: Column, at: Column, by: Column, sketch: Column, othe
     return _few_bits(sketch, other, n + m) & (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & place
 
 
-def _long_could_be(n: Column, m: Column, more: Column, others: Column) -> Column:
+def _long_could_be(n: Column, m: Column, more: Column, others: Column, sketch: Column, other: Column) -> Column:
     """The longer bitmaps' filter; true if either line has none or they differ in length."""
-    bits = F.aggregate(F.zip_with(more, others, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    return F.coalesce(bits * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR), F.lit(True))
+    differ = F.zip_with(more, others, lambda x, y: x.bitwiseXOR(y))
+    count = F.aggregate(differ, F.struct(F.lit(0).alias("bits"), sketch.bitwiseXOR(other).alias("last")), lambda a, x: F.struct((a.bits + F.bit_count(x)).alias("bits"), a.last.bitwiseXOR(x).alias("last")), lambda a: a.bits + F.bit_count(a.last))
+    return F.coalesce(count * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR), F.lit(True))
 
 
 def packed(known: DataFrame, prefix: Column, done: Column) -> DataFrame:
@@ -150,10 +154,10 @@ def _rows_could_be(a: str, b: str) -> Column:
 
 def _pairs(rows: DataFrame, late: str, early: str) -> DataFrame:
     """The different pairs of places, later and earlier, that the longer bitmaps let through."""
-    both = [F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"), ("more", "more"))]
+    both = [F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"), ("more", "more"), ("sketch", "sketch"))]
     sizes = [_n(F.col(f"{side}.key")).alias(name) for side, name in ((late, "n"), (early, "m"))]
     # `fence` keeps the lambda out of the join, whose code it would stop from being compiled.
-    left = fence(rows.select(*both, *sizes)).where(_long_could_be(F.col("n"), F.col("m"), F.col("late_more"), F.col("early_more")))
+    left = fence(rows.select(*both, *sizes)).where(_long_could_be(F.col("n"), F.col("m"), F.col("late_more"), F.col("early_more"), F.col("late_sketch"), F.col("early_sketch")))
     return settled(left.select("late_doc", "late_line", "early_doc", "early_line").distinct())
 
 
@@ -197,7 +201,8 @@ def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     places = pairs.select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no")).union(pairs.select("early_doc", "early_line")).distinct()
     wanted = lines(docs).where(perhaps_among(places, ["doc_id", "line_no"]))
-    sets = wanted.select("doc_id", "line_no", words(F.col("line")).alias("words")).join(places, ["doc_id", "line_no"])
+    # Written once: the two joins below would read all texts again each.
+    sets = settled(wanted.select("doc_id", "line_no", words(F.col("line")).alias("words")).join(places, ["doc_id", "line_no"]))
     late = sets.select(F.col("doc_id").alias("late_doc"), F.col("line_no").alias("late_line"), F.col("words").alias("a"))
     early = sets.select(F.col("doc_id").alias("early_doc"), F.col("line_no").alias("early_line"), F.col("words").alias("b"))
     both = pairs.join(late, ["late_doc", "late_line"]).join(early, ["early_doc", "early_line"])
