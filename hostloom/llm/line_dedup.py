@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import dense, perhaps_among, settled, top_bits
+from hostloom.llm.common import perhaps_among, settled, top_bits
 from hostloom.operators.keyed import fence, settle
 
 #: Least Jaccard similarity of alike lines, as a fraction, so that every bound is exact.
@@ -75,8 +75,10 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     ``sketch`` has a parity bit per word: sets differ in at least as many words as their
     sketches in bits. Long lines have ``more`` of them, since 64 bits tell them apart no more.
     """
-    # Three steps to each doubling are fine enough for an order and fit seven bits.
-    table = dense(counts.select("bucket", (F.log2("n") * 3).cast("bigint").alias("step")), "bucket", "step", BUCKET_BITS)
+    # At most 2 ** BUCKET_BITS rows; three steps to each doubling are fine enough for an order and fit seven bits.
+    # A literal, since functions of array elements take no subqueries.
+    found = {r.bucket: r.step for r in counts.select("bucket", (F.log2("n") * 3).cast("int").alias("step")).collect()}
+    table = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(1 << BUCKET_BITS))), ",").cast("array<bigint>")
     # Rarity first, then 56 bits of the word: one number, so that one sort gives the order and the set.
     rank = lambda w: F.shiftleft(F.element_at(table, (top_bits(w, BUCKET_BITS) + 1).cast("int")), 56).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
     ranks = F.array_distinct(F.transform(split_words(F.col("line")), lambda w: rank(F.xxhash64(w))))
