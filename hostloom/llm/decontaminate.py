@@ -142,9 +142,17 @@ def index(rows: list[tuple[int, str]], size: int = SIZE) -> Index:
 
 
 def _consistent(known: Index, item: int, found: Templates, text: int, item_words: np.ndarray, doc_words: np.ndarray, size: int) -> tuple[bool, int]:
-    """Whether the values behind placeholders correspond one to one, and how many differ."""
-    k = np.arange(min(size, int(np.diff(known.templates.first)[item])))
-    a, b = (known.templates.first[item] + item_words[:, None] + k).ravel(), (found.first[text] + doc_words[:, None] + k).ravel()
+    """Whether the values behind placeholders correspond one to one, and how many differ.
+
+    An item's word in several of the windows stands for the document's word in the last of them.
+    """
+    span = int(np.diff(known.templates.first)[item])
+    k = np.arange(min(size, span))
+    against = np.full(span, -1)
+    against[(item_words[:, None] + k).ravel()] = (doc_words[:, None] + k).ravel()
+    a = np.flatnonzero(against >= 0)
+    b = found.first[text] + against[a]
+    a += known.templates.first[item]
     slot = known.templates.kinds[a] != _PLAIN
     if not slot.any():
         return True, 0
@@ -153,6 +161,81 @@ def _consistent(known: Index, item: int, found: Templates, text: int, item_words
     return len(pairs) == len(there) == len(back), sum(x != y for _, x, y in pairs)
 
 
+def _aligned(item_word: np.ndarray, shift: np.ndarray, main: int, first: np.ndarray) -> np.ndarray:
+    """One hit for each item window, in the order of both texts; hits are sorted by item window.
+
+    Hits in ``first`` are taken as they are. A window without one takes the hit on the diagonal
+    of the window before it, else the one nearest to ``main``, that keeps the order. The
+    result ends with the hits of ``first``.
+    """
+    at = item_word + shift
+    fixed = np.flatnonzero(first)
+    if len(fixed):
+        room = np.append(at[fixed], np.iinfo(np.int64).max)[np.searchsorted(item_word[fixed], item_word)].tolist()
+    else:
+        room = [np.iinfo(np.int64).max] * len(at)
+    sure, chosen, last, drift = set(item_word[fixed].tolist()), [], -1, main
+    edges = np.append(np.flatnonzero(np.append(True, item_word[1:] != item_word[:-1])), len(at)).tolist()
+    places, shifts, firsts = at.tolist(), shift.tolist(), first.tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if int(item_word[a]) in sure:
+            h = next(h for h in range(a, b) if firsts[h])
+        else:
+            good = [h for h in range(a, b) if last < places[h] < room[h]]
+            if not good:
+                continue
+            h = min(good, key=lambda h: (shifts[h] != drift, abs(shifts[h] - main), shifts[h]))
+            chosen.append(h)
+        last, drift = places[h], shifts[h]
+    return np.append(np.array(chosen, np.int64), fixed)
+
+
+def _best_copy(known: Index, item: int, found: Templates, text: int, item_word: np.ndarray, shift: np.ndarray, size: int, share: float) -> tuple[int, int] | None:
+    """Windows found and values changed of the item's best copy in a text, from its hits sorted by item window.
+
+    A copy lies on one diagonal, or drifts from it by few words where it has no hit there.
+    Hits between the item's own repeated windows lie on other diagonals and don't count.
+    """
+    total, span = int(known.totals[item]), int(np.diff(known.templates.first)[item])
+    best = None
+
+    def try_copy(chosen: np.ndarray) -> None:
+        nonlocal best
+        if len(chosen) < share * total or best is not None and len(chosen) < best[0]:
+            return
+        good, changed = _consistent(known, item, found, text, item_word[chosen], item_word[chosen] + shift[chosen], size)
+        if good and (best is None or (len(chosen), -changed) > (best[0], -best[1])):
+            best = len(chosen), changed
+
+    order = np.argsort(shift, kind="stable")
+    diagonals, begins, counts = np.unique(shift[order], return_index=True, return_counts=True)
+    for k in np.flatnonzero(counts >= share * total).tolist():
+        try_copy(order[begins[k] : begins[k] + counts[k]])
+        if best == (total, 0):
+            return best
+    if best and best[0] == total:
+        return best
+    # Copies with words put in or left out: no single diagonal holds them.
+    ends = begins + counts
+    for k, s in enumerate(diagonals.tolist()):
+        last = int(np.searchsorted(diagonals, s + max(2, span // 5), "right"))
+        near = np.sort(order[begins[k] : ends[last - 1]])
+        if len(np.unique(item_word[near])) < share * total:
+            continue
+        words, shifts = item_word[near], shift[near]
+        for main in diagonals[k:last].tolist():
+            try_copy(near[_aligned(words, shifts, main, shifts == main)])
+        base = known.templates.first[item] + words[:, None] + np.arange(min(size, span))
+        there = found.first[text] + (words + shifts)[:, None] + np.arange(min(size, span))
+        same = (known.templates.values[base] == found.values[there]).all(1)
+        if same.any() and not same.all():  # unchanged windows first, where a list's windows repeat
+            values, n = np.unique(shifts[same], return_counts=True)
+            pure = near[same]
+            kept = _aligned(item_word[pure], shift[pure], int(values[np.argmax(n)]), np.zeros(len(pure), bool))
+            try_copy(pure[kept])
+    return best
+
+
 def leaks(known: Index, block: Block, size: int = SIZE, share: float = SHARE) -> list[tuple[int, int, int, int, int]]:
     """(text, item, windows found, windows of the item, values changed) of a block's leaked items."""
     found = templates(block)
@@ -179,20 +262,7 @@ def leaks(known: Index, block: Block, size: int = SIZE, share: float = SHARE) ->
         total = int(known.totals[item[a]])
         if len(np.unique(item_word[a:b])) < share * total:
             continue
-        # Each copy of the passage lies on its own diagonals; values must correspond within a copy.
-        best = None
-        shift = word[a:b] - item_word[a:b]
-        span = int(np.diff(known.templates.first)[item[a]])
-        start = np.sort(np.unique(shift))
-        for s in start.tolist():
-            near = (shift >= s) & (shift <= s + max(2, span // 5))
-            n = len(np.unique(item_word[a:b][near]))
-            if n >= share * total:
-                good, changed = _consistent(known, int(item[a]), found, int(text[a]), item_word[a:b][near], word[a:b][near], size)
-                if good and (best is None or n > best[0]):
-                    best = n, changed
-                    if n == total:
-                        break
+        best = _best_copy(known, int(item[a]), found, int(text[a]), item_word[a:b], word[a:b] - item_word[a:b], size, share)
         if best:
             out.append((int(text[a]), int(item[a]), best[0], total, best[1]))
     return out

@@ -265,3 +265,30 @@ def test_decontamination_against_plain_search(spark):
     want = {(r.doc_id, i) for r in docs.collect() for i, t in known if t in plain(r.text)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == want
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
+def found_by_templates(text, item):
+    known = decontaminate.index([(7, item)])
+    return [(n, total, changed) for block in blocks([text]) for _, _, n, total, changed in decontaminate.leaks(known, block)]
+
+
+@pytest.mark.parametrize(
+    ("item", "other", "changed"),
+    [
+        ("What is the sum of 5 and 7 and 9 and 11 and 13?", "What is the sum of 6 and 8 and 10 and 12 and 14?", 5),
+        ("The room was shared by Anna and Bert and Carl and Dora and Emil.", "The room was shared by Fred and Gina and Hugo and Iris and Jack.", 5),
+        ("We saw that in 1990 it was 5, in 1995 it was 7, in 1999 it was 9.", "We saw that in 1980 it was 4, in 1985 it was 6, in 1989 it was 8.", 6),
+    ],
+)
+def test_decontamination_of_lists(item, other, changed):
+    for text, want in ((item, 0), (f"Before that. {item} More of it.", 0), (f"{item} {item}", 0), (other, changed)):
+        [(n, total, n_changed)] = found_by_templates(text, item)
+        assert n == total and n_changed == want
+    assert not found_by_templates(re.sub(r"\d+|Anna|Bert|Carl|Dora|Emil", lambda m: "3" if m[0].isdigit() else "Zed", item), item)
+
+
+def test_decontamination_of_a_list_with_a_word_put_in():
+    item = "What is the sum of all the following numbers when they are put together: 5 and 7 and 9 and 11 and 13 and 15 and 17 and 19?"
+    for text in (item.replace("they are", "they all are"), item.replace("when they are", "when are")):
+        [(n, total, changed)] = found_by_templates(text, item)
+        assert 0.8 * total <= n < total and changed == 0
