@@ -4,7 +4,9 @@ Texts become templates: numbers, names and units turn into typed placeholders, o
 are lower-cased. A document holds an item if at least ``share`` of the item's windows of five
 template words occur in it and the values behind the placeholders correspond: an item's
 value always becomes the same document value, and different values stay different. That
-finds questions asked again with other numbers or names.
+finds questions asked again with other numbers or names. A second template, blind to case and
+with names as plain words, finds copies in other case; a copy in other case with other names
+as well is found only if enough windows hold no name.
 
 The benchmark's window hashes are the build side of a broadcast hash join. Its size is
 checked: a larger benchmark is taken in parts of at most ``PART`` windows.
@@ -44,6 +46,37 @@ _PLAIN, _NUMBER, _NAME, _UNIT = range(4)
 _PLACEHOLDERS = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x428A2F98D728AE22], np.uint64)
 
 
+def _lower_table() -> np.ndarray:
+    """Lower case of every code point of two or three bytes, if it has as many bytes."""
+    table = np.arange(1 << 16, dtype=np.uint32)
+    for k in range(0x80, 1 << 16):
+        low = "σ" if k == 0x3C2 else chr(k).lower()
+        if len(low) == 1 and low != chr(k) and (ord(low) < 0x800) == (k < 0x800) and 0x80 <= ord(low) < 1 << 16:
+            table[k] = ord(low)
+    return table
+
+
+_LOWER_WIDE = _lower_table()
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 in lower case, byte for byte in place."""
+    lower = _LOWER[data]
+    lead = np.flatnonzero(data >= 0xC3)
+    two, three = lead[data[lead] < 0xE0], lead[(data[lead] >= 0xE0) & (data[lead] < 0xF0)]
+    code = (data[two].astype(np.uint32) & 0x1F) << 6 | data[two + 1] & 0x3F
+    low = _LOWER_WIDE[code]
+    moved = low != code
+    two, low = two[moved], low[moved]
+    lower[two], lower[two + 1] = 0xC0 | low >> 6, 0x80 | low & 0x3F
+    code = (data[three].astype(np.uint32) & 0x0F) << 12 | (data[three + 1].astype(np.uint32) & 0x3F) << 6 | data[three + 2] & 0x3F
+    low = _LOWER_WIDE[code]
+    moved = low != code
+    three, low = three[moved], low[moved]
+    lower[three], lower[three + 1], lower[three + 2] = 0xE0 | low >> 12, 0x80 | low >> 6 & 0x3F, 0x80 | low & 0x3F
+    return lower
+
+
 def _hashes_of(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
@@ -62,12 +95,13 @@ class Templates(NamedTuple):
     first: np.ndarray
 
 
-def templates(block: Block) -> Templates:
-    """The template of every text.
+def templates(block: Block, opening: bool = True) -> tuple[Templates, Templates]:
+    """Two templates of every text: with names, and without regard to case.
 
-    A number is a run of digits with inner separators. A name is a word with a capital that
-    doesn't begin a sentence; neighbouring names are one. A unit is one of :data:`UNITS`
-    after a number.
+    A number is a run of digits with inner separators. A unit is one of :data:`UNITS` after a
+    number. In the first template a name is a word with a capital that doesn't begin a
+    sentence; neighbouring names are one. A text's first word begins a sentence if
+    ``opening``. In the second template names are words like all others.
     """
     data = block.data
     inside = _WORD[data]
@@ -78,27 +112,29 @@ def templates(block: Block) -> Templates:
         inside[middle[edges]] = False
     starts, ends, first = runs_of(inside, block.offsets)
     if not len(starts):
-        return Templates(np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), first)
-    values = span_hashes(_LOWER[data], starts, ends)
+        none = Templates(np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.uint64), first)
+        return none, none
+    values = span_hashes(_lowered(data), starts, ends)
     count = lambda flags, a, b: (s := np.append(0, np.cumsum(flags)))[b] - s[a]
     numeric = count(_DIGIT[data] | _SEPARATOR[data], starts, ends) == ends - starts
     head = np.zeros(len(starts), bool)
     head[first[:-1][first[:-1] < first[1:]]] = True
     before = np.append(0, ends[:-1])
-    sentence = head | (count(_STOP[data], np.minimum(before, starts), starts) > 0)
+    sentence = (count(_STOP[data], np.minimum(before, starts), starts) > 0) & ~head | head & opening
     second = data[np.minimum(starts + 1, len(data) - 1)]
     capital = _UPPER[data[starts]] | ((data[starts] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     name = capital & ~sentence & ~numeric
-    kinds = np.where(numeric, _NUMBER, np.where(name, _NAME, _PLAIN)).astype(np.int8)
     after_number = np.append(False, numeric[:-1]) & ~head
-    kinds[after_number & (kinds == _PLAIN) & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, values), len(_UNIT_HASHES) - 1)] == values)] = _UNIT
+    unit = after_number & ~numeric & (_UNIT_HASHES[np.minimum(np.searchsorted(_UNIT_HASHES, values), len(_UNIT_HASHES) - 1)] == values)
+    kinds = np.where(numeric, _NUMBER, np.where(unit, _UNIT, _PLAIN)).astype(np.int8)
+    blind = Templates(np.where(kinds == _PLAIN, values, _PLACEHOLDERS[kinds]), kinds, values, first)
+    kinds = np.where(name, _NAME, kinds).astype(np.int8)
     goes_on = name & np.append(False, name[:-1]) & ~head & (starts - before == 1)
     if goes_on.any():
         kept = np.flatnonzero(~goes_on)
         values = np.add.reduceat(values * (1 + goes_on.astype(np.uint64) * np.uint64(2)), kept)
         kinds, first = kinds[kept], np.searchsorted(kept, first)
-    hashes = np.where(kinds == _PLAIN, values, _PLACEHOLDERS[kinds])
-    return Templates(hashes, kinds, values, first)
+    return Templates(np.where(kinds == _PLAIN, values, _PLACEHOLDERS[kinds]), kinds, values, first), blind
 
 
 def _windows(found: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +148,10 @@ def _windows(found: Templates, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index(NamedTuple):
-    """Windows of benchmark items: sorted hashes, item and word of each; templates by item."""
+    """Windows of benchmark items in one kind of template: sorted hashes, item and word of each; templates by item.
+
+    ``rows`` has the benchmark's row of every item; a row can be two items.
+    """
 
     sizes: tuple[int, ...]
     hashes: np.ndarray
@@ -120,14 +159,18 @@ class Index(NamedTuple):
     words: np.ndarray
     templates: Templates
     totals: np.ndarray
+    rows: np.ndarray
+
+
+class Benchmark(NamedTuple):
+    """The items' windows in templates with names and without, and the items' ids."""
+
+    named: Index
+    blind: Index
     ids: list
 
 
-def index(rows: list[tuple[int, str]], size: int = SIZE) -> Index:
-    """Items shorter than a window are one window of their own length; those without a plain word match nothing."""
-    texts = text_array(pa.array([t for _, t in rows], pa.string()))
-    block = next(iter(blocks(texts, 1 << 62)), Block(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
-    found = templates(block)
+def _index(found: Templates, rows: np.ndarray, size: int) -> Index:
     n = np.diff(found.first)
     parts = []
     sizes = sorted({min(size, int(k)) for k in n if k})
@@ -138,7 +181,26 @@ def index(rows: list[tuple[int, str]], size: int = SIZE) -> Index:
         parts.append((hashes[keep], item[keep], (at - found.first[item])[keep]))
     hashes, items, words = (np.concatenate(x) if parts else np.zeros(0, t) for x, t in zip(zip(*parts, strict=True) if parts else ((), (), ()), (np.uint64, np.int64, np.int64), strict=True))
     order = np.argsort(hashes, kind="stable")
-    return Index(tuple(sizes), hashes[order], items[order], words[order], found, np.bincount(items, minlength=len(rows)), [i for i, _ in rows])
+    return Index(tuple(sizes), hashes[order], items[order], words[order], found, np.bincount(items, minlength=len(rows)), rows)
+
+
+def index(rows: list[tuple[int, str]], size: int = SIZE) -> Benchmark:
+    """Items shorter than a window are one window of their own length; those without a plain word match nothing.
+
+    An item's first word can begin a sentence of a document or stand inside one, so an item
+    that begins with a capital has both templates.
+    """
+    texts = text_array(pa.array([t for _, t in rows], pa.string()))
+    block = next(iter(blocks(texts, 1 << 62)), Block(0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    (opening, blind), (inside, _) = templates(block), templates(block, False)
+    filled = np.flatnonzero(np.diff(inside.first))
+    more = filled[inside.kinds[inside.first[filled]] == _NAME]
+    taken = [np.arange(*inside.first[k : k + 2]) for k in more.tolist()]
+    at = np.concatenate([np.zeros(0, np.int64), *taken])
+    first = np.append(opening.first, opening.first[-1] + np.cumsum([len(t) for t in taken]).astype(np.int64))
+    both = Templates(*(np.append(x, y[at]) for x, y in zip(opening[:3], inside[:3], strict=True)), first)
+    every = np.arange(len(rows))
+    return Benchmark(_index(both, np.append(every, more), size), _index(blind, every, size), [i for i, _ in rows])
 
 
 def _consistent(known: Index, item: int, found: Templates, text: int, item_words: np.ndarray, doc_words: np.ndarray, size: int) -> tuple[bool, int]:
@@ -236,9 +298,21 @@ def _best_copy(known: Index, item: int, found: Templates, text: int, item_word:
     return best
 
 
-def leaks(known: Index, block: Block, size: int = SIZE, share: float = SHARE) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, windows found, windows of the item, values changed) of a block's leaked items."""
-    found = templates(block)
+def leaks(known: Benchmark, block: Block, size: int = SIZE, share: float = SHARE) -> list[tuple[int, int, int, int, int]]:
+    """(text, benchmark row, windows found, windows of the item, values changed) of a block's leaked items.
+
+    An item can be found by several templates; the largest share, then the fewest changes count.
+    """
+    best = {}
+    for index, found in zip((known.named, known.blind), templates(block), strict=True):
+        for text, item, n, total, changed in _leaks(index, found, size, share):
+            key, old = (text, int(index.rows[item])), best.get((text, int(index.rows[item])))
+            if old is None or (n / total, -changed) > (old[0] / old[1], -old[2]):
+                best[key] = n, total, changed
+    return [(*key, *row) for key, row in sorted(best.items())]
+
+
+def _leaks(known: Index, found: Templates, size: int, share: float) -> list[tuple[int, int, int, int, int]]:
     hits = []
     for k in known.sizes:
         hashes, at = _windows(found, k)

@@ -292,3 +292,25 @@ def test_decontamination_of_a_list_with_a_word_put_in():
     for text in (item.replace("they are", "they all are"), item.replace("when they are", "when are")):
         [(n, total, changed)] = found_by_templates(text, item)
         assert 0.8 * total <= n < total and changed == 0
+
+
+@pytest.mark.parametrize(
+    "item",
+    [
+        "The train from Copenhagen to Berlin was late, so Anna and Bert of Hamburg missed the boat to Oslo.",
+        "Ælfred and Øyvind asked Émile how many of the 12 boats in Évian were older than Ünal.",
+        "Сколько лодок в Москве и Ζάκυνθος, спросил Łukasz у Nguyễn Ạnh вечером в городе?",
+    ],
+)
+def test_decontamination_in_other_case(item):
+    for text in (item.upper(), item.lower(), f"AND THEN SO {item.upper()} AND MORE", f"and then {item.lower()} and more", item.title()):
+        [(n, total, changed)] = found_by_templates(text, item)
+        assert n == total and changed == 0
+
+
+@pytest.mark.parametrize("item", ["Where does the river end?", "Where did Anna go then at night?", "Tom has 12 apples and 3 pears."])
+def test_decontamination_of_short_items_inside_a_sentence(item):
+    for text in (f"And he asked me, {item} Yes.", f"They say {item}", f"Ask Bob {item}"):
+        [(n, total, changed)] = found_by_templates(text, item)
+        assert n == total
+    assert found_by_templates("We know, Bob has 20 apples and 4 pears.", "Tom has 12 apples and 3 pears.") == [(3, 3, 3)]
