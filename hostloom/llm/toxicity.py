@@ -6,6 +6,9 @@ compresses better than the ordinary one is suspicious. Windows are single words,
 smallest unit in which offence shows, written four bytes a character so that frame overhead
 doesn't hide the difference; equal windows are compressed once. A document's score is a
 logistic function of its largest differences, calibrated on labelled documents.
+
+No dictionary is trained on toxic text: the segments are single words chosen by document
+frequency. The README has held-out figures of this and of dictionaries trained per class.
 """
 
 from __future__ import annotations
