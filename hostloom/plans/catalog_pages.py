@@ -61,7 +61,7 @@ def _link_text(expr: str) -> str:
 def ranked_admissible_hosts(spark, sf):
     ranks = table(spark, sf, "pages").select((F.col("page_id") + 1).alias("rank"), U.host_of(F.col("url")).alias("domain"))
     # Host labels of this corpus stand in for the infrastructure list.
-    return P.ranked_domains(ranks, 100_000, skipped_suffixes=(".net",), infrastructure=r"(?:^|\.)(?:spam-farm|ththin)\.")
+    return P.ranked_domains(ranks, skipped_suffixes=(".net",), infrastructure=r"(?:^|\.)(?:spam-farm|ththin)\.")
 
 
 @query(

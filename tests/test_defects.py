@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hostloom.functions.times import known_zone, next_date, wall_time
 from hostloom.operators.feeds import calendar_time
 from hostloom.operators.queues import complete_requests
+from hostloom.plans.catalog import QUERIES
 from hostloom.sources.writers import changed_rows, guarded_patch, upsert
 
 
@@ -45,3 +46,10 @@ def test_requests_with_several_outcomes(spark):
     queue = spark.createDataFrame([("a", "r", None, None)], "domain string, requested_at string, done_at string, outcome string")
     outcomes = spark.createDataFrame([("a", "ok"), ("a", "failed")], "domain string, outcome string")
     assert [r.outcome for r in complete_requests(queue, outcomes, F.lit("now")).collect()] == ["ok"]
+
+
+def test_hosts_of_more_than_100000_pages(spark, tmp_path):
+    pages = [(5, "https://first.example.com/a"), (99_999, "https://last.example.org/"), (100_000, "https://next.example.org/"), (3_000_000, "https://late.example.com/")]
+    spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = QUERIES["ranked_admissible_hosts"](spark, str(tmp_path)).collect()
+    assert {(r.domain, r["rank"]) for r in rows} == {(u.split("/")[2], k + 1) for k, u in pages}
