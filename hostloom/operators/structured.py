@@ -64,15 +64,31 @@ def types_of(node: Column) -> Column:
     return F.coalesce(F.array_join(at(node, '["@type"]', "array<string>"), " "), text_at(node, '["@type"]'), F.lit(""))
 
 
-def _unfold(value: Column, depth: int) -> Column:
-    """Objects of a JSON value in document order, graphs and nested arrays included."""
-    elements = F.try_variant_get(value, "$", "array<variant>")
-    graph = at(value, '["@graph"]')
-    itself = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.array(value)).otherwise(F.expr(_NOTHING))
-    if depth == 0:
-        return itself
-    inner = F.coalesce(elements, F.when(graph.isNotNull(), F.array(graph)), F.expr(_NOTHING))
-    return F.concat(itself, F.flatten(F.transform(inner, lambda v: _unfold(v, depth - 1))))
+def _unfold(value: Column, text: Column) -> Column:
+    """Objects of a JSON value in document order, graphs and nested arrays included.
+
+    Every round opens the lists and graphs of one level, however deep; a value has no more
+    levels than its ``text`` has opening brackets, and rounds with nothing to open are free.
+    """
+    entry = lambda node, open_: F.struct(node.alias("node"), F.lit(open_).alias("open"))
+
+    def open_one(e: Column) -> Column:
+        node = e["node"]
+        graph = at(node, '["@graph"]')
+        itself = F.array(entry(node, False))
+        elements = F.transform(F.try_variant_get(node, "$", "array<variant>"), lambda v: entry(v, True))
+        opened = F.when(graph.isNull(), itself).otherwise(F.concat(itself, F.array(entry(graph, True))))
+        none = F.filter(itself, lambda _: F.lit(False))
+        return F.when(~e["open"], F.array(e)).when(F.schema_of_variant(node).startswith("OBJECT"), opened).otherwise(F.coalesce(elements, none))
+
+    def one_level(state: Column, _: Column) -> Column:
+        found = F.flatten(F.transform(state["found"], open_one))
+        more = let(found, lambda f: F.struct(f.alias("found"), F.exists(f, lambda e: e["open"]).alias("more")))
+        return F.when(state["more"], more).otherwise(state)
+
+    start = F.struct(F.array(entry(value, True)).alias("found"), F.lit(True).alias("more"))
+    rounds = F.sequence(F.lit(0), F.length(F.regexp_replace(text, r"[^\[{]", "")))
+    return F.aggregate(rounds, start, one_level, lambda state: F.transform(state["found"], lambda e: e["node"]))
 
 
 JSON_LD = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
@@ -83,9 +99,11 @@ def json_blocks(html: Column) -> Column:
     return F.transform(all_matches(html, JSON_LD, 1), lambda b: F.try_parse_json(strip_blank(b)))
 
 
-def json_nodes(html: Column, depth: int = 4) -> Column:
+def json_nodes(html: Column) -> Column:
     """Every object of a page's JSON-LD in document order."""
-    return F.flatten(F.transform(F.array_compact(json_blocks(html)), lambda v: _unfold(v, depth)))
+    parsed = lambda b: F.struct(F.try_parse_json(strip_blank(b)).alias("value"), b.alias("text"))
+    blocks = F.filter(F.transform(all_matches(html, JSON_LD, 1), parsed), lambda b: b["value"].isNotNull())
+    return F.flatten(F.transform(blocks, lambda b: _unfold(b["value"], b["text"])))
 
 
 def salvage_json(text: Column) -> Column:
@@ -450,7 +468,7 @@ def page_events(pages: DataFrame, as_of: Column, url_column: str = "url", limit:
 
 
 def _unfold_if(value: Column) -> Column:
-    return F.when(value.isNotNull(), _unfold(value, 2)).otherwise(F.expr(_NOTHING))
+    return F.when(value.isNotNull(), _unfold(value, F.to_json(value))).otherwise(F.expr(_NOTHING))
 
 
 # --- products -------------------------------------------------------------------------------

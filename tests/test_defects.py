@@ -1,11 +1,13 @@
 """Inputs that once ended or corrupted a job."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from hostloom.functions.times import known_zone, next_date, wall_time
+from hostloom.operators import structured
 from hostloom.operators.feeds import calendar_time
 from hostloom.operators.queues import complete_requests
 from hostloom.plans.catalog import QUERIES
@@ -53,3 +55,26 @@ def test_hosts_of_more_than_100000_pages(spark, tmp_path):
     spark.createDataFrame(pages, "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
     rows = QUERIES["ranked_admissible_hosts"](spark, str(tmp_path)).collect()
     assert {(r.domain, r["rank"]) for r in rows} == {(u.split("/")[2], k + 1) for k, u in pages}
+
+
+def json_ld(value):
+    return f'<html><script type="application/ld+json">{json.dumps(value)}</script></html>'
+
+
+@pytest.mark.parametrize("levels", [0, 1, 5, 10, 40])
+def test_json_ld_below_many_lists_and_graphs(spark, levels):
+    node, event = {"@type": "Restaurant", "name": "Deep", "telephone": "1"}, {"@type": "Event", "name": "Late [show] {", "startDate": "2024-02-01T10:00:00Z"}
+    for k in range(levels):
+        node = [{"@type": "WebPage", "name": f"p{k}", "@graph": [node]}, k, None] if k % 2 else [[node], "text"]
+        event = {"@graph": [event]} if k % 3 == 1 else [event]
+    pages = spark.createDataFrame([("https://a.example/", json_ld([node, {"@type": "Place", "event": event}]))], "url string, html string")
+    as_of = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    assert [(r["name"], r.telephone) for r in structured.page_business(pages, as_of).collect()] == [("Deep", "1")]
+    assert [r["name"] for r in structured.page_events(pages, as_of).collect()] == ["Late [show] {"]
+
+
+def test_json_ld_in_document_order(spark):
+    value = [{"name": "a", "@graph": [{"name": "b"}, [[{"name": "c", "@graph": {"name": "d"}}]], {"name": "e"}]}, [[[{"name": "f"}]]], {"name": "g", "@graph": None}, {"name": "h", "@graph": 3}]
+    pages = spark.createDataFrame([(json_ld(value) + json_ld({"name": "i"}) + '<script type="application/ld+json">{</script>',)], "html string")
+    names = F.transform(structured.json_nodes(F.col("html")), lambda n: structured.text_at(n, "name"))
+    assert pages.select(names.alias("n")).first().n == list("abcdefghi")
