@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hostloom.llm import bpe, decontaminate, jaccard_join, line_dedup, passages, pii, quality, token_files, toxicity, url_rules
+from hostloom.llm import bpe, decontaminate, jaccard_join, line_dedup, mixing, passages, pii, prefix_trie, quality, runs, token_files, toxicity, url_rules
 from hostloom.llm.common import batched
 
 QUERIES = {}
@@ -96,3 +96,69 @@ def op10(spark, sf_dir):
     from pyspark.sql import functions as F
 
     return found.select("doc_id", (toxicity.remainder(F.col("doc_id")) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT key, CAST(sum(size) AS BIGINT) AS s, [5, 2, 1][1 + (row_number() OVER (ORDER BY key) - 1) % 3] AS w FROM sized GROUP BY key
+), levels AS (
+  SELECT s, w, (sum(s) OVER () - 3 * (sum(s) OVER fill - s)) / CAST(sum(w) OVER () - (sum(w) OVER fill - w) AS DOUBLE) AS level,
+    row_number() OVER fill AS place
+  FROM sources WINDOW fill AS (ORDER BY s / CAST(w AS DOUBLE), key ROWS UNBOUNDED PRECEDING)
+), chosen AS (SELECT coalesce(arg_min(level, place), 0) AS level FROM levels WHERE level * w <= 3 * s
+), targets AS (
+  SELECT key, s, least(level * w, CAST(3 * s AS DOUBLE)) AS target,
+    CAST(CAST('0x' || substr(md5('11:' || key), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM sources, chosen
+), placed AS (
+  SELECT doc_id, size, s, target, u, row_number() OVER (PARTITION BY key ORDER BY size, doc_id NULLS FIRST) - 1 AS k,
+    CASE WHEN s > 0 THEN target / s ELSE 0.0 END AS e
+  FROM sized JOIN targets USING (key)
+)
+SELECT doc_id, size, s AS source_size, target,
+  CAST(least(floor(u + (k + 1) * e) - floor(u + k * e), 3) AS BIGINT) * size AS taken FROM placed
+"""
+
+
+@query("op11_systematic_mix", MIX_SQL)
+def op11(spark, sf_dir):
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op12_synchronised_runs")
+def op12(spark, sf_dir):
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+TRIE_SQL = """
+WITH crcs AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), own AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), given AS (
+  SELECT c, turns, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+    lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)]), 4294967295), 4294967295) % 6 AS h FROM own, crcs
+), rebuilt AS (
+  SELECT g.c, list_concat(coalesce(f.turns[1:g.h], []), g.turns[g.h + 1:]) AS turns FROM given g LEFT JOIN own f ON f.c = g.c - g.c % 100
+), members AS (SELECT c, len(turns) AS n, turns[1:d] AS node, d FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT node, d, min(c) AS c, count(*) AS n,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends FROM members GROUP BY node, d
+), kids AS (SELECT node[1:d - 1] AS node, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY 1
+), known AS (SELECT nodes.*, coalesce(kids, 0) AS kids FROM nodes LEFT JOIN kids USING (node)
+), above AS (
+  SELECT node[1:a] AS node, CASE WHEN kids = 0 THEN 1 ELSE 0 END AS leaf, (n - 1) * coalesce(length(node[d].t), 0) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM known)
+), sums AS (SELECT node, sum(leaf) AS leaves, sum(saved) AS saved FROM above GROUP BY node)
+SELECT k.c AS conv_id, CAST(k.d AS BIGINT) AS depth, p.c AS parent_conv_id, k.n AS n_convs, CAST(k.kids AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, k.ends AS ends_sha256
+FROM known k JOIN sums s ON s.node = k.node LEFT JOIN nodes p ON k.d > 0 AND p.node = k.node[1:k.d - 1]
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark, sf_dir):
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
