@@ -7,13 +7,16 @@ place of the common word bound the overlap, and so does a bitmap of the words; t
 left are verified on the full sets. A line goes if an earlier line is like it.
 
 Equal sets are one class first, so copies cost a combined aggregate and no pairs. Near
-copies are first compared with the earliest class of their rarest words only; what that
-settles takes no part in the full join as the later line.
+copies are first compared with the earliest class that has the same two neighbours in its
+prefix; what that settles takes no part in the full join as the later line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostloom.llm.common import perhaps_among, settled, top_bits
@@ -22,9 +25,11 @@ from hostloom.operators.keyed import fence, settle
 #: Least Jaccard similarity of alike lines, as a fraction, so that every bound is exact.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets of hashed words whose frequencies give the order of rarity (a bounded table).
-BUCKET_BITS = 18
-#: Rarest words by which lines meet the earliest class first.
-FIRST = 2
+BUCKET_BITS = 16
+#: Pairs of neighbours in the prefix by which lines meet the earliest class first.
+FIRST = 3
+#: A join hashes a side whose every partition has at most so many bytes, as measured after the shuffle, else it sorts.
+SMALL = 64 << 20
 #: Lines of more than LONG words have FEW longer sketches, those of more than VERY_LONG have MANY (powers of two, FEW is 2).
 LONG, VERY_LONG = 100, 400
 FEW, MANY = 2, 8
@@ -59,7 +64,21 @@ def _ceil(n: Column, a: int, b: int) -> Column:
 def frequencies(docs: DataFrame) -> DataFrame:
     """``bucket, n``: words by bucket of their hash, counted over all lines."""
     word = lines(docs).select(F.explode(split_words(F.col("line"))).alias("word"))
-    return word.groupBy(top_bits(F.xxhash64("word"), BUCKET_BITS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1).cast("bigint")).cast("int")
+    return word.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rarity(counts: DataFrame) -> Column:
+    """Steps of rarity by bucket, as the top byte of a rank: at most ``2 ** BUCKET_BITS`` numbers.
+
+    Three steps to each doubling are fine enough for an order and fit seven bits. A literal,
+    since functions of array elements take no subqueries; only the plan that writes the sets holds it.
+    """
+    steps = ["0"] * (1 << BUCKET_BITS)
+    found = counts.select("bucket", (F.log2("n") * 3).cast("int").alias("step")).toArrow()
+    for bucket, step in zip(found["bucket"].to_pylist(), found["step"].to_pylist(), strict=True):
+        steps[bucket] = str(step << 56)
+    return F.split(F.lit(",".join(steps)), ",").cast("array<bigint>")
 
 
 def _word_bit(w: Column) -> Column:
@@ -75,19 +94,15 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     ``sketch`` has a parity bit per word: sets differ in at least as many words as their
     sketches in bits. Long lines have ``more`` of them, since 64 bits tell them apart no more.
     """
-    # At most 2 ** BUCKET_BITS rows; three steps to each doubling are fine enough for an order and fit seven bits.
-    # A literal, since functions of array elements take no subqueries.
-    found = {r.bucket: r.step for r in counts.select("bucket", (F.log2("n") * 3).cast("int").alias("step")).collect()}
-    table = F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(1 << BUCKET_BITS))), ",").cast("array<bigint>")
+    steps, low = rarity(counts), F.lit((1 << BUCKET_BITS) - 1).cast("bigint")
     # Rarity first, then 56 bits of the word: one number, so that one sort gives the order and the set.
-    rank = lambda w: F.shiftleft(F.element_at(table, (top_bits(w, BUCKET_BITS) + 1).cast("int")), 56).bitwiseOR(w.bitwiseAND(F.lit((1 << 56) - 1)))
-    ranks = F.array_distinct(F.transform(split_words(F.col("line")), lambda w: rank(F.xxhash64(w))))
+    rank = lambda w: F.get(steps, w.bitwiseAND(low).cast("int")).bitwiseOR(F.shiftrightunsigned(w, 8))
     # `settle` keeps the filter below from computing the words a second time.
-    sets = settle(lines(docs), F.sort_array(F.array_remove(ranks, rank(F.xxhash64(F.lit(""))))).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
-    sketch = F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
-    n = F.size("words")
+    sets = settle(lines(docs), F.sort_array(F.transform(words(F.col("line")), rank)).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
     zero = F.lit(0).cast("bigint")
-    part = lambda k, of: F.aggregate(F.filter("words", lambda w: F.shiftrightunsigned(w, 48).bitwiseAND(F.lit(of - 1).cast("bigint")) == k), zero, lambda a, w: a.bitwiseXOR(_word_bit(w)))
+    sketch = F.aggregate("words", zero, lambda a, w: a.bitwiseXOR(_word_bit(w)))
+    n = F.size("words")
+    part = lambda k, of: F.aggregate("words", zero, lambda a, w: F.when(F.shiftrightunsigned(w, 48).bitwiseAND(F.lit(of - 1).cast("bigint")) == k, a.bitwiseXOR(_word_bit(w))).otherwise(a))
     # The last one isn't kept, since the others and the sketch give it.
     more = F.when(n > VERY_LONG, F.transform(F.sequence(zero, F.lit(MANY - 2).cast("bigint")), lambda k: part(k, MANY))).when(n > LONG, F.array(part(zero, FEW)))
     few = F.slice("words", F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
@@ -123,16 +138,33 @@ def _long_could_be(n: Column, m: Column, more: Column, others: Column, sketch: C
     return F.coalesce(count * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR), F.lit(True))
 
 
-def packed(known: DataFrame, prefix: Column, done: Column) -> DataFrame:
-    """``key, doc_id, line_no, sketch, more``: a row for each word of ``prefix``.
+def _key(word: Column, at: Column, done: Column) -> Column:
+    """A word, the size of its set, its place there and whether the line is done, in one number."""
+    n = F.least("n", F.lit(MOST)).cast("bigint")
+    place = F.when(F.col("n") < MOST, at).otherwise(0)
+    return F.shiftleft(word, 32).bitwiseOR(F.shiftleft(n, 16)).bitwiseOR((place * 2 + done).cast("bigint"))
+
+
+def packed(known: DataFrame) -> DataFrame:
+    """``key, before, doc_id, line_no, sketch, more``: a row for each word of the prefix.
 
-    ``key`` holds the word, the size of the set, the word's place and whether the line is
-    ``done``: most rows of the join are these, and one number is half of what four take.
+    Most rows of the join are these, and one number is half of what four take. ``before`` is
+    the word before it in the prefix: two lines that share that one too have met there.
     """
-    n = F.least("n", F.lit(MOST)).cast("bigint")
-    at = F.when(F.col("n") < MOST, F.col("at")).otherwise(0)
-    key = F.shiftleft(F.col("word"), 32).bitwiseOR(F.shiftleft(n, 16)).bitwiseOR((at * 2 + done).cast("bigint"))
-    return known.select("*", F.posexplode(prefix).alias("at", "word")).select(key.alias("key"), "doc_id", "line_no", "sketch", "more")
+    each = known.select("*", F.posexplode("prefix").alias("at", "word"))
+    return each.select(_key(F.col("word"), F.col("at"), F.col("done")).alias("key"), F.get("prefix", F.col("at") - 1).alias("before"), "doc_id", "line_no", "sketch", "more")
+
+
+def witnesses(known: DataFrame) -> DataFrame:
+    """``key, doc_id, line_no, sketch, more``: a row for each of :data:`FIRST` pairs of neighbours in the prefix.
+
+    The pairs with the least hashes are taken, so that lines with nearly the same prefix take the same ones.
+    """
+    size = F.size("prefix")
+    pairs = F.zip_with(F.slice("prefix", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("prefix", F.lit(2), size), lambda a, b: F.xxhash64(a, b))
+    least = F.slice(F.sort_array(pairs), 1, FIRST)
+    each = known.select("*", F.explode(least).alias("pair"))
+    return each.select(_key(F.col("pair"), F.lit(0), F.lit(0)).alias("key"), "doc_id", "line_no", "sketch", "more")
 
 
 def _word(key: Column) -> Column:
@@ -147,6 +179,21 @@ def _at(key: Column) -> Column:
     return F.shiftright(key, 1).bitwiseAND(F.lit(MOST >> 1).cast("bigint")).cast("int")
 
 
+@contextmanager
+def small_hash_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside may hash partitions of up to :data:`SMALL` bytes instead of sorting them."""
+    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(SMALL))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def _rows_could_be(a: str, b: str) -> Column:
     """:func:`_could_be` of the packed rows named ``a`` and ``b``."""
     x, y = F.col(f"{a}.key"), F.col(f"{b}.key")
@@ -163,8 +210,8 @@ def _pairs(rows: DataFrame, late: str, early: str) -> DataFrame:
 
 
 def first_pairs(known: DataFrame) -> DataFrame:
-    """Each class with the earliest one that shares one of its :data:`FIRST` rarest words, if they could be alike."""
-    rows = packed(known, F.slice("prefix", 1, FIRST), F.lit(0))
+    """Each class with the earliest one that has one of its :func:`witnesses`, if they could be alike."""
+    rows = witnesses(known)
     band = F.floor(F.log(_n(F.col("key")).cast("double")) * 4)
     row = F.struct("key", "doc_id", "line_no", "sketch", "more")
     head = F.first(row).over(Window.partitionBy(_word(F.col("key")), band).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -184,14 +231,20 @@ def flagged(known: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
-    """All pairs that could be alike whose later place isn't among ``done``."""
-    rows = packed(flagged(known, done), F.col("prefix"), F.col("done"))
+    """All pairs that could be alike whose later place isn't among ``done``.
+
+    A pair is made at the first word that both prefixes share, and again only where another
+    common word follows one that isn't.
+    """
+    rows = packed(flagged(known, done))
     a, b = rows.alias("a"), rows.alias("b")
     earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
     # The flag stands in a condition on both sides, so that they stay one shuffle of the same rows.
     open_ = F.col("a.key").bitwiseAND(F.lit(1).cast("bigint")) + F.col("b.key") * 0 < 1
-    both = a.join(b, (_word(F.col("a.key")) == _word(F.col("b.key"))) & open_ & earlier & _rows_could_be("a", "b"))
-    return _pairs(both, "a", "b")
+    fresh = F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True))
+    both = a.join(b, (_word(F.col("a.key")) == _word(F.col("b.key"))) & open_ & earlier & fresh & _rows_could_be("a", "b"))
+    with small_hash_joins(known.sparkSession):
+        return _pairs(both, "a", "b")
 
 
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
