@@ -13,14 +13,11 @@ prefix; what that settles takes no part in the full join as the later line.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import perhaps_among, settled, top_bits
-from hostloom.operators.keyed import fence, settle
+from hostloom.llm.common import perhaps_among, settled
+from hostloom.operators.keyed import settle
 
 #: Least Jaccard similarity of alike lines, as a fraction, so that every bound is exact.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -28,11 +25,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 BUCKET_BITS = 16
 #: Pairs of neighbours in the prefix by which lines meet the earliest class first.
 FIRST = 3
-#: A join hashes a side whose every partition has at most so many bytes, as measured after the shuffle, else it sorts.
-SMALL = 64 << 20
-#: Lines of more than LONG words have FEW longer sketches, those of more than VERY_LONG have MANY (powers of two, FEW is 2).
-LONG, VERY_LONG = 100, 400
-FEW, MANY = 2, 8
+#: Pairs with a line of more than LONG words are told apart by two bitmaps, which lines of more than NEAR words have.
+LONG = 64
+NEAR = LONG * NUMERATOR // DENOMINATOR
 #: Word counts and places in packed rows end here; longer sets pass every filter.
 MOST = (1 << 16) - 1
 
@@ -87,55 +82,51 @@ def _word_bit(w: Column) -> Column:
 
 
 def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """``doc_id, line_no, class, n, sketch, more, prefix`` of every line with a word.
+    """``doc_id, line_no, class, n, sketch, half, prefix`` of every line with a word.
 
     ``class`` hashes the set. ``prefix`` has the rarest words, enough for every alike line to
     share one; sets of up to three words are alike only if equal, so theirs is empty.
     ``sketch`` has a parity bit per word: sets differ in at least as many words as their
-    sketches in bits. Long lines have ``more`` of them, since 64 bits tell them apart no more.
+    sketches in bits. For long lines 64 bits tell little, so ``half`` is that of half the words;
+    with the sketch it gives the other half's.
     """
     steps, low = rarity(counts), F.lit((1 << BUCKET_BITS) - 1).cast("bigint")
     # Rarity first, then 56 bits of the word: one number, so that one sort gives the order and the set.
     rank = lambda w: F.get(steps, w.bitwiseAND(low).cast("int")).bitwiseOR(F.shiftrightunsigned(w, 8))
     # `settle` keeps the filter below from computing the words a second time.
     sets = settle(lines(docs), F.sort_array(F.transform(words(F.col("line")), rank)).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
-    zero = F.lit(0).cast("bigint")
-    sketch = F.aggregate("words", zero, lambda a, w: a.bitwiseXOR(_word_bit(w)))
-    n = F.size("words")
-    part = lambda k, of: F.aggregate("words", zero, lambda a, w: F.when(F.shiftrightunsigned(w, 48).bitwiseAND(F.lit(of - 1).cast("bigint")) == k, a.bitwiseXOR(_word_bit(w))).otherwise(a))
-    # The last one isn't kept, since the others and the sketch give it.
-    more = F.when(n > VERY_LONG, F.transform(F.sequence(zero, F.lit(MANY - 2).cast("bigint")), lambda k: part(k, MANY))).when(n > LONG, F.array(part(zero, FEW)))
+    parity = lambda of: F.aggregate(of, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
+    sketch, n = parity("words"), F.size("words")
+    half = F.when(n > NEAR, parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(1 << 20).cast("bigint")) == 0)))
     few = F.slice("words", F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
     prefix = F.transform(few, lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)))
-    return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), more.alias("more"), prefix.alias("prefix"))
+    return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), half.alias("half"), prefix.alias("prefix"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """One row per different set: ``class, n, sketch, more, prefix, copies`` and its first place."""
-    first = sets.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("more").alias("more"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("copies"))
-    return first.select("class", "n", "sketch", "more", "prefix", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-
-
-def _few_bits(x: Column, y: Column, n: Column) -> Column:
-    """Whether bitmaps of alike sets with ``n`` words in sum may differ in so many bits."""
-    return F.bit_count(x.bitwiseXOR(y)) * (NUMERATOR + DENOMINATOR) <= n * (DENOMINATOR - NUMERATOR)
+    """One row per different set: ``class, n, sketch, half, prefix, copies`` and its first place."""
+    same = [F.first(c).alias(c) for c in ("n", "sketch", "half", "prefix")]
+    first = sets.groupBy("class").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), *same, F.count(F.lit(1)).alias("copies"))
+    return first.select("class", "n", "sketch", "half", "prefix", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
 
 
-def _could_be(n: Column, m: Column, at: Column, by: Column, sketch: Column, other: Column) -> Column:
-    """Bitmap, length and place filters on sets of ``n`` and ``m`` words that share a word at ``at`` and ``by``.
+def _could_be(a: str, b: str, long: bool) -> Column:
+    """Bitmap, length and place filters on packed rows named ``a`` and ``b``, which share a word.
 
-    The overlap of alike sets is at least ``(n + m) * 4 / 9``. Only short arithmetic stands
-    here, the most selective first: a long condition is not compiled and far slower.
+    The overlap of alike sets of n and m words is at least ``(n + m) * 4 / 9``, so they differ
+    in at most ``(n + m) / 9`` words. Only short arithmetic stands here, the most selective
+    first: a long condition is not compiled and far slower.
     """
-    place = F.least(n - at, m - by) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
-    return _few_bits(sketch, other, n + m) & (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & place
-
-
-def _long_could_be(n: Column, m: Column, more: Column, others: Column, sketch: Column, other: Column) -> Column:
-    """The longer bitmaps' filter; true if either line has none or they differ in length."""
-    differ = F.zip_with(more, others, lambda x, y: x.bitwiseXOR(y))
-    count = F.aggregate(differ, F.struct(F.lit(0).alias("bits"), sketch.bitwiseXOR(other).alias("last")), lambda a, x: F.struct((a.bits + F.bit_count(x)).alias("bits"), a.last.bitwiseXOR(x).alias("last")), lambda a: a.bits + F.bit_count(a.last))
-    return F.coalesce(count * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR), F.lit(True))
+    x, y = F.col(f"{a}.key"), F.col(f"{b}.key")
+    n, m = _n(x), _n(y)
+    every = F.col(f"{a}.sketch").bitwiseXOR(F.col(f"{b}.sketch"))
+    bits = F.bit_count(every)
+    if long:
+        one = F.col(f"{a}.half").bitwiseXOR(F.col(f"{b}.half"))
+        bits = F.bit_count(one) + F.bit_count(every.bitwiseXOR(one))
+    few = bits * (NUMERATOR + DENOMINATOR) <= (n + m) * (DENOMINATOR - NUMERATOR)
+    place = F.least(n - _at(x), m - _at(y)) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
+    return few & (m * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= m * NUMERATOR) & place
 
 
 def _key(word: Column, at: Column, done: Column) -> Column:
@@ -146,17 +137,16 @@ def _key(word: Column, at: Column, done: Column) -> Column:
 
 
 def packed(known: DataFrame) -> DataFrame:
-    """``key, before, doc_id, line_no, sketch, more``: a row for each word of the prefix.
+    """``key, doc_id, line_no, sketch, half``: a row for each word of the prefix.
 
-    Most rows of the join are these, and one number is half of what four take. ``before`` is
-    the word before it in the prefix: two lines that share that one too have met there.
+    Most rows of the join are these, and one number is half of what four take.
     """
     each = known.select("*", F.posexplode("prefix").alias("at", "word"))
-    return each.select(_key(F.col("word"), F.col("at"), F.col("done")).alias("key"), F.get("prefix", F.col("at") - 1).alias("before"), "doc_id", "line_no", "sketch", "more")
+    return each.select(_key(F.col("word"), F.col("at"), F.col("done")).alias("key"), "doc_id", "line_no", "sketch", "half")
 
 
 def witnesses(known: DataFrame) -> DataFrame:
-    """``key, doc_id, line_no, sketch, more``: a row for each of :data:`FIRST` pairs of neighbours in the prefix.
+    """``key, doc_id, line_no, sketch, half``: a row for each of :data:`FIRST` pairs of neighbours in the prefix.
 
     The pairs with the least hashes are taken, so that lines with nearly the same prefix take the same ones.
     """
@@ -164,7 +154,7 @@ def witnesses(known: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("prefix", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("prefix", F.lit(2), size), lambda a, b: F.xxhash64(a, b))
     least = F.slice(F.sort_array(pairs), 1, FIRST)
     each = known.select("*", F.explode(least).alias("pair"))
-    return each.select(_key(F.col("pair"), F.lit(0), F.lit(0)).alias("key"), "doc_id", "line_no", "sketch", "more")
+    return each.select(_key(F.col("pair"), F.lit(0), F.lit(0)).alias("key"), "doc_id", "line_no", "sketch", "half")
 
 
 def _word(key: Column) -> Column:
@@ -179,44 +169,20 @@ def _at(key: Column) -> Column:
     return F.shiftright(key, 1).bitwiseAND(F.lit(MOST >> 1).cast("bigint")).cast("int")
 
 
-@contextmanager
-def small_hash_joins(spark: SparkSession) -> Iterator[None]:
-    """Joins planned inside may hash partitions of up to :data:`SMALL` bytes instead of sorting them."""
-    name = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(SMALL))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
-def _rows_could_be(a: str, b: str) -> Column:
-    """:func:`_could_be` of the packed rows named ``a`` and ``b``."""
-    x, y = F.col(f"{a}.key"), F.col(f"{b}.key")
-    return _could_be(_n(x), _n(y), _at(x), _at(y), F.col(f"{a}.sketch"), F.col(f"{b}.sketch"))
-
-
 def _pairs(rows: DataFrame, late: str, early: str) -> DataFrame:
-    """The different pairs of places, later and earlier, that the longer bitmaps let through."""
-    both = [F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"), ("more", "more"), ("sketch", "sketch"))]
-    sizes = [_n(F.col(f"{side}.key")).alias(name) for side, name in ((late, "n"), (early, "m"))]
-    # `fence` keeps the lambda out of the join, whose code it would stop from being compiled.
-    left = fence(rows.select(*both, *sizes)).where(_long_could_be(F.col("n"), F.col("m"), F.col("late_more"), F.col("early_more"), F.col("late_sketch"), F.col("early_sketch")))
-    return settled(left.select("late_doc", "late_line", "early_doc", "early_line").distinct())
+    """The pairs of places, later and earlier, of joined rows."""
+    return rows.select(*[F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"))])
 
 
 def first_pairs(known: DataFrame) -> DataFrame:
     """Each class with the earliest one that has one of its :func:`witnesses`, if they could be alike."""
     rows = witnesses(known)
     band = F.floor(F.log(_n(F.col("key")).cast("double")) * 4)
-    row = F.struct("key", "doc_id", "line_no", "sketch", "more")
+    row = F.struct("key", "doc_id", "line_no", "sketch", "half")
     head = F.first(row).over(Window.partitionBy(_word(F.col("key")), band).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = rows.select(row.alias("r"), head.alias("h")).where(F.struct("h.doc_id", "h.line_no") < F.struct("r.doc_id", "r.line_no"))
-    return _pairs(both.where(_rows_could_be("r", "h")), "r", "h")
+    alike_bits = _could_be("r", "h", False) & F.coalesce(_could_be("r", "h", True), F.lit(True))
+    return settled(_pairs(both.where(alike_bits), "r", "h").distinct())
 
 
 def flagged(known: DataFrame, done: DataFrame) -> DataFrame:
@@ -233,18 +199,20 @@ def flagged(known: DataFrame, done: DataFrame) -> DataFrame:
 def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
     """All pairs that could be alike whose later place isn't among ``done``.
 
-    A pair is made at the first word that both prefixes share, and again only where another
-    common word follows one that isn't.
+    Pairs of lines up to LONG words meet in one join, those with a longer one in the other,
+    which holds the lines of more than NEAR words.
     """
-    rows = packed(flagged(known, done))
-    a, b = rows.alias("a"), rows.alias("b")
-    earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
-    # The flag stands in a condition on both sides, so that they stay one shuffle of the same rows.
-    open_ = F.col("a.key").bitwiseAND(F.lit(1).cast("bigint")) + F.col("b.key") * 0 < 1
-    fresh = F.coalesce(F.col("a.before") != F.col("b.before"), F.lit(True))
-    both = a.join(b, (_word(F.col("a.key")) == _word(F.col("b.key"))) & open_ & earlier & fresh & _rows_could_be("a", "b"))
-    with small_hash_joins(known.sparkSession):
-        return _pairs(both, "a", "b")
+    rows = flagged(known, done)
+    found = None
+    for long in (False, True):
+        some = packed(rows.where(F.col("n") > NEAR if long else F.col("n") <= LONG))
+        a, b = some.alias("a"), some.alias("b")
+        earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
+        # The flag stands in a condition on both sides, so that they stay one shuffle of the same rows.
+        open_ = F.col("a.key").bitwiseAND(F.lit(1).cast("bigint")) + F.col("b.key") * 0 < 1
+        both = _pairs(a.join(b, (_word(F.col("a.key")) == _word(F.col("b.key"))) & open_ & earlier & _could_be("a", "b", long)), "a", "b")
+        found = both if found is None else found.unionByName(both)
+    return settled(found.distinct())
 
 
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -278,7 +246,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # Most sets occur once. A bounded bitmap tells them from those that may have copies, so that only the latter are grouped.
     maybe = perhaps_among(many, ["class"])
     grouped = settled(classes(sets.where(maybe)))
-    columns = ["n", "sketch", "more", "prefix", "doc_id", "line_no"]
+    columns = ["n", "sketch", "half", "prefix", "doc_id", "line_no"]
     known = sets.where(~maybe).select(columns).unionByName(grouped.select(columns))
     place = F.struct(F.col("s.doc_id").alias("doc_id"), F.col("s.line_no").alias("line_no"))
     firsts = grouped.where("copies > 1").select("class", F.struct("doc_id", "line_no").alias("first"))
