@@ -19,7 +19,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hostloom.llm.common import batched, blocks, text_array
+from hostloom.llm.common import batched, blocks, text_array, texts_of
 from hostloom.llm.pretokens import Vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -188,4 +188,4 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return texts_of(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

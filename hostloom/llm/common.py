@@ -51,6 +51,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/hostloom-{uuid.uuid4().hex}"
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the id as the 64-bit integer that Arrow schemas name, whatever integer it is in the table."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read back: a lineage cut that outlives executors."""
     path = shared_folder(df.sparkSession)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import _ITEMS, Block, batched, blocks, runs_of, span_hashes, text_array
+from hostloom.llm.common import _ITEMS, Block, batched, blocks, runs_of, span_hashes, text_array, texts_of
 
 #: Template words of a window, and the least share of an item's windows in a document.
 SIZE, SHARE = 5, 0.8
@@ -377,7 +377,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> Dat
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "n_windows", "n_item_windows", "n_changed"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, FOUND)
+        found = texts_of(docs).mapInArrow(run, FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import _ITEMS, Block, batched, blocks, perhaps_among, settled, span_hashes, text_array, windows_of, words_of
+from hostloom.llm.common import _ITEMS, Block, batched, blocks, perhaps_among, settled, span_hashes, text_array, texts_of, windows_of, words_of
 
 SHINGLE = 5
 #: Least Jaccard similarity, as a fraction.
@@ -92,7 +92,7 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(n)), pa.array([class_of(x) if len(x) else None for x in found], pa.int64()), pa.array(n, pa.int64()), lists], names=["doc_id", "class", "n", "nodes"])
                 at += len(n)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, class bigint, n bigint, nodes array<bigint>")
+    return texts_of(docs).mapInArrow(run, "doc_id bigint, class bigint, n bigint, nodes array<bigint>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def verified(docs: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame
             take = pa.array([i for i, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("class", "root", "blocks")), pa.array([x for _, x in rows], pa.binary())], names=["class", "root", "blocks", "shingles"])
 
-    wanted = docs.where("doc_id is not null").select("doc_id", "text").where(perhaps_among(members, ["doc_id"]))
+    wanted = texts_of(docs.where("doc_id is not null")).where(perhaps_among(members, ["doc_id"]))
     full = wanted.join(members, "doc_id").select("class", "root", "blocks", "text").mapInArrow(sets, "class bigint, root bigint, blocks int, shingles binary")
     full = full.dropDuplicates(["class"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

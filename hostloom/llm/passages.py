@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import _ITEMS, Words, batched, blocks, mixed, settled, span_hashes, text_array, windows_of, words_of
+from hostloom.llm.common import _ITEMS, Words, batched, blocks, mixed, settled, span_hashes, text_array, texts_of, windows_of, words_of
 
 #: Words of a window, and of an anchor inside it.
 SIZE, GRAM = 50, 10
@@ -86,7 +86,7 @@ def anchor_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(text[new] + at)), pa.array(_signed(hashes[new]))], names=["doc_id", "anchor"])
                 at += block.last - block.first
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, anchor bigint")
+    return texts_of(docs.where("doc_id is not null")).mapInArrow(run, "doc_id bigint, anchor bigint")
 
 
 CANDIDATES = "doc_id bigint, key bigint, n_words bigint, kept_sha256 string, text string, windows array<bigint>, at array<int>"
@@ -126,7 +126,7 @@ def candidates(docs: DataFrame, size: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(out)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", "key", "n_words", "kept_sha256", "text", "windows", "at"])
                 at += block.last - block.first
 
-    return docs.select("doc_id", "text").join(mine, "doc_id", "left").mapInArrow(run, CANDIDATES)
+    return texts_of(docs).join(mine, "doc_id", "left").mapInArrow(run, CANDIDATES)
 
 
 def _spans(at: np.ndarray, size: int) -> list[tuple[int, int]]:

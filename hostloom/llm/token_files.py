@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import batched, blocks, settled, shared_folder, text_array
+from hostloom.llm.common import batched, blocks, settled, shared_folder, text_array, texts_of
 from hostloom.llm.pretokens import Vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -89,7 +89,7 @@ def encode(docs: DataFrame, path: str | None = None, end: int = END) -> DataFram
             plain = [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, found), pa.int64()), pa.array(plain, pa.binary())], names=["doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, ids binary")
+    return texts_of(docs).mapInArrow(run, "doc_id bigint, n bigint, ids binary")
 
 
 def _numbers(n: int, plain: bytes) -> np.ndarray:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostloom.llm.common import batched, text_array
+from hostloom.llm.common import batched, text_array, texts_of
 
 #: Labelled documents of each class that the model is fitted on, the first by hash of their id.
 SAMPLE = 3000
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     one = one.select("doc_id", "toxic", order.alias("_order"))
     some = [one.where(F.col("toxic") == k).orderBy("_order", "doc_id").limit(most) for k in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * most rows of three numbers
-    sample = docs.select("doc_id", "text").join(ids, "doc_id").where("text is not null")
+    sample = texts_of(docs).join(ids, "doc_id").where("text is not null")
     rows = sample.select(F.substring("text", 1, READ).alias("text"), "toxic").distinct().collect()
     by_text: dict[str, set[int]] = {}
     for r in rows:
@@ -193,7 +193,7 @@ def _scored(docs: DataFrame, model: Model, schema, make):
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every whole text (null: empty); repeated rows give repeated rows."""
     make = lambda batch, found: pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
-    return _scored(docs.select("doc_id", "text"), model, "doc_id bigint, score double", make)
+    return _scored(texts_of(docs), model, "doc_id bigint, score double", make)
 
 
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.3) -> DataFrame:

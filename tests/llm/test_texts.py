@@ -241,7 +241,7 @@ QUESTION = "Tom has 12 apples and gives Mary 5 apples, then Tom buys 12 kg of pe
     ("text", "changed"),
     [
         (f"Before that. {QUESTION} And more.", 0),
-        ("Then came Bob who has 20 apples and gives Anna 7 apples, then Bob buys 20 lb of pears in 4 days. How many apples does Anna have?", None),
+        ("Then came Bob who has 20 apples and gives Anna 7 apples, then Bob buys 20 lb of pears in 4 days. How many apples does Anna have?", 6),
         ("Well, Bob has 20 apples and gives Anna 7 apples, then Bob buys 20 lb of pears in 4 days. How many apples does Anna have? Yes.", 6),
         ("Well, Bob has 20 apples and gives Anna 7 apples, then Zed buys 21 lb of pears in 4 days. How many apples does Anna have? Yes.", None),
         ("Nothing of the kind.", None),
