@@ -8,6 +8,7 @@ from hostloom.plans import (  # noqa: F401  (importing registers the queries)
     catalog_pages,
     catalog_report,
     catalog_sites,
+    catalog_storage,
 )
 from hostloom.plans.registry import ORACLES, QUERIES
 

@@ -33,8 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as a search log."""
+    return searches_of(table(spark, sf_dir, "events"))
+
+
+def searches_of(events: DataFrame) -> DataFrame:
+    """The same of a table or a stream of events."""
     k = F.get_json_object("props", "$.k").cast("bigint")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.concat(F.col("event_type"), F.lit(" "), (k % 20).cast("string")).alias("query"),
         F.array(

@@ -1,98 +1,34 @@
-"""Writers: merges into Parquet tables, histories, state, snapshots, exports.
+"""Writers: versioned Parquet tables, histories, state, snapshots, exports.
 
 Parquet has no ``MERGE``. A merge is a join that yields the next version of the table;
-:class:`VersionedTable` writes it beside the old one and then moves a pointer, so readers
-see one version or the other and a lost executor only repeats a task.
+:class:`VersionedTable` writes it beside the old one and then moves the version by a rename,
+so readers see one version or the other and a lost executor only repeats a task.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostloom.operators.keyed import keep_first, keep_last
-
-# --- merges as DataFrames -------------------------------------------------------------------
-
-
-def one_per_key(new: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
-    """One row per key of a batch: the last by ``order``, then by the row's JSON text, so that repeats agree."""
-    return keep_last(new, [key], *order, F.to_json(F.struct(*new.columns)))
-
-
-def upsert(stored: DataFrame, new: DataFrame, key: str, supplied: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Next version of a table: supplied columns replace stored ones, others stay.
-
-    Of incoming rows with one key the last by ``order`` counts.
-
-    An update writes exactly the supplied columns, NULLs included; it never means
-    "keep the old value where the new one is NULL". New keys get NULL elsewhere.
-    """
-    incoming = one_per_key(new, key, order).select(key, *[F.col(c).alias(f"_new_{c}") for c in supplied], F.lit(True).alias("_in"))
-    joined = stored.join(incoming, key, "full")
-    arrived = F.coalesce("_in", F.lit(False))
-    pick = lambda c: F.when(arrived, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in supplied else F.col(c)
-    return joined.select(*[F.col(key) if c == key else pick(c) for c in stored.columns])
-
-
-def changed_rows(stored: DataFrame, new: DataFrame, key: str, supplied: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """Incoming rows that would change something: new keys and real differences, one row per key."""
-    old = stored.select(key, *[F.col(c).alias(f"_old_{c}") for c in supplied], F.lit(True).alias("_known"))
-    same = F.lit(True)
-    for c in supplied:
-        same = same & F.col(c).eqNullSafe(F.col(f"_old_{c}"))
-    joined = one_per_key(new, key, order).select(key, *supplied).join(old, key, "left")
-    return joined.where(F.col("_known").isNull() | ~same).select(key, *supplied)
-
-
-def insert_ignore(stored: DataFrame, new: DataFrame, keys: Sequence[str], *first: Column) -> DataFrame:
-    """New rows only: duplicates inside the batch and keys already stored drop out."""
-    unique = keep_first(new, list(keys), *first)
-    return unique.join(stored.select(*keys), list(keys), "left_anti").select(*new.columns)
-
-
-def guarded_patch(stored: DataFrame, patches: DataFrame, key: str, columns: Sequence[str], guard: Column, order: Sequence[Column] = ()) -> DataFrame:
-    """Apply patches only where the guard still holds for the stored row; of several for a key the last.
-
-    The guard may compare stored columns with patch columns named ``patch_*``, such as
-    the ``patch_updated_at`` the patch was computed from.
-    """
-    incoming = one_per_key(patches, key, order).select(
-        key, *[F.col(c).alias(f"patch_{c}") for c in patches.columns if c != key], F.lit(True).alias("_in")
-    )
-    joined = stored.join(incoming, key, "left")
-    applies = F.coalesce(F.col("_in") & guard, F.lit(False))
-    return joined.select(
-        *[F.when(applies, F.col(f"patch_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns]
-    )
-
+from hostloom.sources.merges import changed_rows, guarded_patch, insert_ignore, one_per_key, upsert  # noqa: F401  (part of this module's face)
+from hostloom.sources.parted import Versions, append_once
 
 # --- tables on disk -------------------------------------------------------------------------
 
 
 class VersionedTable:
-    """A Parquet table of numbered versions with a pointer to the current one."""
+    """A small Parquet table that every change rewrites; a large one is a :class:`~hostloom.sources.parted.PartedTable`."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _pointer(self):
-        jvm = self.spark._jvm
-        name = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        return name.getFileSystem(self.spark._jsc.hadoopConfiguration()), name
+        self.versions = Versions(spark, f"{self.path}/_versions")
 
     def version(self) -> int | None:
         """Number of the current version, None before the first write."""
-        fs, name = self._pointer()
-        if not fs.exists(name):
-            return None
-        stream = fs.open(name)
-        try:
-            return int(stream.readLong())
-        finally:
-            stream.close()
+        return self.versions.latest()[0] or None
 
     def exists(self) -> bool:
         """Whether anything was written yet."""
@@ -100,32 +36,34 @@ class VersionedTable:
 
     def read(self) -> DataFrame:
         """The current version."""
-        return self.spark.read.parquet(f"{self.path}/v={self.version()}")
-
-    def replace(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
-        """Write the next version, then point to it. Old versions stay readable."""
-        number = (self.version() or 0) + 1
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/v={number}")
-        fs, name = self._pointer()
-        stream = fs.create(name, True)
-        try:
-            stream.writeLong(number)
-        finally:
-            stream.close()
-        return number
+        return self.spark.read.parquet(f"{self.path}/{self.versions.latest()[1]}")
+
+    def replace(self, df: DataFrame, partition_by: Sequence[str] = (), base: int | None = None) -> int:
+        """Write the version after ``base`` (the current one), then point to it. Old versions stay readable.
+
+        Raises ClashError if another writer has moved on from ``base`` meanwhile.
+        """
+        base = (self.version() or 0) if base is None else base
+        name = f"v={base + 1}-{uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
+        return self.versions.add(base, name)
 
     def merge(self, new: DataFrame, key: str, supplied: Sequence[str]) -> int:
-        """Upsert a batch into the table."""
-        return self.replace(upsert(self.read(), new, key, supplied))
+        """Upsert a batch into the table; into nothing, it becomes the table."""
+        base = self.version()
+        if base is None:
+            return self.replace(one_per_key(new, key).select(key, *supplied), base=0)
+        return self.replace(upsert(self.read(), new, key, supplied), base=base)
 
     def delete(self, condition: Column) -> int:
         """Next version without the rows that meet the condition; NULL does not meet it."""
-        return self.replace(self.read().where(~F.coalesce(condition, F.lit(False))))
+        base = self.version()
+        return self.replace(self.read().where(~F.coalesce(condition, F.lit(False))), base=base)
 
 
-def append_history(rows: DataFrame, path: str, at: str = "observed_at") -> None:
-    """Append to a history table partitioned by day."""
-    rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
+def append_history(rows: DataFrame, path: str, at: str = "observed_at", run: str | None = None) -> None:
+    """Append to a history table partitioned by run and day. With a run name, a repeated run is there once."""
+    append_once(rows, path, run or uuid.uuid4().hex, at)
 
 
 def save_state(spark: SparkSession, path: str, key: str, value: str) -> None:
@@ -178,6 +116,6 @@ def export_urls(urls: DataFrame, path: str, total: int = 50_000, per_file: int =
     urls.select("url").distinct().orderBy("url").limit(total).write.mode("overwrite").option("maxRecordsPerFile", per_file).text(path)
 
 
-def outbox(alerts: DataFrame, path: str) -> None:
-    """Append alerts for whatever delivers them."""
-    append_history(alerts, path, at="at")
+def outbox(alerts: DataFrame, path: str, run: str | None = None) -> None:
+    """Append alerts for whatever delivers them; with a run name, a repeated run is there once."""
+    append_history(alerts, path, at="at", run=run)

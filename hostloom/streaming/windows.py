@@ -60,18 +60,18 @@ def hourly_alerts(problems: DataFrame, delay: str = ALERT_DELAY) -> DataFrame:
 
 
 def daily_demand(searches: DataFrame, days: int = 30, recent_days: int = 7, first: int = 5, delay: str = "1 day") -> DataFrame:
-    """Weighted demand per domain in a window that slides by a day."""
-    recent = F.col("created_at") >= F.col("w.end") - F.make_dt_interval(days=F.lit(recent_days))
-    shown = F.explode(F.slice("domains", 1, first)).alias("domain")
-    sliding = F.window("created_at", f"{days} days", "1 day").alias("w")
-    return (
-        searches.withWatermark("created_at", delay)
-        .select("created_at", shown)
-        .select("created_at", "domain", sliding)
-        .groupBy("w", "domain")
-        .agg(F.sum(F.when(recent, 2).otherwise(1)).alias("score"))
-        .select(F.col("w.end").alias("until"), "domain", "score")
-    )
+    """Weighted demand per domain in a window that slides by a day.
+
+    Appearances are counted by day first, and only these counts go into the ``days`` windows
+    that hold the day: a search is one row, not one row a window.
+    """
+    shown = searches.withWatermark("created_at", delay).select("created_at", F.explode(F.slice("domains", 1, first)).alias("domain"))
+    daily = shown.groupBy(F.window("created_at", "1 day").alias("day"), "domain").agg(F.count(F.lit(1)).alias("n"))
+    slides = daily.groupBy(F.window(F.window_time("day"), f"{days} days", "1 day").alias("w"), "domain", F.col("day.start").alias("day_start"))
+    recent = F.col("day_start") >= F.col("w.end") - F.make_dt_interval(days=F.lit(recent_days))
+    # A day is one row of a window, so this aggregate only deals the counts out; the last one adds them up.
+    dealt = slides.agg(F.sum("n").alias("n")).select("w", "domain", (F.col("n") * F.when(recent, 2).otherwise(1)).alias("score"))
+    return dealt.groupBy("w", "domain").agg(F.sum("score").alias("score")).select(F.col("w.end").alias("until"), "domain", "score")
 
 
 def search_sessions(searches: DataFrame, gap: str = "90 seconds", delay: str = LOG_DELAY) -> DataFrame:
