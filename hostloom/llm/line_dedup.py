@@ -202,7 +202,8 @@ def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
     Pairs of lines up to LONG words meet in one join, those with a longer one in the other,
     which holds the lines of more than NEAR words.
     """
-    rows = flagged(known, done)
+    # Written once: both joins read it on both sides, and each plan holds one look-up of what is done.
+    rows = settled(flagged(known, done))
     found = None
     for long in (False, True):
         some = packed(rows.where(F.col("n") > NEAR if long else F.col("n") <= LONG))
