@@ -177,7 +177,8 @@ def _pairs(rows: DataFrame, late: str, early: str) -> DataFrame:
 def first_pairs(known: DataFrame) -> DataFrame:
     """Each class with the earliest one that has one of its :func:`witnesses`, if they could be alike."""
     rows = witnesses(known)
-    band = F.floor(F.log(_n(F.col("key")).cast("double")) * 4)
+    # Bands of length begin elsewhere for every third pair, so that one edge doesn't part lines for all of theirs.
+    band = F.floor(F.log(_n(F.col("key")).cast("double")) * 4 + F.pmod(_word(F.col("key")), F.lit(3)) / 3)
     row = F.struct("key", "doc_id", "line_no", "sketch", "half")
     head = F.first(row).over(Window.partitionBy(_word(F.col("key")), band).orderBy("doc_id", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = rows.select(row.alias("r"), head.alias("h")).where(F.struct("h.doc_id", "h.line_no") < F.struct("r.doc_id", "r.line_no"))
