@@ -74,6 +74,37 @@ def test_price_alerts_match_batch(spark, small, tmp_path):
     assert back == sorted(tuple(r) for r in change.restocks(observations).select("url", "observation_id").collect())
 
 
+def test_late_prices_match_batch(spark, small, tmp_path):
+    """Micro-batches in an order up to sixty days off, and a last row far ahead that closes everything."""
+    stateful.use_state_store(spark)
+    observations = roles.price_log(spark, small).drop("item_id")
+    end = spark.sql("SELECT 'end' AS url, 0L AS observation_id, 1D AS price_eur, true AS available, TIMESTAMP '2030-01-01' AS observed_at")
+    jitter = F.pmod(F.xxhash64("observation_id"), F.lit(60)).cast("int")
+    mixed = observations.unionByName(end).withColumn("arrives", F.date_add("observed_at", jitter))
+    streamed = replay(spark, mixed, tmp_path, lambda s: stateful.late_price_alerts(s.drop("arrives"), "61 days", 5000), "late_prices", files=4, order="arrives")
+    drops = sorted(tuple(r) for r in streamed.where("kind = 'price_drop'").select("url", "observation_id", "previous_price_eur", "price_eur").collect())
+    assert drops == sorted(tuple(r) for r in change.price_drops(observations).select("url", "observation_id", "prev_price_eur", "price_eur").collect())
+    back = sorted(tuple(r) for r in streamed.where("kind = 'back_in_stock'").select("url", "observation_id").collect())
+    assert back == sorted(tuple(r) for r in change.restocks(observations).select("url", "observation_id").collect())
+
+
+def test_an_older_price_that_comes_late_alarms_nobody(spark, tmp_path):
+    stateful.use_state_store(spark)
+    rows = [("a", 1, 10.0, True, 1, 1), ("a", 3, 20.0, True, 3, 2), ("a", 2, 5.0, False, 2, 3), ("a", 4, 19.0, True, 4, 4), ("end", 0, 1.0, True, 900, 5), ("end", 1, 1.0, True, 901, 6), ("a", 9, 1.0, True, 2, 7)]  # the last one is years too late
+    frame = spark.createDataFrame(rows, "url string, observation_id bigint, price_eur double, available boolean, day int, arrives int")
+    frame = frame.withColumn("observed_at", F.timestamp_seconds(F.col("day") * 86_400)).drop("day")
+    streamed = replay(spark, frame, tmp_path, lambda s: stateful.late_price_alerts(s.drop("arrives"), "3 days"), "late_one", order="arrives")
+    assert sorted((r["kind"], r["observation_id"], r["previous_price_eur"]) for r in streamed.collect()) == [("back_in_stock", 3, 5.0), ("price_drop", 4, 20.0)]
+
+
+def test_an_earlier_hour_that_comes_late_is_told(spark, tmp_path):
+    stateful.use_state_store(spark)
+    frame = spark.createDataFrame([("k", 5, 1), ("k", 3, 2), ("k", 3, 3), ("k", 4, 4), ("k", 90, 5), ("k", 5, 6)], "key string, hour int, arrives int")
+    frame = frame.withColumn("at", F.timestamp_seconds(F.col("hour") * 3600 + F.col("arrives"))).drop("hour")
+    streamed = replay(spark, frame, tmp_path, lambda s: stateful.immediate_alerts(s.drop("arrives")), "late_hours", order="arrives", mode="update")
+    assert sorted(int(r["hour"].timestamp()) // 3600 for r in streamed.collect()) == [3, 4, 5, 90]
+
+
 def test_immediate_alerts_match_batch(spark, log, tmp_path):
     stateful.use_state_store(spark)
     problems = log.select(F.col("kind").alias("key"), F.col("created_at").alias("at"))
