@@ -55,7 +55,7 @@ def _link_text(expr: str) -> str:
     "ranked_admissible_hosts",
     r"""SELECT domain, CAST(min(page_id + 1) AS BIGINT) AS rank FROM (
           SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS domain FROM pages)
-        WHERE page_id + 1 <= 100000 AND regexp_matches(domain, '^[a-z0-9.-]+\.[a-z]{2,}$') AND NOT domain LIKE '%.net'
+        WHERE regexp_matches(domain, '^[a-z0-9.-]+\.[a-z]{2,}$') AND NOT domain LIKE '%.net'
           AND NOT regexp_matches(domain || '.', '(^|\.)(spam-farm|ththin)\.') GROUP BY domain""",
 )
 def ranked_admissible_hosts(spark, sf):
