@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hostloom.functions.hours import canonical_hours, hours_line, special_line
 
 from hostloom.functions.text import content_hash, watch_text
-from hostloom.operators.keyed import fence, previous_row, top_per_group
+from hostloom.operators.keyed import fence, keep_first, previous_row, top_per_group
 
 # --- price and stock watches ----------------------------------------------------------------
 
@@ -108,33 +108,32 @@ def check_pages(watches: DataFrame, texts: DataFrame) -> DataFrame:
 # --- saved searches -------------------------------------------------------------------------
 
 
-def saved_search_news(saved: DataFrame, results: DataFrame, sites: DataFrame, k: int = 10) -> DataFrame:
+def saved_search_news(saved: DataFrame, seen: DataFrame, results: DataFrame, sites: DataFrame, k: int = 10) -> DataFrame:
     """Results of a saved search that are new to the index since its last check.
 
-    ``saved`` has (id, seen, checked_at), ``results`` (id, domain, rank). A first check
-    is silent; a site that merely moved up is not news.
+    ``saved`` has (id, checked_at), ``seen`` (id, domain), ``results`` (id, domain, rank).
+    A first check is silent; a site that merely moved up is not news.
     """
-    seen = saved.select("id", F.explode("seen").alias("domain"))
-    unseen = results.join(seen, ["id", "domain"], "left_anti")
+    unseen = results.join(seen.select("id", "domain"), ["id", "domain"], "left_anti")
     known = unseen.join(sites.select("domain", "first_seen_at"), "domain").join(saved.select("id", "checked_at"), "id")
     fresh = known.where(F.col("first_seen_at") >= F.col("checked_at") - F.make_dt_interval(days=F.lit(1)))
     return top_per_group(fresh.select("id", "domain", "rank"), ["id"], [F.col("rank"), F.col("domain")], k)
 
 
-def remember_seen(saved: DataFrame, results: DataFrame, keep: int = 400) -> DataFrame:
-    """Next ``seen`` lists: what was seen plus the new results, the newest entries kept.
+def remember_seen(seen: DataFrame, results: DataFrame, as_of: Column, keep: int = 400) -> DataFrame:
+    """The next memory of every search: what was seen plus the new results, the newest ``keep`` rows.
 
-    A search returns a bounded page of results, so its rows fit one array.
+    The memory is a table of (id, domain, seen_at, rank), one row per site that a search
+    has shown; a site keeps the time it was first shown. No list is ever collected: the
+    first sighting is a map-side combined aggregate and the cut is made per map task
+    before its shuffle, so a task reads at most ``keep`` rows of a search from each task
+    before it. Rows of one check are ordered by rank, then domain; a NULL rank is oldest.
     """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "domain"))), lambda r: r["domain"])
-    fresh = results.groupBy("id").agg(listed.alias("_new"))
-    joined = saved.join(fresh, "id", "left").select("id", F.array_distinct(F.concat("seen", F.coalesce("_new", F.array().cast("array<string>")))).alias("seen"))
-    return joined.withColumn("seen", newest(F.col("seen"), keep))
-
-
-def newest(values: Column, keep: int) -> Column:
-    """The last ``keep`` entries of an array that grows at its end."""
-    return F.slice(values, F.greatest(F.size(values) - (keep - 1), F.lit(1)), F.lit(keep))
+    new = results.select("id", "domain", as_of.alias("seen_at"), F.col("rank").cast("long").alias("rank"))
+    old = seen.select("id", "domain", "seen_at", F.col("rank").cast("long").alias("rank"))
+    first = keep_first(old.unionByName(new), ["id", "domain"], F.col("seen_at"), F.col("rank"))
+    newest = [F.desc("seen_at"), F.desc("rank"), F.desc("domain")]
+    return top_per_group(first, ["id"], newest, keep)
 
 
 # --- site watch -----------------------------------------------------------------------------
@@ -270,30 +269,30 @@ def hourly_alerts(problems: DataFrame, key: str = "key", at: str = "at") -> Data
 
 # --- retention ------------------------------------------------------------------------------
 
-#: Retention rules: (table, age column, days kept, extra condition, reason).
+#: Tables, columns, days and conditions of retention. Rows: (table, age column, days kept, extra condition, reason).
 RETENTION = [
-    ("checks", "created_at", 30, None, "endpoint checks: 30 days"),
-    ("site_diffs", "detected_at", 180, None, "change history: 180 days"),
-    ("item_prices", "observed_at", 365, None, "price history: 12 months"),
-    ("searches", "created_at", 365, None, "search log: 12 months"),
-    ("action_log", "created_at", 365, None, "action log: 12 months"),
-    ("crawl_queue", "done_at", 30, None, "finished crawl requests: 30 days"),
-    ("used_tokens", "used_at", 30, None, "used sign-in links: 30 days"),
-    ("search_cache", "expires_at", 0, None, "expired cached searches"),
-    ("query_reformulations", "updated_at", 180, None, "rewritten searches: 180 days"),
-    ("name_websites", "checked_at", 90, None, "name lookups: 90 days"),
-    ("search_misses", "checked_at", 60, None, "search misses: 60 days"),
-    ("site_scores", "week", 56, None, "weekly scores: 8 weeks"),
-    ("events", "start_date", 1, "end_date IS NULL", "past events: a day after they start"),
-    ("events", "end_date", 1, None, "past multi-day events: a day after they end"),
-    ("events", "start_date", -42, "description LIKE '%ibrary%'", "library events more than 6 weeks ahead"),
-    ("events", "start_date", -183, None, "events more than 6 months ahead"),
-    ("usage_counters", "window_start", 2, "key NOT LIKE 'tool_day%'", "usage counters: 2 days"),
-    ("usage_counters", "window_start", 35, "key LIKE 'tool_day%'", "tool use per day: 35 days"),
-    ("rate_limits", "window_start", 1, None, "rate-limit records: a day"),
-    ("blocked", "until", 1, None, "expired blocks"),
-    ("action_messages", "created_at", 365, None, "messages to businesses: 12 months"),
-    ("uptime_checks", "checked_at", 90, None, "uptime checks: 90 days"),
+    ("checks", "created_at", 30, None, "checks of endpoints, kept a month"),
+    ("site_diffs", "detected_at", 180, None, "differences between versions, kept half a year"),
+    ("item_prices", "observed_at", 365, None, "observed prices, kept a year"),
+    ("searches", "created_at", 365, None, "logged searches, kept a year"),
+    ("action_log", "created_at", 365, None, "logged actions, kept a year"),
+    ("crawl_queue", "done_at", 30, None, "crawl requests done a month ago"),
+    ("used_tokens", "used_at", 30, None, "tokens used a month ago"),
+    ("search_cache", "expires_at", 0, None, "cached answers past their time"),
+    ("query_reformulations", "updated_at", 180, None, "reformulated queries, kept half a year"),
+    ("name_websites", "checked_at", 90, None, "websites looked up by name, kept a quarter"),
+    ("search_misses", "checked_at", 60, None, "searches without a hit, kept two months"),
+    ("site_scores", "week", 56, None, "scores of more than eight weeks ago"),
+    ("events", "start_date", 1, "end_date IS NULL", "one-day events that began before yesterday"),
+    ("events", "end_date", 1, None, "longer events that ended before yesterday"),
+    ("events", "start_date", -42, "description LIKE '%ibrary%'", "library dates beyond six weeks"),
+    ("events", "start_date", -183, None, "dates beyond half a year"),
+    ("usage_counters", "window_start", 2, "key NOT LIKE 'tool_day%'", "short counters, kept two days"),
+    ("usage_counters", "window_start", 35, "key LIKE 'tool_day%'", "daily tool counters, kept five weeks"),
+    ("rate_limits", "window_start", 1, None, "windows of rate limits, kept a day"),
+    ("blocked", "until", 1, None, "blocks that have run out"),
+    ("action_messages", "created_at", 365, None, "sent messages, kept a year"),
+    ("uptime_checks", "checked_at", 90, None, "reachability checks, kept a quarter"),
 ]
 
 

@@ -368,25 +368,20 @@ def first_right_rank(cases: DataFrame, results: DataFrame, top: int = 10) -> Dat
     """Rank of the first right result of every case, NULL when none is right.
 
     Right means: the host is an expected domain or below it, or it ends in the
-    expected TLD and its category agrees or is unknown. Every host suffix becomes
-    a row, so the test is an equi-join instead of a comparison of all pairs.
+    expected TLD and its category agrees or is unknown. Results meet their case in one
+    equi-join, so ``results`` is computed once; both tests are then made inside the row.
     """
     from hostloom.functions.urls import host_suffixes, without_www
 
-    shown = results.where(F.col("rank") <= top).withColumn("_host", without_www(F.split("domain", "/")[0]))
-    expected = cases.select("q", F.explode("domains").alias("_d")).select("q", without_www(F.col("_d")).alias("_suffix")).distinct()
-    by_domain = (
-        shown.select("q", "rank", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"))
-        .join(expected, ["q", "_suffix"], "left_semi")
-        .select("q", "rank")
+    host = without_www(F.split("domain", "/")[0])
+    shown = results.where(F.col("rank") <= top).select("q", "rank", "category", host.alias("_host"))
+    expected = cases.select("q", F.transform("domains", without_www).alias("_domains"), "tld", F.col("category").alias("_want"))
+    by_domain = F.arrays_overlap(host_suffixes(F.col("_host")), F.col("_domains"))
+    by_tld = F.col("_host").endswith(F.col("tld")) & (
+        F.col("_want").isNull() | F.col("category").isNull() | (F.col("category") == F.col("_want"))
     )
-    by_tld = (
-        shown.join(cases.where(F.col("tld").isNotNull()).select("q", "tld", F.col("category").alias("_want")), "q")
-        .where(F.col("_host").endswith(F.col("tld")))
-        .where(F.col("_want").isNull() | F.col("category").isNull() | (F.col("category") == F.col("_want")))
-        .select("q", "rank")
-    )
-    best = by_domain.unionByName(by_tld).groupBy("q").agg(F.min("rank").alias("rank"))
+    right = F.coalesce(by_domain, F.lit(False)) | F.coalesce(by_tld, F.lit(False))
+    best = shown.join(expected, "q").where(right).groupBy("q").agg(F.min("rank").alias("rank"))
     return cases.join(best, "q", "left")
 
 

@@ -267,10 +267,15 @@ def _hits(spark, sf):
     return clicks.select(k.alias("id"), F.concat(F.lit("c"), F.col("user_id").cast("string"), F.lit(".example")).alias("domain"), F.col("user_id").alias("rank")).distinct()
 
 
+def _seen(spark, sf):
+    """Saved searches remember their results from sites with an even number, in order of names."""
+    earlier = as_of() - F.make_dt_interval(days=F.lit(20))
+    return _hits(spark, sf).where(F.col("rank") % 2 == 0).select("id", "domain", earlier.alias("seen_at"), F.lit(0).cast("long").alias("rank"))
+
+
 def _saved(spark, sf):
-    """Saved searches remember their results from sites with an even number."""
-    seen = _hits(spark, sf).where(F.col("rank") % 2 == 0).groupBy("id").agg(F.array_sort(F.collect_set("domain")).alias("seen"))
-    return seen.withColumn("checked_at", F.when(F.col("id") % 6 != 0, as_of() - F.make_dt_interval(days=F.lit(20))))
+    checked = F.when(F.col("id") % 6 != 0, as_of() - F.make_dt_interval(days=F.lit(20)))
+    return _seen(spark, sf).select("id").distinct().withColumn("checked_at", checked)
 
 
 @query(
@@ -280,7 +285,7 @@ def _saved(spark, sf):
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, domain) <= 10""",
 )
 def saved_search_news(spark, sf):
-    return C.saved_search_news(_saved(spark, sf), _hits(spark, sf), roles.sites(spark, sf))
+    return C.saved_search_news(_saved(spark, sf), _seen(spark, sf), _hits(spark, sf), roles.sites(spark, sf))
 
 
 @query(
@@ -291,8 +296,11 @@ def saved_search_news(spark, sf):
        SELECT id, array_to_string(l[greatest(len(l) - 9, 1):], ' ') AS seen FROM a""",
 )
 def saved_search_memory(spark, sf):
-    kept = C.remember_seen(_saved(spark, sf), _hits(spark, sf), keep=10)
-    return kept.select("id", F.array_join("seen", " ").alias("seen"))
+    seen = _seen(spark, sf)
+    results = _hits(spark, sf).join(seen.select("id"), "id", "left_semi")
+    kept = C.remember_seen(seen, results, as_of(), keep=10)
+    order = F.array_sort(F.collect_list(F.struct("seen_at", "rank", "domain")))  # ten rows a search at most
+    return kept.groupBy("id").agg(F.array_join(F.transform(order, lambda r: r["domain"]), " ").alias("seen"))
 
 
 @query(
@@ -392,9 +400,9 @@ shared("counters", _COUNTERS)
 
 @query(
     "retention_counts",
-    f"""SELECT 'usage_counters' AS "table", 'usage counters: 2 days' AS reason, count(*) FILTER (window_start < {_NOW} - INTERVAL 2 DAY AND key NOT LIKE 'tool_day%') AS rows FROM counters
-        UNION ALL SELECT 'usage_counters', 'tool use per day: 35 days', count(*) FILTER (window_start < {_NOW} - INTERVAL 35 DAY AND key LIKE 'tool_day%') FROM counters
-        UNION ALL SELECT 'crawl_queue', 'finished crawl requests: 30 days', count(*) FILTER (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1998-08-01' - INTERVAL 30 DAY) FROM orders""",
+    f"""SELECT 'usage_counters' AS "table", 'short counters, kept two days' AS reason, count(*) FILTER (window_start < {_NOW} - INTERVAL 2 DAY AND key NOT LIKE 'tool_day%') AS rows FROM counters
+        UNION ALL SELECT 'usage_counters', 'daily tool counters, kept five weeks', count(*) FILTER (window_start < {_NOW} - INTERVAL 35 DAY AND key LIKE 'tool_day%') FROM counters
+        UNION ALL SELECT 'crawl_queue', 'crawl requests done a month ago', count(*) FILTER (o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1998-08-01' - INTERVAL 30 DAY) FROM orders""",
 )
 def retention_counts(spark, sf):
     queue = table(spark, sf, "orders").select(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("done_at"))

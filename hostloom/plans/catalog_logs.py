@@ -515,7 +515,7 @@ def expansion_candidates(spark, sf):
 
 shared(
     "wanted_words",
-    """SELECT item_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(substring(text, 1, 40)), '[^a-z]+', ' ', 'g'), ' '),
+    """SELECT item_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '),
          lambda x: length(x) >= 4))) AS w FROM benchmark""",
 )
 shared(
@@ -527,7 +527,7 @@ shared(
 
 
 def _word_matches(spark, sf, k):
-    wanted = table(spark, sf, "benchmark").select("item_id", tokens(F.substring("text", 1, 40), 4).alias("words"))
+    wanted = table(spark, sf, "benchmark").select("item_id", tokens(F.col("text"), 4).alias("words"))
     docs = table(spark, sf, "documents").select(F.col("doc_id"), tokens(F.col("text"), 4).alias("words"), F.col("doc_id").alias("rank"))
     return all_words(wanted, "item_id", docs, "doc_id", k=k)
 
@@ -576,7 +576,7 @@ def retrieval_metrics(spark, sf):
 
 @query(
     "query_kinds",
-    r"""WITH q AS (SELECT conv_id, turn, substring(text, 1, 60) AS q, conv_id % 5 = 0 AS dom, conv_id % 7 = 0 AS loc FROM text_queries),
+    r"""WITH q AS (SELECT conv_id, turn, text AS q, conv_id % 5 = 0 AS dom, conv_id % 7 = 0 AS loc FROM text_queries),
         c AS (SELECT CASE WHEN dom THEN 'site' || conv_id || '.com' ELSE q END AS q, loc FROM q)
         SELECT kind, count(*) AS cases FROM (SELECT CASE WHEN regexp_matches(q, '(?i)^\S+\.[a-z]{2,}(/\S*)?$') THEN 'domain'
           WHEN loc THEN 'local' WHEN regexp_matches(q, '[^\x00-\x7f]') THEN 'foreign'
@@ -584,7 +584,7 @@ def retrieval_metrics(spark, sf):
 )
 def query_kinds(spark, sf):
     q = F.when(F.col("conv_id") % 5 == 0, F.concat(F.lit("site"), F.col("conv_id").cast("string"), F.lit(".com"))).otherwise(
-        F.substring("text", 1, 60)
+        F.col("text")
     )
     none = F.lit(None).cast("string")
     kind = logs.query_kind(q, F.array(F.lit("a.example")), F.when(F.col("conv_id") % 7 == 0, ".dk"), none, none)

@@ -246,7 +246,7 @@ def useful_paths(spark, sf):
     locations = maps.select("domain", "file_no", F.posexplode(P.sitemap_locations(F.col("body"))).alias("n", "url")).select(
         "domain", "url", (F.col("file_no") * 3 + F.col("n")).alias("pos")
     )
-    types = [("ring", 9, "ring"), ("parts", 7, "widget bolt"), ("colour", 5, "red blue")]
+    types = [("ring", 9, ["ring"]), ("parts", 7, ["widget", "bolt"]), ("colour", 5, ["red", "blue"])]
     return P.useful_paths(locations, types=types, per_site=4)
 
 
@@ -550,8 +550,8 @@ def short_descriptions(spark, sf):
 
 @query(
     "slugs",
-    """SELECT doc_id, regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(lower(substring(text, 1, 80)), 'ø', 'o'),
+    """SELECT doc_id, regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(lower(text), 'ø', 'o'),
          'æ', 'ae'), 'å', 'a'), 'ß', 'ss')), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""",
 )
 def slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.slug(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))

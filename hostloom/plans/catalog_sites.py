@@ -8,7 +8,7 @@ from hostloom.functions.text import content_hash
 from hostloom.functions.urls import bare_host, host_of
 from hostloom.operators import sites as S
 from hostloom.operators.pages import page_metadata
-from hostloom.operators.matching import closest_names, vocabulary
+from hostloom.operators.matching import closest_names, tokens, vocabulary
 from hostloom.plans import roles
 from hostloom.plans.catalog_pages import _squeeze
 from hostloom.plans.registry import query, shared
@@ -114,7 +114,7 @@ _BROAD = ("shop", "social")
            unnest([0, 0, 1, 1, 2, 2, 3, 3, 3, 4, 4]) AS ord,
            unnest(['nicht', 'quex', 'edth', 'para los', 'lely', 'pour', 'the', 'and', 'with', 'que', 'les']) AS word),
          d AS (SELECT doc_id, 'www.' || source || 'lely' || (doc_id % 7) || CASE doc_id % 23 WHEN 0 THEN '.gov' WHEN 1 THEN '.news' ELSE '.example' END AS domain,
-           lower(substring(text, 1, 30)) AS name, CASE WHEN doc_id % 31 = 5 THEN 'website at x' ELSE lower(text) END AS pages,
+           lower(CASE WHEN doc_id % 5 = 0 THEN text ELSE source END) AS name, CASE WHEN doc_id % 31 = 5 THEN 'website at x' ELSE lower(text) END AS pages,
            CASE WHEN doc_id % 17 = 3 THEN 'Dentist' END AS type FROM documents),
          s AS (SELECT doc_id, category, ord, sum(len(regexp_extract_all(pages, '(^|[^a-z])' || word || '([^a-z]|$)'))
              + 2 * len(regexp_extract_all(name, '(^|[^a-z])' || word || '([^a-z]|$)'))
@@ -136,7 +136,7 @@ def _categorised(spark, sf):
     records = table(spark, sf, "documents").select(
         "doc_id",
         F.concat(F.lit("www."), "source", F.lit("lely"), (doc % 7).cast("string"), ending).alias("domain"),
-        F.substring("text", 1, 30).alias("name"),
+        F.when(doc % 5 == 0, F.col("text")).otherwise(F.col("source")).alias("name"),
         F.when(doc % 31 == 5, "website at x").otherwise(F.col("text")).alias("page_text"),
         F.lit("").alias("action_text"),
         F.lit("").alias("action_ids"),
@@ -421,13 +421,13 @@ def search_vocabulary(spark, sf):
 
 @query(
     "closest_names",
-    """WITH n AS (SELECT DISTINCT lower(substring(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 9)) AS name FROM documents),
+    """WITH n AS (SELECT DISTINCT unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS name FROM documents),
          q AS (SELECT DISTINCT substring(name, 1, 4) || substring(name, 6) AS query FROM n WHERE length(name) = 9),
-         m AS (SELECT query, name, levenshtein(query, name) AS distance FROM q, n WHERE levenshtein(query, name) = 1)
+         m AS (SELECT query, name, levenshtein(query, name) AS distance FROM q, n WHERE length(name) BETWEEN 7 AND 9 AND levenshtein(query, name) = 1)
        SELECT query, arg_min(name, name) AS name, 1 AS distance FROM m GROUP BY query""",
 )
 def closest_name_queries(spark, sf):
-    names = table(spark, sf, "documents").select(F.lower(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 9)).alias("name")).distinct()
+    names = table(spark, sf, "documents").select(F.explode(tokens(F.col("text"))).alias("name")).distinct()
     typos = names.where(F.length("name") == 9).select(
         F.concat(F.substring("name", 1, 4), F.expr("substring(name, 6)")).alias("query")
     ).distinct()
