@@ -208,10 +208,14 @@ def _unescape(text: Column) -> Column:
     return collapse(F.regexp_replace(F.regexp_replace(text, r"(?i)\\n", " "), r"\\([,;\\])", "$1"))
 
 
-def _field(event: Column, name: str) -> tuple[Column, Column]:
+#: The lines of a calendar event that are read; one pass over the event finds them all.
+_EVENT_LINE = r"(?m)^(?:DTSTART|DTEND|SUMMARY|LOCATION|DESCRIPTION|URL|UID)(?:;[^:\r\n]*)?:[^\r\n]*"
+
+
+def _field(lines: Column, name: str) -> tuple[Column, Column]:
     """Parameters and value of the first line with that name."""
-    pattern = rf"(?m)^{name}((?:;[^:\r\n]*)?):([^\r\n]*)"
-    return F.regexp_extract(event, pattern, 1), first_group(event, pattern, 2)
+    line = F.try_element_at(F.filter(lines, lambda x: x.startswith(f"{name}:") | x.startswith(f"{name};")), F.lit(1))
+    return F.substring_index(line, ":", 1), F.substring(line, F.locate(":", line) + 1, F.length(line))
 
 
 def calendar_time(params: Column, value: Column, zone: Column) -> Column:
@@ -228,29 +232,39 @@ def calendar_time(params: Column, value: Column, zone: Column) -> Column:
 def calendar_events(feeds: DataFrame, as_of: Column, days: int = 120, limit: int = 100) -> DataFrame:
     """Upcoming events of calendar feeds: ``feeds`` has (feed_url, body).
 
-    Folded lines are joined, then every event block is one array element of its feed.
+    Folded lines are joined, then every event block is one array element of its feed. A
+    row of ``feeds`` gives its first ``limit`` upcoming events (0: all); only start and
+    name are read before that cut, which is made inside the row.
     """
 
     flat = F.regexp_replace("body", r"\r?\n[ \t]", "")
     blocks = all_matches(F.col("_flat"), r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT", 1)
-    staged = feeds.select("feed_url", flat.alias("_flat")).select(
-        "feed_url", F.trim(first_group(F.col("_flat"), r"(?m)^X-WR-TIMEZONE:([^\r\n]+)")).alias("_zone"), F.posexplode(blocks).alias("pos", "_e")
+    staged = settle(
+        settle(feeds, flat.alias("_flat"), keep=["feed_url"]),
+        F.trim(first_group(F.col("_flat"), r"(?m)^X-WR-TIMEZONE:([^\r\n]+)")).alias("_zone"),
+        F.transform(blocks, lambda e, i: F.struct(i.alias("pos"), all_matches(e, _EVENT_LINE).alias("lines"))).alias("_events"),
+        keep=["feed_url"],
     )
-    e = F.col("_e")
-    start, end = calendar_time(*_field(e, "DTSTART"), F.col("_zone")), calendar_time(*_field(e, "DTEND"), F.col("_zone"))
-    text = lambda name, n: F.substring(_unescape(_field(e, name)[1]), 1, n)
-    rows = settle(
-        staged, start.alias("start_date"), end.alias("end_date"), text("SUMMARY", 200).alias("name"),
-        text("LOCATION", 200).alias("venue"), text("DESCRIPTION", 400).alias("description"),
-        _field(e, "URL")[1].alias("_url"), _field(e, "UID")[1].alias("_uid"), keep=["feed_url", "pos"],
-    )
-    soon = (F.col("start_date") >= as_of - F.make_dt_interval(hours=F.lit(3))) & (
-        F.col("start_date") <= as_of + F.make_dt_interval(days=F.lit(days))
+    text = lambda e, name, n: F.substring(_unescape(_field(e["lines"], name)[1]), 1, n)
+    when = lambda e, name: calendar_time(*_field(e["lines"], name), F.col("_zone"))
+    begun = F.transform(
+        "_events", lambda e: F.struct(e.alias("e"), when(e, "DTSTART").alias("start"), text(e, "SUMMARY", 200).alias("name"))
     )
-    kept = rows.where(soon & (F.col("name") != "") & ~F.col("name").rlike("(?i)^(?:cancelled|canceled|aflyst)"))
-    anchor = F.replace(F.url_encode(F.coalesce("_uid", "name")), F.lit("+"), F.lit("%20"))
+    earliest, latest = as_of - F.make_dt_interval(hours=F.lit(3)), as_of + F.make_dt_interval(days=F.lit(days))
+    cancelled = "(?i)^(?:cancelled|canceled|aflyst)"
+    upcoming = F.filter(begun, lambda b: b["start"].between(earliest, latest) & (b["name"] != "") & ~b["name"].rlike(cancelled))
+    rows = staged.select("feed_url", "_zone", F.explode(F.slice(upcoming, 1, limit) if limit else upcoming).alias("_b"))
+    e = F.col("_b.e")
+    read = settle(
+        rows, _field(e["lines"], "URL")[1].alias("_url"), _field(e["lines"], "UID")[1].alias("_uid"), when(e, "DTEND").alias("end_date"),
+        text(e, "LOCATION", 200).alias("venue"), text(e, "DESCRIPTION", 400).alias("description"),
+    )
+    anchor = F.replace(F.url_encode(F.coalesce("_uid", F.col("_b.name"))), F.lit("+"), F.lit("%20"))
     url = F.when(F.col("_url").rlike("^https?://"), F.col("_url")).otherwise(F.concat("feed_url", F.lit("#"), anchor))
-    return top_per_group(kept.withColumn("url", url).drop("_url", "_uid"), ["feed_url"], [F.col("pos")], limit)
+    return read.select(
+        "feed_url", F.col("_b.e.pos").alias("pos"), F.col("_b.start").alias("start_date"), "end_date", F.col("_b.name").alias("name"),
+        "venue", "description", url.alias("url"),
+    )
 
 
 # --- places of a map ------------------------------------------------------------------------

@@ -421,35 +421,51 @@ EVENT_TYPES = r"(?:^|\s)(?:Event|\w+Event|Festival|CourseInstance)(?:\s|$)"
 
 
 def page_events(pages: DataFrame, as_of: Column, url_column: str = "url", limit: int = 50) -> DataFrame:
-    """Upcoming events of pages: from a day back to 400 days ahead, in page order."""
+    """Upcoming events of pages: from a day back to 400 days ahead, in page order.
+
+    A row of ``pages`` gives its first ``limit`` upcoming events (0: all). The start decides
+    which those are, so it is worked out inside the page's list; everything else is read
+    after the cut. Nothing is shuffled, and two snapshots of a page don't share the limit.
+    """
     keep = [c for c in pages.columns if c != "html"]
     nodes = json_nodes(F.col("html"))
     nested = lambda n: F.concat(*[_unfold_if(at(n, key)) for key in ("event", "events", "subEvent")])
     staged = settle(pages, nodes.alias("_nodes"), keep=keep)
     every = F.concat("_nodes", F.flatten(F.transform("_nodes", nested)))
     is_event = lambda n: types_of(n).rlike(EVENT_TYPES) & text_at(n, "name").isNotNull()
-    rows = staged.select(*keep, F.posexplode(F.filter(every, is_event)).alias("pos", "n"))
-    n = F.col("n")
-    staged = settle(rows, first_at(n, "location").alias("loc"), first_at(n, "offers").alias("offer"))
-    loc = F.col("loc")
-    country = F.coalesce(text_at(loc, "address.addressCountry.name"), text_at(loc, "address.addressCountry"))
-    zone = event_zone(country, text_at(loc, "address.addressRegion"), number_at(loc, "geo.longitude"), F.col(url_column))
-    zoned = settle(staged, zone.alias("_zone"))
+    country_of = lambda loc: F.coalesce(text_at(loc, "address.addressCountry.name"), text_at(loc, "address.addressCountry"))
+    earliest, latest = as_of - F.make_dt_interval(days=F.lit(1)), as_of + F.make_dt_interval(days=F.lit(400))
+
+    def started(n: Column, pos: Column) -> Column:
+        def timed(loc: Column) -> Column:
+            zone = event_zone(country_of(loc), text_at(loc, "address.addressRegion"), number_at(loc, "geo.longitude"), F.col(url_column))
+            begin = lambda z: F.struct(
+                pos.alias("pos"), n.alias("n"), loc.alias("loc"), z.alias("zone"), to_utc(scalar_at(n, "startDate"), z).alias("start")
+            )
+            return let(zone, begin)
+
+        return let(first_at(n, "location"), timed)
+
+    upcoming = F.filter(F.transform(F.filter(every, is_event), started), lambda e: e["start"].between(earliest, latest))
+    rows = staged.select(*keep, F.explode(F.slice(upcoming, 1, limit) if limit else upcoming).alias("_e"))
+    n, loc = F.col("_e.n"), F.col("_e.loc")
     timed = settle(
-        zoned,
-        to_utc(scalar_at(n, "startDate"), F.col("_zone")).alias("start_date"),
-        to_utc(scalar_at(n, "endDate"), F.col("_zone")).alias("_end"),
+        rows,
+        first_at(n, "offers").alias("offer"),
+        country_of(loc).alias("_country"),
+        F.col("_e.start").alias("start_date"),
+        to_utc(scalar_at(n, "endDate"), F.col("_e.zone")).alias("_end"),
     )
-    soon = (F.col("start_date") >= as_of - F.make_dt_interval(days=F.lit(1))) & (F.col("start_date") <= as_of + F.make_dt_interval(days=F.lit(400)))
+    country = F.col("_country")
     price = price_of(F.col("offer"))
     online = F.coalesce(text_at(n, "eventAttendanceMode").rlike("(?i)Online"), F.lit(False)) | F.coalesce(
         types_of(loc).contains("VirtualLocation"), F.lit(False)
     )
     lat, lon = number_at(loc, "geo.latitude"), number_at(loc, "geo.longitude")
     both = lat.isNotNull() & lon.isNotNull()
-    found = timed.where(soon).select(
+    return timed.select(
         *keep,
-        "pos",
+        F.col("_e.pos").alias("pos"),
         F.substring(strip_blank(decode_feed(text_at(n, "name"))), 1, 200).alias("name"),
         F.coalesce(resolve(text_at(n, "url"), F.col(url_column)), F.col(url_column)).alias("event_url"),
         "start_date",
@@ -464,7 +480,6 @@ def page_events(pages: DataFrame, as_of: Column, url_column: str = "url", limit:
         price["currency"].alias("currency"),
         online.alias("online"),
     )
-    return top_per_group(found, keep, [F.col("pos")], limit) if limit else found
 
 
 def _unfold_if(value: Column) -> Column:
