@@ -137,12 +137,28 @@ def _key(word: Column, at: Column, done: Column) -> Column:
 
 
 def packed(known: DataFrame) -> DataFrame:
-    """``key, doc_id, line_no, sketch, half``: a row for each word of the prefix.
+    """``key, doc_id, spot, sketch, half``: a row for each word of the prefix.
 
-    Most rows of the join are these, and one number is half of what four take.
+    Most rows of the join are these, and one number is half of what four take. ``spot`` holds
+    the word before this one in the prefix, in 32 bits, above the 31 bits of the line number;
+    it is negative for a first word.
     """
     each = known.select("*", F.posexplode("prefix").alias("at", "word"))
-    return each.select(_key(F.col("word"), F.col("at"), F.col("done")).alias("key"), "doc_id", "line_no", "sketch", "half")
+    before = F.when(F.col("at") > 0, F.shiftleft(F.get("prefix", F.col("at") - 1), 31)).otherwise(F.lit(-1 << 63))
+    spot = before.bitwiseOR(F.col("line_no").cast("bigint"))
+    return each.select(_key(F.col("word"), F.col("at"), F.col("done")).alias("key"), "doc_id", spot.alias("spot"), "sketch", "half")
+
+
+def _line(spot: Column) -> Column:
+    return spot.bitwiseAND(F.lit((1 << 31) - 1).cast("bigint")).cast("int")
+
+
+def _begins(a: Column, b: Column) -> Column:
+    """Not both words follow the same word: only there a pair is made, once per stretch of common words.
+
+    What holds at a word of a stretch holds at the words before it, since earlier places leave more overlap.
+    """
+    return (F.shiftrightunsigned(a.bitwiseXOR(b), 31) != 0) | (a < 0)
 
 
 def witnesses(known: DataFrame) -> DataFrame:
@@ -171,7 +187,8 @@ def _at(key: Column) -> Column:
 
 def _pairs(rows: DataFrame, late: str, early: str) -> DataFrame:
     """The pairs of places, later and earlier, of joined rows."""
-    return rows.select(*[F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((late, "late"), (early, "early")) for c, short in (("doc_id", "doc"), ("line_no", "line"))])
+    sides = ((late, "late"), (early, "early"))
+    return rows.select(*[F.col(f"{side}.{c}").alias(f"{name}_{short}") for side, name in sides for c, short in (("doc_id", "doc"), ("line_no", "line"))])
 
 
 def first_pairs(known: DataFrame) -> DataFrame:
@@ -200,8 +217,8 @@ def flagged(known: DataFrame, done: DataFrame) -> DataFrame:
 def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
     """All pairs that could be alike whose later place isn't among ``done``.
 
-    Pairs of lines up to LONG words meet in one join, those with a longer one in the other,
-    which holds the lines of more than NEAR words.
+    Pairs of which both lines have more than NEAR words meet in one join, where two bitmaps
+    tell them apart; all others, whose lines have up to LONG words, in the other.
     """
     # Written once: both joins read it on both sides, and each plan holds one look-up of what is done.
     rows = settled(flagged(known, done))
@@ -209,10 +226,15 @@ def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
     for long in (False, True):
         some = packed(rows.where(F.col("n") > NEAR if long else F.col("n") <= LONG))
         a, b = some.alias("a"), some.alias("b")
-        earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.line_no") < F.col("a.line_no")))
+        line, other = _line(F.col("a.spot")), _line(F.col("b.spot"))
+        earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (other < line))
         # The flag stands in a condition on both sides, so that they stay one shuffle of the same rows.
         open_ = F.col("a.key").bitwiseAND(F.lit(1).cast("bigint")) + F.col("b.key") * 0 < 1
-        both = _pairs(a.join(b, (_word(F.col("a.key")) == _word(F.col("b.key"))) & open_ & earlier & _could_be("a", "b", long)), "a", "b")
+        once = _begins(F.col("a.spot"), F.col("b.spot")) & _could_be("a", "b", long)
+        if not long:
+            once &= F.least(_n(F.col("a.key")), _n(F.col("b.key"))) <= NEAR
+        met = a.join(b, (_word(F.col("a.key")) == _word(F.col("b.key"))) & open_ & earlier & once)
+        both = met.select(F.col("a.doc_id").alias("late_doc"), line.alias("late_line"), F.col("b.doc_id").alias("early_doc"), other.alias("early_line"))
         found = both if found is None else found.unionByName(both)
     return settled(found.distinct())
 
