@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostloom.functions.times import known_zone, next_date, wall_time
-from hostloom.operators import structured
+from hostloom.operators import feeds, structured
 from hostloom.operators.feeds import calendar_time
 from hostloom.operators.queues import complete_requests
 from hostloom.plans.catalog import QUERIES
@@ -78,3 +78,19 @@ def test_json_ld_in_document_order(spark):
     pages = spark.createDataFrame([(json_ld(value) + json_ld({"name": "i"}) + '<script type="application/ld+json">{</script>',)], "html string")
     names = F.transform(structured.json_nodes(F.col("html")), lambda n: structured.text_at(n, "name"))
     assert pages.select(names.alias("n")).first().n == list("abcdefghi")
+
+
+def test_event_limits_count_per_row_and_shuffle_nothing(spark):
+    as_of = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    listed = [{"@type": "Event", "name": f"e{k}", "startDate": f"2024-0{1 + k % 3}-15T10:00:00Z" if k else "2020-01-01"} for k in range(9)]
+    pages = spark.createDataFrame([("https://a.example/", json_ld(listed))] * 2 + [("https://b.example/", None), ("https://b.example/", "")], "url string, html string")
+    events = structured.page_events(pages, as_of, limit=3)
+    assert sorted((r.pos, r["name"]) for r in events.collect()) == [(k, f"e{k}") for k in (1, 1, 2, 2, 3, 3)]
+    body = "".join(f"BEGIN:VEVENT\nSUMMARY:c{k}\nDTSTART;TZID=Europe/Paris:202401{10 + k}T100000\nURL:\nEND:VEVENT\n" for k in range(9))
+    calendars = spark.createDataFrame([("f", body), ("f", body.replace("\n", "\r\n")), ("f", None), ("g", "")], "feed_url string, body string")
+    dates = feeds.calendar_events(calendars, as_of, limit=2)
+    rows = dates.collect()
+    assert sorted((r.pos, r["name"], r.venue, r.url) for r in rows) == [(k, f"c{k}", None, f"f#c{k}") for k in (0, 0, 1, 1)]
+    for frame in (events, dates):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
