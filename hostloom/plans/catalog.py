@@ -2,6 +2,7 @@
 
 from hostloom.plans import (  # noqa: F401  (importing registers the queries)
     catalog_change,
+    catalog_documents,
     catalog_extract,
     catalog_jobs,
     catalog_logs,

@@ -22,6 +22,16 @@ def by_day(spark: SparkSession, path: str, start: str, end: str, day: str = "day
     return spark.read.parquet(path).where((F.col(day) >= F.lit(start).cast("date")) & (F.col(day) < F.lit(end).cast("date")))
 
 
+def recent_days(log: DataFrame, as_of: Column, days: int, day: str = "day") -> DataFrame:
+    """The last days of a day-partitioned log up to ``as_of``, in whole days; older and later partitions are not read.
+
+    ``as_of`` may be a constant or a scalar subquery over another table: both prune. An
+    operator's own condition on the time of day still decides at the edges.
+    """
+    first = F.to_date(as_of - F.make_dt_interval(days=F.lit(days)))
+    return log.where((F.col(day) >= first) & (F.col(day) <= F.to_date(as_of)))
+
+
 def ranked_list(spark: SparkSession, path: str) -> DataFrame:
     """``rank,domain`` text without a header."""
     return spark.read.schema("rank bigint, domain string").csv(path)
