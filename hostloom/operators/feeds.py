@@ -12,7 +12,7 @@ from hostloom.functions.patterns import all_matches, blank_to_null, collapse, fi
 from hostloom.functions.text import decode_feed, drop_tags
 from hostloom.functions.times import clock_24, known_zone, lookup, month_number, next_date, to_utc, wall_time
 from hostloom.functions.urls import host_of, path_of, resolve, same_site, trimmed_path, without_www
-from hostloom.operators.keyed import fence, keep_first, keep_last, settle, top_per_group
+from hostloom.operators.keyed import fence, join_hot_left, keep_first, keep_last, settle, top_per_group
 from hostloom.operators.pages import is_own_website
 from hostloom.operators.shops import labels_of
 from hostloom.operators.structured import at, list_at, scalar_at, text_at
@@ -566,7 +566,7 @@ def add_genres(events: DataFrame, earlier: DataFrame, entities: DataFrame) -> Da
     labels = keep_first(entities.select(F.lower("label").alias("_artist"), F.slice("genres", 1, 3).alias("_names")), ["_artist"], F.col("_names"))
     artist = artist_of(F.col("name"))
     usable = F.when(F.length(artist).between(2, 60), F.lower(artist))
-    joined = events.withColumn("_artist", usable).join(labels, "_artist", "left").join(known, "url", "left")
+    joined = join_hot_left(events.withColumn("_artist", usable), labels, "_artist", F.col("url")).join(known, "url", "left")
     families = labels_of(
         F.when(F.size("_names") > 0, F.array_join("_names", " ")).otherwise(F.concat_ws(" ", "name", "description")), GENRE_FAMILIES
     )
@@ -582,16 +582,29 @@ def add_genres(events: DataFrame, earlier: DataFrame, entities: DataFrame) -> Da
     return joined.withColumn("description", F.when(already | genre.isNull(), F.col("description")).otherwise(described)).select(*events.columns)
 
 
+def host_and_parents(host: Column, itself: bool = True) -> Column:
+    """A host's suffixes at its dots, with or without the host itself."""
+    labels = F.split(host, r"\.")
+    first = 1 if itself else 2
+    cuts = F.filter(F.sequence(F.lit(1), F.size(labels)), lambda i: i >= first)
+    return F.transform(cuts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
 def match_websites(names: DataFrame, entities: DataFrame) -> DataFrame:
     """Named places to entities: exact label, and the entity's website is the place's host.
 
-    Host agreement (equal or subdomain, either way round) is tested after the
-    equi-join on the lower-case label.
+    Hosts agree if they are equal or one lies below the other. Each way round is an equi-join on
+    (label, host): one side's host against the other's host and parents. A label that a third of
+    both sides bear ("Cafe") pairs nothing by itself. Repeated rows meet once: both sides are made
+    distinct by a map-side combined aggregate first.
     """
-    left = names.select("name", F.lower("name").alias("_label"), without_www(F.col("domain")).alias("domain"))
-    right = entities.select(F.lower("label").alias("_label"), "entity", without_www(host_of(F.col("website"))).alias("_host"))
-    same = (F.col("_host") == F.col("domain")) | F.col("_host").endswith(F.concat(F.lit("."), "domain")) | F.col("domain").endswith(F.concat(F.lit("."), "_host"))
-    return left.join(right, "_label").where(same).select("name", "domain", "entity")
+    left = names.select("name", F.lower("name").alias("_label"), "domain", without_www(F.col("domain")).alias("_host")).distinct()
+    right = entities.select(F.lower("label").alias("_label"), "entity", without_www(host_of(F.col("website"))).alias("_host")).distinct()
+    left, right = (side.where(F.col("_label").isNotNull() & F.col("_host").isNotNull()) for side in (left, right))
+    above = right.select("_label", "entity", F.explode(host_and_parents(F.col("_host"))).alias("_host"))
+    below = left.select("_label", "name", "domain", F.explode(host_and_parents(F.col("_host"), itself=False)).alias("_host"))
+    found = left.join(above, ["_label", "_host"]).unionByName(below.join(right, ["_label", "_host"]))
+    return found.select("name", without_www(F.col("domain")).alias("domain"), "entity").distinct()
 
 
 def library_kinds(text: Column) -> Column:

@@ -214,3 +214,26 @@ def join_to_unique(left: DataFrame, right: DataFrame, key: str, left_id: Column,
         "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(left_id), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     ).drop("_hot")
     return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def join_hot_left(left: DataFrame, unique: DataFrame, key: str, left_id: Column, salts: int = 64, share: int = 1_000) -> DataFrame:
+    """Left join to a table with one row per key, flat when one key holds a third of ``left``.
+
+    Rows per key are counted first (combined on the map side). A key with more than 1/``share``
+    of all rows is hot, so there are fewer than ``share`` of them, whatever the data: the hot
+    rows of ``unique`` are copied once per salt and each left row takes the salt of its own
+    hash. Rows whose key is NULL or has no partner among the hot ones never wait in one task:
+    NULL keys are spread like hot keys and stay unmatched.
+    """
+    if share > MAX_RULE_ROWS:
+        raise ValueError("the list of hot keys would be too long to broadcast")
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_rows"))
+    total = left.agg(F.count(F.lit(1)).alias("_all")).scalar()
+    hot = F.broadcast(counts.where(F.col("_rows") * share > total).select("_hot"))
+    salt = F.pmod(F.xxhash64(left_id), F.lit(salts)).cast("int")
+    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
+    salted = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.when(spread, salt).otherwise(F.lit(0))).drop("_hot")
+    copies = unique.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
+        "_salt", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("_hot")
+    return salted.join(copies, [key, "_salt"], "left").drop("_salt")

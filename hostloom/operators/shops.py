@@ -230,7 +230,7 @@ def wanted_products(urls: DataFrame, product_path: str, all_brands: bool = False
 
 def preferred_order(urls: DataFrame, prefer: str, run: str, k: int) -> DataFrame:
     """Preferred pages first, otherwise a repeatable shuffle; at most ``k`` per run."""
-    order = [F.desc(F.col("url").rlike(prefer)), F.xxhash64("url", F.lit(run)), F.col("url")]
+    order = [F.desc(F.col("url").rlike(prefer)), F.sha2(F.concat(F.lit(run), F.lit(" "), F.col("url")), 256), F.col("url")]
     return urls.select("url").distinct().orderBy(*order).limit(k)
 
 

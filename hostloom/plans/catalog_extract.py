@@ -356,7 +356,11 @@ def wanted_products(spark, sf):
     return shops.wanted_products(_product_urls(spark, sf), r"^https://x\.example/product/\d+/")
 
 
-@query("preferred_pages")
+@query(
+    "preferred_pages",
+    """SELECT url FROM (SELECT 'https://x.example/product/' || p_partkey || '/' || CASE p_partkey % 4 WHEN 0 THEN 'mens-nike-' ELSE 'asics-' END || replace(p_name, ' ', '-') AS url
+       FROM part WHERE p_partkey % 4 < 2) ORDER BY contains(url, 'nike') DESC, sha256('week-5 ' || url), url LIMIT 600""",
+)
 def preferred_pages(spark, sf):
     wanted = shops.wanted_products(_product_urls(spark, sf), r"^https://x\.example/product/\d+/")
     return shops.preferred_order(wanted, "nike", "week-5", 600)
@@ -724,11 +728,13 @@ def event_genres(spark, sf):
     events = table(spark, sf, "part").select(
         k.alias("item_id"),
         F.concat(F.lit("u"), k.cast("string")).alias("url"),
-        _pick(k, ["SOLD OUT: The Band with Guest", "Big Band Blues Night", "Chess", "the band – 40 years", "Reading", "Pop"]).alias("name"),
+        F.when(k % 6 == 0, F.concat(F.lit("SOLD OUT: "), "p_brand", F.lit(" with Guest"))).when(k % 6 == 3, F.concat(F.lower("p_brand"), F.lit(" – 40 years")))
+        .otherwise(_pick(k, ["", "Big Band Blues Night", "Chess", "", "Reading", "Pop"])).alias("name"),
         F.when(k % 6 == 5, "Old. Genre: pop.").when(k % 6 == 2, "Plain").when(k % 3 == 0, "Live. ").alias("description"),
     )
     earlier = events.where(k % 6 == 4).select("url", F.lit("x. Genre: old jazz. y").alias("description"))
-    entities = table(spark, sf, "region").select(F.lit("The Band").alias("label"), F.array(F.lit("doom metal"), F.lit("noise")).alias("genres"))
+    # The brands stand for artists, each of them named by many events.
+    entities = table(spark, sf, "part").select(F.col("p_brand").alias("label"), F.array(F.lit("doom metal"), F.lit("noise")).alias("genres"))
     return X.add_genres(events, earlier, entities).select("item_id", "description")
 
 
