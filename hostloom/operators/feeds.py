@@ -473,6 +473,84 @@ def json_events(rows: DataFrame, as_of: Column, zone: str = "UTC", venue: str |
     return keep_first(staged.where(upcoming), ["event_url", "start_date"], F.col("pos"))
 
 
+#: Fields that a reader may name. JSON readers give paths, card readers patterns whose first group counts.
+LISTING_FIELDS = ("link", "title", "start", "day", "month", "year", "clock", "venue", "city", "country", "price", "currency", "state")
+#: A reader is a row: which source, how its body is cut into items, where each field stands, what holds by default.
+#: ``wrapper`` is a pattern whose first group holds the JSON of a page; ``items`` is a path to
+#: an array (kind ``json``) or the pattern between two cards (kind ``cards``).
+READER = (
+    "source string, kind string, wrapper string, items string, fields map<string,array<string>>, "
+    "zone string, default_clock string, place struct<venue:string,city:string,country:string,currency:string>"
+)
+
+
+def read_listings(feeds: DataFrame, readers: DataFrame) -> DataFrame:
+    """Items of listings in any format, each read by the reader row of its source.
+
+    ``feeds`` has (source, url, body), ``readers`` the columns of :data:`READER`, one row per
+    source. A new source is a new row: paths and patterns are data, so one plan reads all
+    formats in one pass, without a branch or a Python call per source. Sources without a reader
+    and bodies that can't be read give no rows; an item's missing fields are NULL, and of a
+    field's alternatives the first that is there counts.
+    """
+    is_json = F.col("kind") == "json"
+    joined = feeds.select("source", "url", "body").join(readers, "source")
+    inner = F.when(F.col("wrapper").isNull(), F.col("body")).otherwise(F.call_function("regexp_extract", F.col("body"), F.col("wrapper"), F.lit(1)))
+    listed = F.transform(F.try_variant_get(F.try_parse_json(inner), F.col("items"), "array<variant>"), lambda v: F.to_json(v))
+    cards = F.split("body", F.col("items"))
+    pieces = F.when(is_json, listed).otherwise(F.slice(cards, F.lit(2), F.greatest(F.size(cards) - 1, F.lit(0))))
+    rows = joined.select("source", "url", "kind", "fields", "zone", "default_clock", "place", F.posexplode(pieces).alias("pos", "_piece"))
+    rows = settle(rows, F.when(is_json, F.try_parse_json("_piece")).alias("_item"))
+
+    def read(name: Column) -> Column:
+        ways = F.coalesce(F.col("fields")[name], F.array().cast("array<string>"))
+        by_path = F.transform(ways, lambda w: blank_to_null(F.try_variant_get("_item", w, "string")))
+        by_pattern = F.transform(ways, lambda w: blank_to_null(collapse(decode_feed(drop_tags(F.call_function("regexp_extract", F.col("_piece"), w, F.lit(1)))))))
+        return F.get(F.array_compact(F.when(is_json, by_path).otherwise(by_pattern)), F.lit(0))
+
+    # One expression for all fields: its text handling stands in the plan once, not once a field.
+    rows = settle(rows, F.transform(F.array(*[F.lit(name) for name in LISTING_FIELDS]), read).alias("_read"))
+    return rows.select(
+        "source", "url", "pos", "zone", "default_clock", "place", *[F.get("_read", F.lit(i)).alias(name) for i, name in enumerate(LISTING_FIELDS)]
+    )
+
+
+def listing_events(rows: DataFrame, as_of: Column) -> DataFrame:
+    """Typed upcoming events of :func:`read_listings`, once per address and start.
+
+    A start is epoch milliseconds, ISO text (``T`` or a blank before the time; local to the reader's zone without an offset) or a
+    day and month in words; without a year the next such date is meant. Items that are called
+    off, by their state or title, or have no link, title or date are left out.
+    """
+    zone = F.coalesce("zone", F.lit("UTC"))
+    epoch = F.when(F.col("start").rlike(r"^\d{11,}$"), F.timestamp_millis(F.col("start").try_cast("bigint")))
+    iso = F.regexp_replace("start", r"^(\d{4}-\d{2}-\d{2}) (\d)", "$1T$2")
+    stated = F.when(~F.col("start").rlike(r"^\d{11,}$"), to_utc(iso, zone))
+    spoken = F.replace(first_group(F.col("clock"), r"(\d{1,2}[:.]\d{2})"), F.lit("."), F.lit(":"))
+    clock = F.coalesce(clock_24(F.col("clock")), spoken, "default_clock", F.lit("20:00"))
+    month, day = month_number(F.col("month")), F.col("day").try_cast("int")
+    in_words = F.when(
+        F.col("month").isNotNull(),
+        F.when(F.col("year").isNotNull(), wall_time(F.col("year").try_cast("int"), month, day, clock, zone)).otherwise(next_date(month, day, clock, zone, as_of)),
+    )
+    price = first_group(F.col("price"), r"(\d+(?:\.\d+)?)").try_cast("double")
+    off = F.coalesce(F.col("state").rlike("(?i)cancel|postpone|aflyst|occurred"), F.lit(False)) | is_cancelled(F.col("title"))
+    staged = settle(
+        fence(rows.where(F.col("link").isNotNull() & F.col("title").isNotNull() & ~off)),
+        resolve(F.col("link"), F.col("url")).alias("event_url"),
+        clean_listing_title(collapse(decode_feed(drop_tags(F.col("title"))))).alias("name"),
+        F.coalesce(epoch, stated, in_words).alias("start_date"),
+        F.coalesce(decode_feed(F.col("venue")), F.col("place.venue")).alias("venue"),
+        F.coalesce("city", F.col("place.city")).alias("city"),
+        F.coalesce("country", F.col("place.country")).alias("country"),
+        F.when(price > 0, price).alias("price"),
+        F.when(price > 0, F.coalesce("currency", F.col("place.currency"))).alias("currency"),
+        keep=["source", "pos"],
+    )
+    upcoming = F.col("start_date") > as_of - F.make_dt_interval(hours=F.lit(6))
+    return keep_first(staged.where(upcoming), ["event_url", "start_date"], F.col("source"), F.col("pos"))
+
+
 def with_default_place(events: DataFrame, city: str, country: str, low_postcodes: dict[str, int] | None = None) -> DataFrame:
     """Fill missing city, country and venue of generic listings.
 

@@ -13,6 +13,7 @@ from hostloom.functions import hours as H
 from hostloom.operators import feeds as X
 from hostloom.operators import shops
 from hostloom.operators import structured as J
+from hostloom.operators.keyed import rule_table
 from hostloom.plans.registry import query, shared
 from hostloom.plans.roles import AS_OF, as_of, table
 
@@ -702,6 +703,56 @@ def listing_json(spark, sf):
     return events.select("event_url", "name", F.date_format("start_date", "yyyy-MM-dd HH:mm").alias("starts"), "venue", "price")
 
 
+#: Four formats of public listings as reader rows: two calendars' JSON, JSON inside a page, cards of a page.
+_READERS = [
+    ("library", "json", None, "$.results", {"link": ["$.url"], "title": ["$.title"], "start": ["$.startdt"], "venue": ["$.campus", "$.location"], "price": ["$.registration_cost"]},
+     "America/New_York", None, ("The Library", "Boston", "US", "USD")),
+    ("plugin", "json", None, "$.events", {"link": ["$.url"], "title": ["$.title"], "start": ["$.utc_start_date"], "venue": ["$.venue.venue"], "city": ["$.venue.city"], "price": ["$.cost"]},
+     "UTC", None, ("Plugin Hall", "Austin", "US", "USD")),
+    ("page", "json", r'(?s)<script id="__STATE__"[^>]*>(.*?)</script>', "$.data.items", {"link": ["$.attributes.url"], "title": ["$.attributes.name"], "start": ["$.attributes.startTime", "$.attributes.startDate"], "state": ["$.attributes.status"]},
+     "UTC", None, ("Canal House", "Amsterdam", "NL", "EUR")),
+    ("cards", "cards", None, '<li class="card">', {"link": ['href="([^"]*)"'], "title": ["(?s)<h3>(.*?)</h3>"], "day": [r"<time>(\d+)\."], "month": [r"<time>\d+\. (\w+)"], "year": [r"<time>\d+\. \w+ (\d{4})"], "price": ["<b>([^<]*)</b>"]},
+     "Europe/Copenhagen", "19:30", ("Kulturhus", "Aarhus", "DK", "DKK")),
+]
+
+
+@query(
+    "listings_by_reader",
+    f"""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 AS f, {_NOW} + to_days(CAST(o_orderkey % 30 AS INTEGER)) AS day FROM orders)
+        SELECT ['library', 'plugin', 'page', 'cards'][f + 1] AS source, 'https://' || ['library', 'plugin', 'page', 'cards'][f + 1] || '.example/e/' || k AS event_url,
+          CASE WHEN f = 3 THEN 'Night & ' || k ELSE 'Night ' || k END AS name,
+          strftime(day + CASE f WHEN 0 THEN INTERVAL '23 hours' WHEN 1 THEN INTERVAL '18 hours' WHEN 2 THEN CASE WHEN k % 3 = 0 THEN INTERVAL '12 hours' ELSE INTERVAL '20 hours' END ELSE INTERVAL '18 hours 30 minutes' END, '%Y-%m-%d %H:%M') AS starts,
+          CASE f WHEN 0 THEN CASE WHEN k % 3 = 0 THEN 'East' WHEN k % 3 = 1 THEN 'Room 1' ELSE 'The Library' END WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'Barn' ELSE 'Plugin Hall' END WHEN 2 THEN 'Canal House' ELSE 'Kulturhus' END AS venue,
+          CASE f WHEN 0 THEN 'Boston' WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'Waco' ELSE 'Austin' END WHEN 2 THEN 'Amsterdam' ELSE 'Aarhus' END AS city,
+          CASE WHEN f <> 2 AND k % 50 > 0 THEN (k % 50)::DOUBLE END AS price, CASE WHEN f <> 2 AND k % 50 > 0 THEN CASE WHEN f = 3 THEN 'DKK' ELSE 'USD' END END AS currency
+        FROM o WHERE k % 7 <> 0""",
+)
+def listings_by_reader(spark, sf):
+    k = F.col("o_orderkey")
+    at, key = as_of() + F.make_dt_interval(days=(k % 30).cast("int")), k.cast("string")
+    link, night, price = F.concat(F.lit("/e/"), key), F.concat(F.lit("Night "), key), F.concat(F.lit("$"), (k % 50).cast("string"), F.lit(".00"))
+    third, off = k % 3, k % 7 == 0
+    called = F.when(off, F.concat(F.lit("Cancelled: "), night)).otherwise(night)
+    library = F.struct(F.struct(link.alias("url"), called.alias("title"), F.date_format(at, "yyyy-MM-dd 18:00:00").alias("startdt"), F.when(third == 0, "East").alias("campus"),
+                                F.when(third < 2, "Room 1").alias("location"), price.alias("registration_cost")).alias("i"))
+    plugin = F.struct(F.struct(link.alias("url"), called.alias("title"), F.date_format(at, "yyyy-MM-dd 18:00:00").alias("utc_start_date"), price.alias("cost"),
+                               F.when(third == 0, F.struct(F.lit("Barn").alias("venue"), F.lit("Waco").alias("city"))).alias("venue")).alias("i"))
+    page = F.struct(F.struct(link.alias("url"), F.concat(F.lit("<i>Night</i> "), key).alias("name"), F.when(third == 0, F.date_format(at, "yyyy-MM-dd'T'12:00:00'Z'")).alias("startTime"),
+                             F.date_format(at, "yyyy-MM-dd'T'20:00:00'Z'").alias("startDate"), F.when(off, "cancelled").alias("status")).alias("attributes"))
+    one = lambda item: F.to_json(F.array(item))
+    state = F.concat(F.lit('<html><script id="__STATE__" type="x">{"data":{"items":'), one(page), F.lit("}}</script></html>"))
+    card = F.concat(F.lit('<ul><li class="card"><a href="'), link, F.lit('"><h3>'), F.when(off, "Aflyst: ").otherwise(""), F.lit("<b></b>Night &amp; "), key, F.lit("</h3></a><time>"),
+                    F.date_format(at, "d. MMMM yyyy"), F.lit("</time><b>"), F.concat((k % 50).cast("string"), F.lit(" kr</b></ul>")))
+    body = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"results":'), one(library["i"]), F.lit("}"))).when(k % 4 == 1, F.concat(F.lit('{"events":'), one(plugin["i"]), F.lit("}")))
+        .when(k % 4 == 2, state).otherwise(F.replace(card, F.lit("<b></b>"), F.lit("")))
+    )
+    source = _pick(k, ["library", "plugin", "page", "cards"])
+    feeds = table(spark, sf, "orders").select(source.alias("source"), F.concat(F.lit("https://"), source, F.lit(".example/list")).alias("url"), body.alias("body"))
+    events = X.listing_events(X.read_listings(feeds, rule_table(spark, _READERS, X.READER)), as_of())
+    return events.select("source", "event_url", "name", F.date_format("start_date", "yyyy-MM-dd HH:mm").alias("starts"), "venue", "city", "price", "currency")
+
+
 @query(
     "generic_listings",
     f"""SELECT 'https://venue.example/e/' || o_orderkey AS event_url, CASE WHEN o_orderkey % 60 < 28 THEN 'Copenhagen' WHEN o_orderkey % 2 = 0 THEN 'Oslo' ELSE 'Boston' END AS city,
