@@ -150,6 +150,7 @@ def bot_block_audit(robots: DataFrame, bots: Sequence[str] = AI_BOTS) -> DataFra
 
 # --- site guides (markdown files that list a site's pages) -----------------------------------
 
+#: Fixed value: a guide's list entry: title, address and note.
 GUIDE_LINK = r"(?m)^\s*[-*]\s*\[([^\]]{1,120})\]\((\S+?)\)\s*(?::\s*(.+))?$"
 
 

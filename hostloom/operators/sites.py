@@ -156,6 +156,7 @@ BARE_SUFFIX_CATEGORIES = [
     (r"\.(?:bank|insurance)$", "finance"), (r"\.news$", "news_media"), (r"\.(?:museum|art)$", "museum_culture"),
     (r"\.(?:games|game)$", "games"),
 ]
+#: Fixed value: words of a clothes shop.
 FASHION_HINT = "cloth|fashion|shoe|sneaker|wear|apparel|jewel"
 
 
