@@ -48,25 +48,26 @@ def unpack(n: int, control: bytes, data: bytes) -> np.ndarray:
 
 
 @lru_cache(2)
-def _vocabulary(path: str) -> Vocabulary:
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(2)
+def _vocabulary(path: str) -> Vocabulary:
+    tokenizer = _tokenizer(path)
     return Vocabulary(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
 @lru_cache(2)
 def special_tokens(path: str) -> tuple[str, ...]:
     """Strings that the tokenizer cuts out of a text before it splits the rest."""
-    from tokenizers import Tokenizer
-
-    return tuple(t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values())
+    return tuple(t.content for t in _tokenizer(path).get_added_tokens_decoder().values())
 
 
 def document_ids(path: str, texts: pa.Array, end: int):
     """The ids of every text with the end id, in order."""
-    from tokenizers import Tokenizer
-
     vocabulary, special = _vocabulary(path), [s.encode() for s in special_tokens(path)]
     for block in blocks(texts):
         ids, bounds = vocabulary.block_ids(block)
@@ -74,7 +75,7 @@ def document_ids(path: str, texts: pa.Array, end: int):
         for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
             found = ids[a:b]
             if odd and any(s in (plain := block.data[block.offsets[k] : block.offsets[k + 1]].tobytes()) for s in special):
-                found = np.array(Tokenizer.from_file(path).encode(plain.decode(), add_special_tokens=False).ids, np.uint32)
+                found = np.array(_tokenizer(path).encode(plain.decode(), add_special_tokens=False).ids, np.uint32)
             yield np.append(found, np.uint32(end))
 
 
