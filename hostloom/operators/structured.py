@@ -47,10 +47,15 @@ def number_at(node: Column, path: str) -> Column:
     return scalar_at(node, path).try_cast("double")
 
 
+def is_object(node: Column) -> Column:
+    """The value is an object; looks at its own fields only, where a schema would read all below it."""
+    return F.try_variant_get(node, "$", "struct<>").isNotNull()
+
+
 def list_at(node: Column, path: str) -> Column:
     """Array at a path; a single value counts as an array of one."""
     value = at(node, path)
-    missing = value.isNull() | (F.schema_of_variant(value) == "VOID")
+    missing = value.isNull() | F.is_variant_null(value)
     return F.coalesce(at(node, path, "array<variant>"), F.when(~missing, F.array(value)), F.expr(_NOTHING))
 
 
@@ -163,7 +168,7 @@ def collect_offers(roots: DataFrame, column: str, depth: int = 6, limit: int = 4
     df = roots.select(*keep, start.cast(_FRONT).alias("_f"), none_yet.alias("_done"))
     for _ in range(depth):
         known = F.transform(
-            F.filter(_open_lists(F.col("_f")), lambda f: F.schema_of_variant(f["node"]).startswith("OBJECT")),
+            F.filter(_open_lists(F.col("_f")), lambda f: is_object(f["node"])),
             lambda f: F.struct(
                 f["path"].alias("path"), f["node"].alias("node"), f["category"].alias("category"),
                 types_of(f["node"]).alias("types"), text_at(f["node"], "name").alias("name"),
@@ -232,13 +237,14 @@ BUSINESS_TYPES = (
 
 def business_node(nodes: Column) -> Column:
     """The node that describes the business: a specific one with address or hours first."""
-    fits = lambda n: types_of(n).rlike(BUSINESS_TYPES)
-    specific = lambda n: (
-        fits(n)
-        & ~types_of(n).rlike("(?i)^Organization$")
-        & (at(n, "address").isNotNull() | at(n, "openingHoursSpecification").isNotNull() | at(n, "openingHours").isNotNull())
-    )
-    return F.coalesce(F.try_element_at(F.filter(nodes, specific), F.lit(1)), F.try_element_at(F.filter(nodes, fits), F.lit(1)))
+    typed = F.transform(nodes, lambda n: F.struct(n.alias("node"), types_of(n).alias("types")))
+    placed = lambda n: at(n, "address").isNotNull() | at(n, "openingHoursSpecification").isNotNull() | at(n, "openingHours").isNotNull()
+    specific = lambda e: ~e["types"].rlike("(?i)^Organization$") & placed(e["node"])
+
+    def chosen(fit: Column) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(fit, specific), F.lit(1)), F.try_element_at(fit, F.lit(1)))["node"]
+
+    return let(F.filter(typed, lambda e: e["types"].rlike(BUSINESS_TYPES)), chosen)
 
 
 def _address(node: Column) -> Column:

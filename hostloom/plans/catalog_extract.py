@@ -15,7 +15,7 @@ from hostloom.operators import shops
 from hostloom.operators import structured as J
 from hostloom.operators.keyed import rule_table
 from hostloom.plans.registry import query, shared
-from hostloom.plans.roles import AS_OF, as_of, table
+from hostloom.plans.roles import AS_OF, as_of, spread, table
 
 _NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -63,7 +63,7 @@ def _business_pages(spark, sf):
         .otherwise(F.concat(_script(F.lit("{broken")), _script(F.to_json(plain))))
     )
     return (
-        table(spark, sf, "customer")
+        spread(spark, sf, "customer")
         .join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(k.alias("site_id"), F.concat(F.lit("<html><head>"), html, F.lit("</head><body>x</body></html>")).alias("html"))
     )
@@ -127,7 +127,7 @@ def page_ratings(spark, sf):
         .when(k % 4 == 2, "<p>Trustpilot says <b>3,2</b> out of 5 for us</p>")
         .otherwise("<p>Version 4.8 is out</p>")
     )
-    rated = table(spark, sf, "customer").select(k.alias("site_id"), J.page_rating(html).alias("r")).where(F.col("r").isNotNull())
+    rated = spread(spark, sf, "customer").select(k.alias("site_id"), J.page_rating(html).alias("r")).where(F.col("r").isNotNull())
     return rated.select("site_id", "r.value", "r.count", "r.source")
 
 
@@ -150,7 +150,7 @@ def closure_notices(spark, sf):
         .otherwise("We reopened after we were temporarily closed in 2019."),
         F.lit(" </p><p>Bye then.</p>"),
     )
-    found = table(spark, sf, "customer").select(k.alias("site_id"), J.closure_notice(html, as_of()).alias("n")).where(F.col("n").isNotNull())
+    found = spread(spark, sf, "customer").select(k.alias("site_id"), J.closure_notice(html, as_of()).alias("n")).where(F.col("n").isNotNull())
     return found.select("site_id", F.col("n.text").alias("notice"), "n.closed")
 
 
@@ -174,7 +174,7 @@ def _event_pages(spark, sf):
     )
     holder = F.struct(F.lit("Organization").alias("@type"), F.array(event).alias("event"))
     html = F.when(k % 2 == 0, _script(F.to_json(event))).otherwise(_script(F.to_json(holder)))
-    return table(spark, sf, "orders").select(F.concat(F.lit("https://venue.example/p/"), key).alias("url"), html.alias("html"))
+    return spread(spark, sf, "orders").select(F.concat(F.lit("https://venue.example/p/"), key).alias("url"), html.alias("html"))
 
 
 _EVENT_START = f"""CAST(CAST({_NOW} AS DATE) + CAST(o_orderkey % 30 - 3 AS INTEGER) AS TIMESTAMP) + CASE o_orderkey % 3 WHEN 0 THEN
@@ -229,7 +229,7 @@ def _product_pages(spark, sf):
         .when(k % 3 == 1, F.concat(_script(F.lit("[]")), _script(F.to_json(F.struct(F.array(group).alias("@graph"))))))
         .otherwise(F.concat(_script(F.lit("nope")), _script(F.to_json(F.array(product)))))
     )
-    return table(spark, sf, "part").select(k.alias("item_id"), html.alias("html"))
+    return spread(spark, sf, "part").select(k.alias("item_id"), html.alias("html"))
 
 
 @query(
@@ -271,7 +271,7 @@ def jsonld_offers(spark, sf):
         (k % 90 + 1).alias("price"), F.lit("EUR").alias("priceCurrency"),
     )
     business = F.struct(F.lit("HairSalon").alias("@type"), F.lit("Here").alias("address"), F.array(offer).alias("makesOffer"), menu.alias("hasMenu"))
-    pages = table(spark, sf, "part").select(k.alias("item_id"), _script(F.to_json(business)).alias("html"))
+    pages = spread(spark, sf, "part").select(k.alias("item_id"), _script(F.to_json(business)).alias("html"))
     return J.page_offers(pages)
 
 
@@ -294,7 +294,7 @@ def _shop_feeds(spark, sf):
         F.array(F.struct(F.lit("Color").alias("name"), F.array(F.struct(F.lit("Blue").alias("name"))).alias("terms"))).alias("attributes"),
     )
     body = F.when(k % 2 == 0, F.to_json(F.struct(F.array(first).alias("products")))).otherwise(F.to_json(F.array(second)))
-    return table(spark, sf, "part").select(_site("s", k).alias("domain"), F.lit("EUR").alias("currency"), body.alias("body"))
+    return spread(spark, sf, "part").select(_site("s", k).alias("domain"), F.lit("EUR").alias("currency"), body.alias("body"))
 
 
 @query(
@@ -326,7 +326,7 @@ def shipping_countries(spark, sf):
     k = F.col("c_custkey")
     policy = _pick(k, ["<p>Wir liefern nach Frankreich und Deutschland.</p>", "<p>We ship Worldwide, also to Spain</p>",
                        "<p>UK, Danmark and U.S. orders</p>".replace("U.S. ", "the USA "), "<script>spain</script><p>Ask us</p>"])
-    return table(spark, sf, "customer").select(k.alias("site_id"), F.array_join(shops.ships_to(policy), " ").alias("ships_to"))
+    return spread(spark, sf, "customer").select(k.alias("site_id"), F.array_join(shops.ships_to(policy), " ").alias("ships_to"))
 
 
 @query(
@@ -493,7 +493,7 @@ def _calendars(spark, sf):
         F.when(k % 3 == 0, F.concat(F.lit("\r\nURL:https://cal.example/"), key)).otherwise(""),
         F.lit("\r\nLOCATION:Room\\n"), key, F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"),
     )
-    return table(spark, sf, "orders").select(F.concat(F.lit("https://cal.example/f"), key, F.lit(".ics")).alias("feed_url"), body.alias("body"))
+    return spread(spark, sf, "orders").select(F.concat(F.lit("https://cal.example/f"), key, F.lit(".ics")).alias("feed_url"), body.alias("body"))
 
 
 _CAL = f"""CAST(CAST({_NOW} AS DATE) + CAST(o_orderkey % 160 - 10 AS INTEGER) AS TIMESTAMP) + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL 19 HOUR
@@ -622,7 +622,7 @@ def hours_parse(spark, sf):
     k = F.col("c_custkey")
     plain = _pick(k, ["Mo-Fr 09:00-17:00, Sa 10:00-14:00", "Sa - Mo 8:30 - 12:00", "Mo,We 10:00-14:00"])
     mapped = _pick(k, ["24/7", "Mo-Fr 09:00-17:30; Mo 10:00-12:00; PH off", "08:00-12:00, 13:00-18:00; Su off", "by appointment"])
-    return table(spark, sf, "customer").select(
+    return spread(spark, sf, "customer").select(
         k.alias("site_id"), H.hours_line(H.parse_hours(plain)).alias("plain"), H.hours_line(H.parse_map_hours(mapped)).alias("map")
     )
 
@@ -642,7 +642,7 @@ def open_now(spark, sf):
         F.lit(None).cast("string").alias("opens"), F.lit(None).cast("string").alias("closes"))))
     at = as_of() + F.make_dt_interval(hours=(k % 24).cast("int"))
     country = _pick(k, ["Denmark", "us", "JP", "Atlantis"])
-    return table(spark, sf, "customer").select(k.alias("site_id"), H.is_open(hours, special, country, at).alias("open"))
+    return spread(spark, sf, "customer").select(k.alias("site_id"), H.is_open(hours, special, country, at).alias("open"))
 
 
 # --- listings and genres --------------------------------------------------------------------
@@ -657,7 +657,7 @@ def _listing_pages(spark, sf):
         F.lit('</i><i class="t">7:30 PM</i><b class="p">kr. '), (k % 300).cast("string"), F.lit("</b></div>"),
     )
     html = F.concat(F.lit("<html><h1>Shows</h1>"), card(1, "SOLD OUT | "), card(2, "Cancelled: "), F.lit("</html>"))
-    return table(spark, sf, "part").select(F.concat(F.lit("https://hall.example/list/"), key).alias("url"), html.alias("html"))
+    return spread(spark, sf, "part").select(F.concat(F.lit("https://hall.example/list/"), key).alias("url"), html.alias("html"))
 
 
 @query(
@@ -697,7 +697,7 @@ def listing_json(spark, sf):
         F.concat(F.lit("$"), (k % 50).cast("string"), F.lit(".00")).alias("low"),
         F.when(k % 7 == 0, "Cancelled").otherwise("open").alias("status"),
     )
-    feeds = table(spark, sf, "orders").select(F.lit("https://api.example/feed").alias("url"), F.to_json(F.struct(F.array(item).alias("events"))).alias("body"))
+    feeds = spread(spark, sf, "orders").select(F.lit("https://api.example/feed").alias("url"), F.to_json(F.struct(F.array(item).alias("events"))).alias("body"))
     fields = {"link": "slug", "title": "title.text|title", "start": "when", "venue": "hall.name|place", "price": "low", "state": "status"}
     events = X.json_events(X.listing_json(feeds, "api", "events", fields), as_of(), zone="America/New_York", venue="Default", currency="USD")
     return events.select("event_url", "name", F.date_format("start_date", "yyyy-MM-dd HH:mm").alias("starts"), "venue", "price")
@@ -748,7 +748,7 @@ def listings_by_reader(spark, sf):
         .when(k % 4 == 2, state).otherwise(F.replace(card, F.lit("<b></b>"), F.lit("")))
     )
     source = _pick(k, ["library", "plugin", "page", "cards"])
-    feeds = table(spark, sf, "orders").select(source.alias("source"), F.concat(F.lit("https://"), source, F.lit(".example/list")).alias("url"), body.alias("body"))
+    feeds = spread(spark, sf, "orders").select(source.alias("source"), F.concat(F.lit("https://"), source, F.lit(".example/list")).alias("url"), body.alias("body"))
     events = X.listing_events(X.read_listings(feeds, rule_table(spark, _READERS, X.READER)), as_of())
     return events.select("source", "event_url", "name", F.date_format("start_date", "yyyy-MM-dd HH:mm").alias("starts"), "venue", "city", "price", "currency")
 

@@ -10,7 +10,7 @@ from hostloom.operators import pages as P
 from hostloom.operators.keyed import settle
 from hostloom.plans import roles
 from hostloom.plans.registry import query, shared
-from hostloom.plans.roles import table
+from hostloom.plans.roles import spread, table
 
 # SQL pieces (RE2): the same white-space class, no look-around.
 _B = r"\s\x{000b}\x{00a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -171,7 +171,7 @@ def _provider_pages(spark, sf):
     a = pick(["calendly.com/c", "www.opentable.co.uk/r", "wolt.com/en/v", "cal.com/", "m.facebook.com/c"], 5)
     b = pick(["book.resy.com/x", "deliveroo.fr/menu", "calendly.com/c"], 3)
     key = k.cast("string")
-    return table(spark, sf, "customer").select(
+    return spread(spark, sf, "customer").select(
         F.concat(F.lit("c"), key, F.lit(".example")).alias("domain"),
         F.concat(
             F.lit('<body><a href="https://'), a, F.when(a.endswith("/"), "").otherwise(key), F.lit('">Go</a> <iframe src="https://'),
@@ -214,7 +214,7 @@ def _sitemaps(spark, sf):
     host = F.concat(F.lit("s"), (key % 50).cast("string"), F.lit(".example"))
     word = F.regexp_replace("p_name", " ", "-")
     entry = lambda path: F.concat(F.lit("<url><loc>https://www."), host, path, F.lit("</loc></url>"))
-    return table(spark, sf, "part").select(
+    return spread(spark, sf, "part").select(
         host.alias("domain"),
         key.alias("file_no"),
         F.concat(
@@ -501,7 +501,7 @@ def subpage_titles(spark, sf):
 def manifest_pointers(spark, sf):
     k = F.col("c_custkey")
     domain = F.concat(F.lit("c"), k.cast("string"), F.lit(".example"))
-    docs = table(spark, sf, "customer").select(
+    docs = spread(spark, sf, "customer").select(
         domain.alias("domain"),
         F.when(k % 4 == 0, '<https://a.example/>; rel="preload", </h.json>; rel="manifest-x"').alias("link_header"),
         F.when(k % 4 <= 1, '<head><link rel="icon" href="i.png"><link rel="manifest-x" href="site.json"></head><body>')

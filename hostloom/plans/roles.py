@@ -28,6 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same rows dealt out evenly, for queries that do much work on every row.
+
+    Splits go by bytes, and a narrow table has many rows in few bytes: its one or two row groups
+    would give one or two tasks whatever the cluster. Only the columns in use are shuffled.
+    """
+    return table(spark, sf_dir, name).repartition(3 * spark.sparkContext.defaultParallelism)
+
+
 # --- logs -----------------------------------------------------------------------------------
 
 
