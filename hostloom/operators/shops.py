@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hostloom.functions.patterns import blank_to_null, let, words
 from hostloom.functions.text import drop_elements, drop_tags
-from hostloom.operators.keyed import keep_first, top_per_group
+from hostloom.operators.keyed import keep_first, settle, top_per_group
 from hostloom.operators.structured import at, first_at, list_at, number_at, scalar_at, text_at
 
 #: Names of size and colour options in shop languages.
@@ -34,43 +34,52 @@ def feed_items(feeds: DataFrame) -> DataFrame:
     first dialect (``currency`` comes with the shop), an array of products with minor
     units is the second. Rows without a name or link are left out.
     """
-    parsed = feeds.select("domain", F.col("currency").alias("_shop_currency"), F.try_parse_json("body").alias("_j"))
-    first = at(F.col("_j"), "products", "array<variant>")
-    rows = parsed.select(
+    parsed = settle(
+        feeds.select("domain", F.col("currency").alias("_shop_currency"), "body"), F.try_parse_json("body").alias("_j"), keep=["domain", "_shop_currency"]
+    )
+    lists = settle(
+        parsed, at(F.col("_j"), "products", "array<variant>").alias("_products"), F.try_variant_get("_j", "$", "array<variant>").alias("_list"),
+        keep=["domain", "_shop_currency"],
+    )
+    rows = lists.select(
         "domain",
         "_shop_currency",
-        first.isNotNull().alias("_first"),
-        F.posexplode(F.coalesce(first, F.try_variant_get("_j", "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))).alias("pos", "p"),
+        F.col("_products").isNotNull().alias("_first"),
+        F.explode(F.coalesce("_products", "_list")).alias("p"),
+    )
+    kept = ["domain", "_shop_currency", "_first", "p"]
+    listed = settle(rows, F.when(F.col("_first"), list_at(F.col("p"), "variants")).alias("_variants"))
+    stocked = settle(
+        listed,
+        F.try_element_at("_variants", F.lit(1)).alias("_head"),
+        F.filter("_variants", lambda v: F.coalesce(at(v, "available", "boolean"), F.lit(True))).alias("_in_stock"),
+        keep=kept,
+    )
+    optioned = settle(
+        stocked,
+        F.when(F.col("_first"), _option(F.col("p"), SIZE_NAMES, F.col("_in_stock"))).alias("_sizes"),
+        F.when(F.col("_first"), _option(F.col("p"), COLOUR_NAMES, F.col("_in_stock"))).alias("_colours"),
     )
     p = F.col("p")
+    item = F.when(F.col("_first"), F.struct(*_first_dialect(p))).otherwise(F.struct(*_second_dialect(p)))
     return (
-        rows.where("_first").select("domain", *_first_dialect(p))
-        .unionByName(rows.where("NOT _first").select("domain", *_second_dialect(p)))
+        settle(optioned, item.alias("_item"), keep=["domain"]).select("domain", "_item.*")
         .where((F.coalesce("name", F.lit("")) != "") & F.col("url").isNotNull())
     )
 
 
-def _option(p: Column, names: str, in_stock: Column) -> tuple[Column, Column]:
-    """Position column name of an option and its in-stock values."""
+def _option(p: Column, names: str, in_stock: Column) -> Column:
+    """In-stock (value, id) pairs of an option."""
     option = F.try_element_at(F.filter(list_at(p, "options"), lambda o: F.trim(text_at(o, "name")).rlike(names)), F.lit(1))
-    place = F.when(option.isNotNull(), F.coalesce(number_at(option, "position").cast("int"), F.lit(1)))
-    value = lambda v: F.trim(F.when(place == 1, scalar_at(v, "option1")).when(place == 2, scalar_at(v, "option2")).when(place == 3, scalar_at(v, "option3")))
-    pairs = F.filter(
-        F.transform(in_stock, lambda v: F.struct(value(v).alias("value"), scalar_at(v, "id").alias("id"))),
-        lambda x: F.coalesce(x["value"], F.lit("")) != "",
-    )
-    return pairs, F.transform(pairs, lambda x: x["value"])
+    place = F.transform(F.array(option), lambda o: F.when(o.isNotNull(), F.coalesce(number_at(o, "position").cast("int"), F.lit(1))))
+    value = lambda v, n: F.trim(F.when(n == 1, scalar_at(v, "option1")).when(n == 2, scalar_at(v, "option2")).when(n == 3, scalar_at(v, "option3")))
+    pairs = lambda n: F.transform(in_stock, lambda v: F.struct(value(v, n).alias("value"), scalar_at(v, "id").alias("id")))
+    return F.filter(F.element_at(F.transform(place, pairs), 1), lambda x: F.coalesce(x["value"], F.lit("")) != "")
 
 
 def _first_dialect(p: Column) -> list[Column]:
-    variants = list_at(p, "variants")
-    head = F.try_element_at(variants, F.lit(1))
-    in_stock = F.filter(variants, lambda v: F.coalesce(at(v, "available", "boolean"), F.lit(True)))
-    size_pairs, sizes = _option(p, SIZE_NAMES, in_stock)
-    _, colours = _option(p, COLOUR_NAMES, in_stock)
-    firsts = F.filter(
-        size_pairs, lambda x, i: x["id"].isNotNull() & ~F.exists(F.slice(size_pairs, 1, i), lambda e: e["value"] == x["value"])
-    )
+    head, in_stock, sizes = F.col("_head"), F.col("_in_stock"), F.col("_sizes")
+    firsts = F.filter(sizes, lambda x, i: x["id"].isNotNull() & ~F.exists(F.slice(sizes, 1, i), lambda e: e["value"] == x["value"]))
     return [
         F.concat(F.lit("https://"), F.col("domain"), F.lit("/products/"), text_at(p, "handle")).alias("url"),
         F.substring(F.coalesce(scalar_at(p, "title"), F.lit("")), 1, 200).alias("name"),
@@ -80,9 +89,9 @@ def _first_dialect(p: Column) -> list[Column]:
         (F.size(in_stock) > 0).alias("available"),
         _gtin(scalar_at(head, "barcode")).alias("gtin"),
         scalar_at(head, "id").alias("variant_id"),
-        _distinct_texts(sizes).alias("sizes"),
-        _distinct_texts(colours).alias("colours"),
-        F.when(F.size(firsts) > 0, F.map_from_entries(firsts)).alias("size_variants"),
+        _distinct_texts(F.transform(sizes, lambda x: x["value"])).alias("sizes"),
+        _distinct_texts(F.transform("_colours", lambda x: x["value"])).alias("colours"),
+        let(firsts, lambda f: F.when(F.size(f) > 0, F.map_from_entries(f))).alias("size_variants"),
         F.lit("products").alias("source"),
     ]
 
