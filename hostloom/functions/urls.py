@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hostloom.functions.patterns import first_group
+from hostloom.functions.patterns import first_group, let
 
 
 def host_of(url: Column) -> Column:
@@ -58,17 +58,22 @@ def host_suffixes(host: Column) -> Column:
 
 def _drop_dot_segments(path: Column) -> Column:
     """Fold ``.`` and ``..`` segments of an absolute path."""
-    segments = F.split(path, "/")
-    ends_open = path.rlike(r"/\.{0,2}$")
-    kept = F.aggregate(
-        F.slice(segments, 2, F.size(segments)),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.array_append(acc, s)),
-    )
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when(ends_open & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+    def folded(path: Column) -> Column:
+        segments = F.split(path, "/")
+        ends_open = path.rlike(r"/\.{0,2}$")
+        kept = F.aggregate(
+            F.slice(segments, 2, F.size(segments)),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.array_append(acc, s)),
+        )
+        joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+        return let(joined, lambda j: F.when(ends_open & ~j.endswith("/"), F.concat(j, F.lit("/"))).otherwise(j))
+
+    # A path without such a segment is its own result.
+    return let(path, lambda p: F.when(p.startswith("/") & ~p.contains("/."), p).otherwise(folded(p)))
 
 
 def resolve(href: Column, base: Column) -> Column:
