@@ -71,9 +71,12 @@ def decode_page(column: Column) -> Column:
 
 
 def decode_feed(column: Column) -> Column:
-    """Entities of feed and listing text: numbers first, then names and letters."""
-    letters = {f"&{name};": char for name, char in LETTER_ENTITIES.items()}
-    return replace_all(decode_numeric(column), {**PAGE_ENTITIES, **letters})
+    """Entities of feed and listing text: numbers first, then names and letters.
+
+    All of them begin with an ampersand, so a text without one is left as it is.
+    """
+    table = {**PAGE_ENTITIES, **{f"&{name};": char for name, char in LETTER_ENTITIES.items()}}
+    return let(column, lambda t: F.when(t.contains("&"), replace_all(decode_numeric(t), table)).otherwise(t))
 
 
 def decode_policy(column: Column) -> Column:
