@@ -7,7 +7,7 @@ from zoneinfo import available_timezones
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hostloom.functions.patterns import first_group, strip_blank
+from hostloom.functions.patterns import first_group, let, strip_blank
 from hostloom.functions.urls import host_of
 
 
@@ -52,16 +52,23 @@ def event_zone(country: Column, region: Column, longitude: Column, page_url: Col
     names one; an unnamed state is replaced by the longitude, and with neither the country's main
     zone holds. Unknown countries are UTC.
     """
-    stated = F.lower(F.trim(F.coalesce(country, F.lit(""))))
-    from_page = first_group(host_of(page_url), r"([^.]+)$")
-    code = F.when(stated != "", F.coalesce(lookup(EVENT_COUNTRIES, stated), stated)).when(from_page.isin(*EVENT_ZONES), from_page)
     by_state = {state.lower(): zone for zone, states in STATE_ZONES.items() for state in states}
-    state = F.lower(F.coalesce(region, F.lit("")))
     edges = F.array(*[F.struct(F.lit(west).alias("west"), F.lit(zone).alias("zone")) for west, zone in ZONE_EDGES])
-    by_longitude = F.when(state == "", F.array_max(F.filter(edges, lambda e: e["west"] <= F.greatest(longitude, F.lit(-180.0))))["zone"])
-    main = lookup(HOME_ZONES, code)
-    several = F.when(main.isNotNull(), F.coalesce(lookup(by_state, state), F.when(longitude.isNotNull(), by_longitude), main))
-    return F.coalesce(several, lookup(EVENT_ZONES, code), F.lit("UTC"))
+
+    def code_of(stated: Column) -> Column:
+        from_page = first_group(host_of(page_url), r"([^.]+)$")
+        return F.when(stated != "", F.coalesce(lookup(EVENT_COUNTRIES, stated), stated)).when(from_page.isin(*EVENT_ZONES), from_page)
+
+    def zone_of(code: Column) -> Column:
+        def by_place(state: Column) -> Column:
+            by_longitude = F.when(state == "", F.array_max(F.filter(edges, lambda e: e["west"] <= F.greatest(longitude, F.lit(-180.0))))["zone"])
+            return F.coalesce(lookup(by_state, state), F.when(longitude.isNotNull(), by_longitude))
+
+        main = lookup(HOME_ZONES, code)
+        several = F.when(main.isNotNull(), F.coalesce(let(F.lower(F.coalesce(region, F.lit(""))), by_place), main))
+        return F.coalesce(several, lookup(EVENT_ZONES, code), F.lit("UTC"))
+
+    return let(let(F.lower(F.trim(F.coalesce(country, F.lit("")))), code_of), zone_of)
 
 
 #: Zone names that office calendars write, and their zone ids.
@@ -85,14 +92,17 @@ def known_zone(name: Column) -> Column:
 
 def to_utc(value: Column, zone: Column) -> Column:
     """ISO text to an instant; wall time without an offset is local to ``zone``."""
-    text = strip_blank(F.coalesce(value, F.lit("")))
-    local = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}") & ~text.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$")
-    wall = F.try_to_timestamp(F.replace(F.substring(text, 1, 16), F.lit("T"), F.lit(" ")))
-    with_colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    exact = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(with_colon)).when(
-        text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text)
-    )
-    return F.when(local, F.to_utc_timestamp(wall, zone)).otherwise(exact)
+
+    def instant(text: Column) -> Column:
+        local = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}") & ~text.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$")
+        wall = F.try_to_timestamp(F.replace(F.substring(text, 1, 16), F.lit("T"), F.lit(" ")))
+        with_colon = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
+        exact = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), F.try_to_timestamp(with_colon)).when(
+            text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text)
+        )
+        return F.when(local, F.to_utc_timestamp(wall, zone)).otherwise(exact)
+
+    return let(strip_blank(F.coalesce(value, F.lit(""))), instant)
 
 
 #: Month numbers by the first three letters, in the languages read.

@@ -459,6 +459,7 @@ def page_events(pages: DataFrame, as_of: Column, url_column: str = "url", limit:
         rows,
         first_at(n, "offers").alias("offer"),
         country_of(loc).alias("_country"),
+        text_at(n, "url").alias("_href"),
         F.col("_e.start").alias("start_date"),
         to_utc(scalar_at(n, "endDate"), F.col("_e.zone")).alias("_end"),
     )
@@ -473,7 +474,7 @@ def page_events(pages: DataFrame, as_of: Column, url_column: str = "url", limit:
         *keep,
         F.col("_e.pos").alias("pos"),
         F.substring(strip_blank(decode_feed(text_at(n, "name"))), 1, 200).alias("name"),
-        F.coalesce(resolve(text_at(n, "url"), F.col(url_column)), F.col(url_column)).alias("event_url"),
+        F.coalesce(resolve(F.col("_href"), F.col(url_column)), F.col(url_column)).alias("event_url"),
         "start_date",
         F.when(F.col("_end") >= F.col("start_date"), F.col("_end")).alias("end_date"),
         F.substring(collapse(decode_feed(drop_tags(text_at(n, "description")))), 1, 300).alias("description"),
