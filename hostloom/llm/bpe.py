@@ -24,6 +24,8 @@ from hostloom.llm.pretokens import Vocabulary
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 _NONE = -1
+#: Remembered answers on pairs of ids in a worker: less than 100 MB.
+PAIRS = 400_000
 
 
 class Merges:
@@ -114,7 +116,7 @@ class Merges:
                         break
                     good = fits.get((last, token))
                     if good is None:
-                        if len(fits) > 2_000_000:
+                        if len(fits) > PAIRS:
                             fits.clear()
                         good = fits[last, token] = self._apart(last, token)
                     if good:

@@ -34,8 +34,8 @@ SAMPLE = 3000
 READ = 50_000
 #: Bytes of the shared base dictionary, and of each class's segments at most.
 BASE, SEGMENTS = 32_768, 8_192
-#: Remembered windows in a worker.
-MEMORY = 800_000
+#: Remembered windows in a worker: less than 100 MB.
+MEMORY = 400_000
 
 _WORD = re.compile(r"[^\s.,!?;:|*$%&#<>()\"]+")
 _ENCODING = "utf-32-le"

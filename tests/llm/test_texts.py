@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -317,3 +318,17 @@ def test_decontamination_of_short_items_inside_a_sentence(item):
         [(n, total, changed)] = found_by_templates(text, item)
         assert n == total
     assert found_by_templates("We know, Bob has 20 apples and 4 pears.", "Tom has 12 apples and 3 pears.") == [(3, 3, 3)]
+
+
+def test_arrays_of_a_worker_follow_small_blocks(spark):
+    texts = common.text_array(pa.array(["some words of a text " * 200] * 800))  # 3 MB
+    path = public_tokenizers.path(bpe.RANKS)
+    list(bpe.encoded(path, texts[:1]))
+    pretokens._CHARS.up = pretokens._CHARS.down = np.ones(1, np.uint64)
+    tracemalloc.start()
+    n = sum(len(ids) for ids, _ in bpe.encoded(path, texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n and peak < 48 << 20
+    common.batched(spark)
+    assert spark.sparkContext.environment["ARROW_DEFAULT_MEMORY_POOL"] == "system"
