@@ -264,3 +264,11 @@ def test_pipeline_of_odd_rows(spark, small):
         for _, stage in corpus_pipeline.STAGES:
             kept = stage(spark, kept, small)
         assert kept.count() in (0, 4)
+
+
+def test_words_are_split_without_a_pattern_search(spark):
+    texts = ["a\tb c\r\nd\x0be\x0cf  a", "\n\na b\n", "", None, " \t ", "é\x85ü x a"]
+    split = frame(spark, texts).select("doc_id", line_dedup.split_words(F.col("text")).alias("words"))
+    assert "RLIKE" not in split._jdf.queryExecution().optimizedPlan().toString()
+    want = {i: None if t is None else re.split("[ \t\n\x0b\x0c\r]", t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.words for r in split.collect()} == want
