@@ -10,6 +10,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -99,7 +100,7 @@ class Vocabulary:
     def _add(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
         found = self.encode(pieces)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
         self.ids[self.used : self.used + len(flat)] = flat

@@ -25,7 +25,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 
 #: For each control byte the lengths of its four codes.
-LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
+_BYTE = np.arange(4, dtype=np.uint8)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -34,16 +35,16 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = extra
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    control = padded[::4] | padded[1::4] << 2 | padded[2::4] << 4 | padded[3::4] << 6
     data = ranks.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), data[np.arange(4) <= extra[:, None]].tobytes()
+    return control.tobytes(), data[_BYTE <= extra[:, None]].tobytes()
 
 
 def unpack(n: int, control: bytes, data: bytes) -> np.ndarray:
     """The ``n`` ranks that :func:`pack` was given."""
     sizes = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
     out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < sizes[:, None]] = np.frombuffer(data, np.uint8)
+    out[_BYTE < sizes[:, None]] = np.frombuffer(data, np.uint8)
     return out.view("<u4").ravel()
 
 
@@ -54,10 +55,35 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(1)
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary, by byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(hidden)}}
+
+
+def piece_ids(tokenizer, pieces: list[str]) -> list[list[int]]:
+    """The ids of each of :func:`hostloom.llm.pretokens.split`'s pieces.
+
+    A piece of characters below U+0100, whose classes are settled, is what a byte-level
+    tokenizer's own split would leave, so its model merges the bytes at once; others, and those
+    of any other tokenizer, take the whole of it.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cut = tokenizer.pre_tokenizer
+    bytewise = isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space and tokenizer.normalizer is None
+    plain = [bytewise and (piece.isascii() or max(piece) < "\u0100") for piece in pieces]
+    whole = iter(tokenizer.encode_batch_fast([piece for piece, p in zip(pieces, plain, strict=True) if not p], add_special_tokens=False))
+    merged, shown = tokenizer.model.tokenize, byte_characters()
+    return [[token.id for token in merged(piece.encode().decode("latin-1").translate(shown))] if p else next(whole).ids for piece, p in zip(pieces, plain, strict=True)]
+
+
 @lru_cache(2)
 def _vocabulary(path: str) -> Vocabulary:
     tokenizer = _tokenizer(path)
-    return Vocabulary(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+    return Vocabulary(lambda pieces: piece_ids(tokenizer, pieces))
 
 
 @lru_cache(2)
@@ -103,10 +129,10 @@ def frequencies(ids: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for n, plain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.bincount(_numbers(n, plain), minlength=len(total))
-                more[: len(total)] += total
-                total = more
+            found = [_numbers(n, plain) for n, plain in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            more = np.bincount(np.concatenate([*found, np.zeros(0, np.uint32)]), minlength=len(total))
+            more[: len(total)] += total
+            total = more
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 

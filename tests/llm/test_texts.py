@@ -14,6 +14,7 @@ import pytest
 import regex
 import tiktoken
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from hostloom.llm import bpe, common, decontaminate, pii, pretokens, quality, token_files, toxicity
 
@@ -107,6 +108,28 @@ def test_token_files_round_trip(spark):
     assert token_files.round_trip(frame(spark, [])).count() == 0
 
 
+def test_plain_pieces_are_merged_without_the_whole_tokenizer(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
+    pieces = sorted({*(p for t in odd_texts() for p in regex.findall(public_tokenizers.PATTERN, t)), *map(chr, range(256)), " naïve", " łódź", "０"})
+    taken = []
+
+    class Watched:
+        normalizer, pre_tokenizer, model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
+
+        def encode_batch_fast(self, some, **options):
+            taken.extend(some)
+            return tokenizer.encode_batch_fast(some, **options)
+
+    assert token_files.piece_ids(Watched(), pieces) == [tokenizer.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert taken == [p for p in pieces if max(p) >= "\u0100"] and " łódź" in taken
+    Watched.pre_tokenizer = ByteLevel(add_prefix_space=True)
+    taken.clear()
+    token_files.piece_ids(Watched(), ["a", " b"])
+    assert taken == ["a", " b"] and token_files.piece_ids(Watched(), []) == []
+    common.batched(spark)
+    assert spark.sparkContext.environment["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_token_files_with_repeated_and_null_ids(spark):
     docs = frame(spark, ["b c", "a", "a"]).selectExpr("case doc_id when 0 then null else 4 end as doc_id", "text", "doc_id as file", "1 as place")
     rows = token_files.round_trip(docs).collect()
