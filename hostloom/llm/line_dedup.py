@@ -69,21 +69,27 @@ def frequencies(docs: DataFrame) -> DataFrame:
 
 
 def rarity(counts: DataFrame) -> Column:
-    """Steps of rarity by bucket, as the top byte of a rank: at most ``2 ** BUCKET_BITS`` numbers.
+    """Steps of rarity by bucket: at most ``2 ** BUCKET_BITS`` numbers.
 
-    Three steps to each doubling are fine enough for an order and fit seven bits. A literal,
-    since functions of array elements take no subqueries; only the plan that writes the sets holds it.
+    Three steps to each doubling are fine enough for an order and fit seven bits; the JVM keeps
+    one object for each number that small, so look-ups stay in its caches. A literal, since
+    functions of array elements take no subqueries; only the plan that writes the sets holds it.
     """
     steps = ["0"] * (1 << BUCKET_BITS)
     found = counts.select("bucket", (F.log2("n") * 3).cast("int").alias("step")).toArrow()
     for bucket, step in zip(found["bucket"].to_pylist(), found["step"].to_pylist(), strict=True):
-        steps[bucket] = str(step << 56)
+        steps[bucket] = str(step)
     return F.split(F.lit(",".join(steps)), ",").cast("array<bigint>")
 
 
-def _word_bit(w: Column) -> Column:
-    # A shift of 64 bits takes its count modulo 64.
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(w, 40).cast("int"))
+def _parity(words: Column, half: bool) -> Column:
+    """A parity bit per word in 64 bits: of all words, or of those whose hash has a certain bit unset.
+
+    The bits come from a table of 128: fewer steps a word than shifts, casts and a filter.
+    """
+    bits = [1 << k if k < 63 else -1 << 63 for k in range(64)]
+    table = F.split(F.lit(",".join(map(str, bits + (64 * [0] if half else bits)))), ",").cast("array<bigint>")
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.get(table, w.bitwiseAND(F.lit(127).cast("bigint")))))
 
 
 def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -97,12 +103,13 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """
     steps, low = rarity(counts), F.lit((1 << BUCKET_BITS) - 1).cast("bigint")
     # Rarity first, then 56 bits of the word: one number, so that one sort gives the order and the set.
-    rank = lambda w: F.get(steps, w.bitwiseAND(low).cast("int")).bitwiseOR(F.shiftrightunsigned(w, 8))
+    # Ranks are never null, which lets the sort take plain numbers.
+    step = lambda w: F.coalesce(F.get(steps, w.bitwiseAND(low)), F.lit(0).cast("bigint"))
+    rank = lambda w: F.shiftleft(step(w), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
     # `settle` keeps the filter below from computing the words a second time.
     sets = settle(lines(docs), F.sort_array(F.transform(words(F.col("line")), rank)).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
-    parity = lambda of: F.aggregate(of, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(_word_bit(w)))
-    sketch, n = parity("words"), F.size("words")
-    half = F.when(n > NEAR, parity(F.filter("words", lambda w: w.bitwiseAND(F.lit(1 << 20).cast("bigint")) == 0)))
+    sketch, n = _parity(F.col("words"), False), F.size("words")
+    half = F.when(n > NEAR, _parity(F.col("words"), True))
     few = F.slice("words", F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
     prefix = F.transform(few, lambda r: r.bitwiseAND(F.lit((1 << 32) - 1)))
     return sets.select("doc_id", "line_no", F.xxhash64("words", n).alias("class"), n.alias("n"), sketch.alias("sketch"), half.alias("half"), prefix.alias("prefix"))
@@ -247,11 +254,13 @@ def other_pairs(known: DataFrame, done: DataFrame) -> DataFrame:
 def alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``late_doc, late_line`` of pairs whose full sets are alike.
 
-    A bounded bitmap of the places that pairs name keeps all other lines out of the shuffle;
-    it lets a few too many through, which the join drops.
+    Bounded bitmaps of the documents and places that pairs name keep all other texts from being
+    cut into lines and all other lines out of the shuffle; they let a few too many through,
+    which the join drops.
     """
     places = pairs.select(F.col("late_doc").alias("doc_id"), F.col("late_line").alias("line_no")).union(pairs.select("early_doc", "early_line")).distinct()
-    wanted = lines(docs).where(perhaps_among(places, ["doc_id", "line_no"]))
+    places = settled(places)
+    wanted = lines(docs.where(perhaps_among(places, ["doc_id"]))).where(perhaps_among(places, ["doc_id", "line_no"]))
     # Written once: the two joins below would read all texts again each.
     sets = settled(wanted.select("doc_id", "line_no", words(F.col("line")).alias("words")).join(places, ["doc_id", "line_no"]))
     late = sets.select(F.col("doc_id").alias("late_doc"), F.col("line_no").alias("late_line"), F.col("words").alias("a"))

@@ -272,3 +272,29 @@ def test_words_are_split_without_a_pattern_search(spark):
     assert "RLIKE" not in split._jdf.queryExecution().optimizedPlan().toString()
     want = {i: None if t is None else re.split("[ \t\n\x0b\x0c\r]", t) for i, t in enumerate(texts)}
     assert {r.doc_id: r.words for r in split.collect()} == want
+
+
+def test_line_sets_look_ranks_and_bits_up(spark, texts):
+    docs = frame(spark, texts)
+    steps = spark.range(1).select(line_dedup.rarity(line_dedup.frequencies(docs)).alias("s")).first().s
+    assert len(steps) == 1 << line_dedup.BUCKET_BITS and 0 < max(steps) < 128
+    sets = line_dedup.line_sets(docs, line_dedup.frequencies(docs))
+    plan = sets._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "coalesce(" in plan
+    rows = [[], [5], [5, 5 + 64], [5, 63, 127], [7, 1 << 40, -1], list(range(200))]
+    got = spark.createDataFrame([(r,) for r in rows], "words array<bigint>").select("words", *[line_dedup._parity(F.col("words"), h) for h in (False, True)]).collect()
+    for r, every, half in got:
+        for mine, kept in ((every, r), (half, [w for w in r if not w & 64])):
+            want = 0
+            for w in kept:
+                want ^= 1 << (w & 63)
+            assert mine & (1 << 64) - 1 == want
+
+
+def test_other_documents_are_not_cut_into_lines(spark, monkeypatch):
+    docs = frame(spark, ["a b c d e f", "x y", "a b c d e f g", *["z\n\n" + str(i) for i in range(50)]])
+    cut, plain = [], line_dedup.lines
+    monkeypatch.setattr(line_dedup, "lines", lambda d: cut.append(d.count()) or plain(d))
+    pairs = spark.createDataFrame([(2, 0, 0, 0)], "late_doc bigint, late_line int, early_doc bigint, early_line int")
+    assert [tuple(r) for r in line_dedup.alike(docs, pairs).collect()] == [(2, 0)]
+    assert len(cut) == 1 and cut[0] < 10
