@@ -34,21 +34,27 @@ NEAR = LONG * NUMERATOR // DENOMINATOR
 MOST = (1 << 16) - 1
 #: Blanks of the word definition besides the space.
 BLANKS = "\t\n\x0b\x0c\r"
+#: Those that a line may have.
+WITHIN = BLANKS.replace("\n", "")
 
 
-def split_words(text: Column) -> Column:
+def split_words(text: Column, blanks: str = BLANKS) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+``, and empty strings where blanks meet."""
     plain = text
-    for blank in BLANKS:
+    for blank in blanks:
         plain = F.replace(plain, F.lit(blank), F.lit(" "))
     # Few lines have a blank besides the space. Searches of the bytes are cheaper than a pattern, which decodes the line first.
-    some = reduce(Column.__or__, [F.contains(text, F.lit(blank)) for blank in BLANKS])
+    some = reduce(Column.__or__, [F.contains(text, F.lit(blank)) for blank in blanks])
     return F.split(F.when(some, plain).otherwise(text), " ")
 
 
 def words(line: Column) -> Column:
-    """64-bit hashes of the different words ``[^\\x20\\x09-\\x0D]+`` of a line."""
-    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """64-bit hashes of the different words ``[^\\x20\\x09-\\x0D]+`` of a line of :func:`lines`.
+
+    For a plain projection: below a generator or inside another function of array elements
+    Spark interprets the whole expression and boxes every number.
+    """
+    return F.array_remove(F.array_distinct(F.transform(split_words(line, WITHIN), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def _ceil(n: Column, a: int, b: int) -> Column:
 
 def frequencies(docs: DataFrame) -> DataFrame:
     """``bucket, n``: words by bucket of their hash, counted over all lines."""
-    word = lines(docs).select(F.explode(split_words(F.col("line"))).alias("word"))
+    word = lines(docs).select(F.explode(split_words(F.col("line"), WITHIN)).alias("word"))
     bucket = F.xxhash64("word").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1).cast("bigint")).cast("int")
     return word.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -85,11 +91,11 @@ def rarity(counts: DataFrame) -> Column:
 def _parity(words: Column, half: bool) -> Column:
     """A parity bit per word in 64 bits: of all words, or of those whose hash has a certain bit unset.
 
-    The bits come from a table of 128: fewer steps a word than shifts, casts and a filter.
+    The bits come from a table of 128: fewer steps a word than shifts and a filter. An element needs no cast of its place.
     """
     bits = [1 << k if k < 63 else -1 << 63 for k in range(64)]
     table = F.split(F.lit(",".join(map(str, bits + (64 * [0] if half else bits)))), ",").cast("array<bigint>")
-    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(F.get(table, w.bitwiseAND(F.lit(127).cast("bigint")))))
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, w: a.bitwiseXOR(table[w.bitwiseAND(F.lit(127).cast("bigint"))]))
 
 
 def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -106,8 +112,10 @@ def line_sets(docs: DataFrame, counts: DataFrame) -> DataFrame:
     # Ranks are never null, which lets the sort take plain numbers.
     step = lambda w: F.coalesce(F.get(steps, w.bitwiseAND(low)), F.lit(0).cast("bigint"))
     rank = lambda w: F.shiftleft(step(w), 56).bitwiseOR(F.shiftrightunsigned(w, 8))
-    # `settle` keeps the filter below from computing the words a second time.
-    sets = settle(lines(docs), F.sort_array(F.transform(words(F.col("line")), rank)).alias("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
+    # `settle` gets ready columns only, see `words`. It keeps the words out of the ranks' function, and the filter from computing both again.
+    hashed = settle(lines(docs).select("doc_id", "line_no", words(F.col("line")).alias("words")), F.col("words"), keep=["doc_id", "line_no"])
+    ranked = hashed.select("doc_id", "line_no", F.sort_array(F.transform("words", rank)).alias("words"))
+    sets = settle(ranked, F.col("words"), keep=["doc_id", "line_no"]).where("size(words) > 0")
     sketch, n = _parity(F.col("words"), False), F.size("words")
     half = F.when(n > NEAR, _parity(F.col("words"), True))
     few = F.slice("words", F.lit(1), F.when(n > 3, n - _ceil(n, NUMERATOR, DENOMINATOR) + 1).otherwise(0))
@@ -180,8 +188,10 @@ def witnesses(known: DataFrame) -> DataFrame:
     """
     size = F.size("prefix")
     pairs = F.zip_with(F.slice("prefix", F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice("prefix", F.lit(2), size), lambda a, b: F.xxhash64(a, b))
-    least = F.slice(F.sort_array(pairs), 1, FIRST)
-    each = known.select("*", F.explode(least).alias("pair"))
+    # The pairs as a column first, since a generator would interpret the sort; `settle` keeps its test for none from sorting again.
+    kept = ["n", "doc_id", "line_no", "sketch", "half"]
+    sorted_ = known.select(*kept, F.slice(F.sort_array(pairs), 1, FIRST).alias("least"))
+    each = settle(sorted_, F.col("least"), keep=kept).select("*", F.explode("least").alias("pair"))
     return each.select(_key(F.col("pair"), F.lit(0), F.lit(0)).alias("key"), "doc_id", "line_no", "sketch", "half")
 
 

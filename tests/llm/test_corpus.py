@@ -298,3 +298,17 @@ def test_other_documents_are_not_cut_into_lines(spark, monkeypatch):
     pairs = spark.createDataFrame([(2, 0, 0, 0)], "late_doc bigint, late_line int, early_doc bigint, early_line int")
     assert [tuple(r) for r in line_dedup.alike(docs, pairs).collect()] == [(2, 0)]
     assert len(cut) == 1 and cut[0] < 10
+
+
+def test_generators_and_filters_of_line_sets_take_ready_columns(spark, texts):
+    docs = frame(spark, texts)
+    sets = line_dedup.line_sets(docs, line_dedup.frequencies(docs))
+    for rows in (sets, line_dedup.witnesses(sets)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        steps = [x for x in plan if re.match(r"[\s:+-]*(Generate|Filter) ", x)]
+        assert steps and not [x for x in steps if re.search("lambda|sort_array|array_distinct", x)]
+    # Another function of array elements would interpret what stands below it.
+    assert any("array_remove(array_distinct(transform(split(" in x for x in plan) and not any("transform(array_remove(" in x for x in plan)
+    spaced = spark.createDataFrame([(0, "b a\tb\x0b\x0c c\r\n\na  a")], "doc_id bigint, text string")
+    got = [(r.line_no, r.n) for r in line_dedup.line_sets(spaced, line_dedup.frequencies(spaced)).collect()]
+    assert sorted(got) == [(0, 3), (2, 1)]
