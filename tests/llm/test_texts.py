@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import tracemalloc
@@ -243,6 +244,53 @@ def test_cut_point():
     assert quality.cut_point(np.zeros(4), good) in (-np.inf, np.inf)
 
 
+def test_quality_is_fitted_on_every_labelled_document(spark):
+    make, n = random.Random(4), 9000
+    texts = ["".join(make.choice("abcdef" if i % 2 else "defghi") for _ in range(make.randrange(9))) for i in range(n)]
+    docs, marks = frame(spark, texts).repartition(5), [(i, i % 2) for i in range(n)]
+    # Labelled twice, both ways, with no label, without a document, without an id.
+    labels = spark.createDataFrame([*marks, (1, 1), (2, 1), (3, 0), (n, 1), (n + 1, 0), (None, 1), (4, None)], "doc_id bigint, quality int")
+    rows = quality.labelled(docs, labels, "quality").collect()
+    assert sorted((r.doc_id, r.text, r.label) for r in rows) == [(i, texts[i], k) for i, k in marks if i not in (2, 3)]
+    assert sorted(r.doc_id for r in rows if r.label == 1 and r.part == 0) == sorted(r.doc_id for r in quality.labelled(docs, labels, "quality", "label = 1 and part = 0").collect())
+
+    def counts(some):
+        out = np.zeros(quality.BUCKETS)
+        for block in blocks(some, 1 << 18):
+            for found, _ in quality.grams(block):
+                out += np.bincount(found, minlength=quality.BUCKETS)
+        return out
+
+    logs = [np.log((c + 0.5) / (c.sum() + 0.5 * quality.BUCKETS)) for c in (counts([r.text for r in rows if r.label == 1 and r.part == 0]), counts(texts))]
+    model, rest = quality.fit(docs, labels), [r for r in rows if r.label == 0 or r.part == 1]
+    assert np.array_equal(model.ratio, logs[0] - logs[1])
+    scores = np.concatenate([quality.mean_ratios(model.ratio, b) for b in blocks([r.text for r in rest], 1 << 18)])
+    assert model.threshold == quality.cut_point(scores, np.array([r.label == 1 for r in rest])) and np.isfinite(model.threshold)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_parted_cut_point_is_that_of_all_scores(spark, seed):
+    make = random.Random(seed)
+    marks = [make.randrange(2) for _ in range(make.choice([2, 40, 900]))]
+    rows = [(make.randrange(12) / 4 if seed % 2 else make.gauss(k if seed < 4 else 0, 1), k) for k in marks]
+    scores, good = np.array([r[0] for r in rows]), np.array([r[1] == 1 for r in rows])
+    cuts = [-np.inf, *((a + b) / 2 for a, b in itertools.pairwise(sorted(set(scores)))), np.inf]
+    gains = [int((~good & (scores < c)).sum()) * int(good.sum()) - int((good & (scores < c)).sum()) * int((~good).sum()) for c in cuts]
+    want = cuts[gains.index(max(gains))] if good.any() and not good.all() else quality.cut_point(scores, good)
+    assert quality.cut_point(scores, good) == want
+    batched = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "9"}
+    before = {k: spark.conf.get(k) for k in batched}
+    try:
+        for k, v in batched.items():
+            spark.conf.set(k, v)
+        found = sorted(map(tuple, quality.stretches(spark.createDataFrame(rows, "score double, label int")).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    low, high, some_good, some_bad = (np.array(x) for x in zip(*found, strict=True))
+    assert len(found) <= 14 and quality.cut_point(low, some_good, some_bad, high) == want
+
+
 def test_toxicity_on_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels)
